@@ -49,10 +49,9 @@ def spool_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that fit a rule go one way, the others are skipped."""
     names = table(spark, sf_dir, "documents").select(F.col("source").alias("file_name"))
-    matched, skipped = spool.route(names, "^src1[[:digit:]]+")
-    both = matched.withColumn("routed", F.lit("match")).unionByName(
-        skipped.withColumn("routed", F.lit("skip")))
-    return both.groupBy("file_name", "routed").agg(F.count(F.lit(1)).alias("n_files"))
+    routed = F.when(F.col("matched"), "match").otherwise("skip")
+    return spool.with_route(names, "^src1[[:digit:]]+").groupBy("file_name", routed.alias("routed")).agg(
+        F.count(F.lit(1)).alias("n_files"))
 
 
 @query

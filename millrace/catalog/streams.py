@@ -46,27 +46,25 @@ def stream_offset_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging.folder("progress")
     messages = as_messages(stream_table(spark, sf_dir, "events"), 64)
     flows.run_to_end(flows.offset_progress(messages, handled()), flows.batch_table(path),
-                     staging.folder("checkpoint"), mode="update")
-    return flows.latest_progress(spark, path)
+                     staging.folder("checkpoint"), mode="complete")
+    return flows.newest_batch(spark, path)
 
 
 @query
 def stream_reallot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lag check and re-allotment on a stream; the allotment in force at the end."""
     staging = Staging(spark)
-    progress, published = staging.folder("progress"), staging.folder("allotment")
+    published = staging.folder("allotment")
     items = queue.topic_partitions(as_messages(table(spark, sf_dir, "events"), 64))
     flows.batch_table(published)(allot.round_robin(items, nation_workers(spark, sf_dir), staging), -1)
 
     def current() -> DataFrame:
-        versions = spark.read.parquet(published)
-        newest = versions.agg(F.max("batch")).first()[0]
-        return versions.where(F.col("batch") == newest).select("worker", "topic", "partition")
+        return flows.newest_batch(spark, published)
 
-    handle = flows.reallot_writer(progress, current, flows.batch_table(published))
+    handle = flows.reallot_writer(current, flows.batch_table(published))
     messages = as_messages(stream_table(spark, sf_dir, "events"), 64)
     flows.run_to_end(flows.offset_progress(messages, handled()), handle,
-                     staging.folder("checkpoint"), mode="update")
+                     staging.folder("checkpoint"), mode="complete")
     return current()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ _EDGE_SPACE = r"(?U)\A\s+|\s+\z"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def split_left(text: Column, separator: str) -> Column:
     """``struct(before, after)`` around the first separator; without one, all text is ``before``."""
     at = F.instr(text, separator)
@@ -73,15 +78,16 @@ def query_pairs(query: Column) -> Column:
 
 def query_values(query: Column) -> Column:
     """``map<key, array<value>>`` of a query string; values of one key keep their order."""
-    pairs = query_pairs(query)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(
-            keys,
-            lambda k: F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]),
-        ),
-    )
+
+    def grouped(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+
+        def values(key: Column) -> Column:
+            return F.transform(F.filter(pairs, lambda p: p["key"] == key), lambda p: p["value"])
+
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, values(k))))
+
+    return let(query_pairs(query), grouped)
 
 
 def query_part(url: Column) -> Column:
@@ -127,9 +133,12 @@ def clean_lines(text: Column) -> Column:
 def join_clean_lines(text: Column, blocked: Sequence[str] = BLOCKED_TOKENS, force: bool = False,
                      glue: str = "&&") -> Column:
     """``struct(accepted, joined)``; a blocked token in any line rejects the whole text."""
-    lines = clean_lines(text)
-    joined = F.concat_ws(glue, lines)
-    if force:
-        return F.struct(F.lit(True).alias("accepted"), joined.alias("joined"))
-    accepted = ~F.exists(lines, lambda line: ~tokens_allowed(line, blocked))
-    return F.struct(accepted.alias("accepted"), F.when(accepted, joined).alias("joined"))
+
+    def outcome(lines: Column) -> Column:
+        joined = F.concat_ws(glue, lines)
+        if force:
+            return F.struct(F.lit(True).alias("accepted"), joined.alias("joined"))
+        accepted = ~F.exists(lines, lambda line: ~tokens_allowed(line, blocked))
+        return F.struct(accepted.alias("accepted"), F.when(accepted, joined).alias("joined"))
+
+    return let(clean_lines(text), outcome)

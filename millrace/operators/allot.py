@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.lag import LAG_LIMIT, PARTITION_KEY
-from millrace.operators.numbering import dense_index
+from millrace.operators.numbering import dense_index, index_and_count
 from millrace.staging import Staging
 
 
 def _hand_out(items: DataFrame, workers: DataFrame, slot: Callable[[Column, int], Column],
               staging: Staging) -> DataFrame:
     """Give the item at ``row_index`` to the worker (sorted by name) that ``slot`` names."""
-    seats = staging.keep(dense_index(workers.select("worker"), ["worker"], out="__seat", staging=staging), "seats")
-    n_workers = seats.count()  # row counts of file footers
+    seats, n_workers = index_and_count(workers.select("worker"), ["worker"], "__seat", staging)
     if n_workers == 0:
         raise ValueError("no workers to hand out partitions to")
     placed = items.withColumn("__seat", slot(F.col("row_index"), n_workers))

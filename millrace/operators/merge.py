@@ -1,4 +1,10 @@
-"""Row-at-a-time cursor work as set operations: delete, upsert, update, loop and override."""
+"""Row-at-a-time cursor work as set operations: delete, upsert, update, loop and override.
+
+The small side of each join - the distinct keys, or the last row per key - is written to the shared
+folder first.  Duplicates are removed before any shuffle, so a key that fills the cursor costs one
+row; the planner broadcasts the written table only when its size in bytes allows it; and otherwise
+the join reads two plain shuffles, which adaptive execution can split where the target is skewed.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.normalise import all_of
+from millrace.staging import Staging
+
+
+def _with_key(cursor: DataFrame, key: Sequence[str]) -> Column:
+    """Rows that can match at all: SQL equality never holds for a NULL key."""
+    return all_of([F.col(k).isNotNull() for k in key])
+
 
-def delete_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str]) -> DataFrame:
+def _keys(cursor: DataFrame, key: Sequence[str], staging: Staging | None) -> DataFrame:
+    staging = staging or Staging(cursor.sparkSession)
+    return staging.keep(cursor.select(*key).where(_with_key(cursor, key)).distinct(), "keys")
+
+
+def delete_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str],
+                    staging: Staging | None = None) -> DataFrame:
     """Target rows whose key no cursor row carries."""
-    return target.join(cursor.select(*key), list(key), "left_anti")
+    return target.join(_keys(cursor, key, staging), list(key), "left_anti")
 
 
 def last_per_key(cursor: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -27,16 +47,29 @@ def last_per_key(cursor: DataFrame, key: Sequence[str], order_by: Sequence[str])
     return picked.select(*key, "__last.*").select(*cursor.columns)
 
 
-def upsert(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """For each cursor row in order: delete its key from the target, insert the row."""
-    last = last_per_key(cursor, key, order_by)
-    return delete_matching(target, cursor, key).unionByName(last.select(*target.columns))
+def _last_rows(cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
+               staging: Staging | None) -> DataFrame:
+    staging = staging or Staging(cursor.sparkSession)
+    return staging.keep(last_per_key(cursor.where(_with_key(cursor, key)), key, order_by), "last")
+
+
+def upsert(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
+           staging: Staging | None = None) -> DataFrame:
+    """For each cursor row in order: delete its key from the target, insert the row.
+
+    A row with a NULL key deletes nothing and is never deleted, so all of those are inserted.
+    """
+    last = _last_rows(cursor, key, order_by, staging)
+    loose = cursor.where(~_with_key(cursor, key))
+    kept = target.join(last.select(*key), list(key), "left_anti")
+    columns = target.columns
+    return kept.unionByName(last.select(*columns)).unionByName(loose.select(*columns))
 
 
 def update_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
-                    assign: Mapping[str, str]) -> DataFrame:
+                    assign: Mapping[str, str], staging: Staging | None = None) -> DataFrame:
     """For each cursor row in order: set target columns (to cursor columns) where the key is equal."""
-    last = last_per_key(cursor, key, order_by)
+    last = _last_rows(cursor, key, order_by, staging)
     fresh = last.select(*key, F.lit(True).alias("__hit"),
                         *[F.col(source).alias(f"__new_{column}") for column, source in assign.items()])
     joined = target.join(fresh, list(key), "left")
@@ -48,14 +81,21 @@ def update_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str], or
 
 
 def rows_affected(target: DataFrame, cursor: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``(updated, inserted)``: target rows an upsert replaces, and keys that are new to the target."""
-    cursor_keys = cursor.select(*key).distinct()
-    hits = target.join(cursor_keys, list(key), "left_semi").select(F.lit(1).alias("u"), F.lit(0).alias("i"))
-    fresh = cursor_keys.join(target.select(*key), list(key), "left_anti").select(
-        F.lit(0).alias("u"), F.lit(1).alias("i"))
-    total = hits.unionByName(fresh).agg(
-        F.sum("u").cast("bigint").alias("updated"), F.sum("i").cast("bigint").alias("inserted"))
-    return total.na.fill(0)
+    """``(updated, inserted)``: target rows an upsert replaces, and rows that are new to the target.
+
+    One aggregate over both sides, combined before the shuffle, instead of two joins.
+    """
+    usable = _with_key(target, key)
+    sides = target.where(usable).select(*key, F.lit(1).alias("t"), F.lit(0).alias("c")).unionByName(
+        cursor.where(usable).select(*key, F.lit(0).alias("t"), F.lit(1).alias("c")))
+    per_key = sides.groupBy(*key).agg(F.sum("t").alias("t"), F.max("c").alias("c")).where("c = 1")
+    counts = per_key.select(F.col("t").alias("updated"), (F.col("t") == 0).cast("bigint").alias("inserted"))
+    loose = cursor.where(~usable).select(
+        F.lit(0).cast("bigint").alias("updated"), F.lit(1).cast("bigint").alias("inserted"))
+    return counts.unionByName(loose).agg(
+        F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
+        F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"),
+    )
 
 
 def loop_expand(df: DataFrame, name: str, values: Sequence[int | str]) -> DataFrame:
@@ -64,7 +104,7 @@ def loop_expand(df: DataFrame, name: str, values: Sequence[int | str]) -> DataFr
 
 
 def override_expand(groups: DataFrame, clusters: DataFrame, details: DataFrame,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, staging: Staging | None = None) -> DataFrame:
     """Members per group: those of its cluster, unless the group has detailed rows of its own.
 
     ``groups(group, cluster, login)``, ``clusters(cluster, member)``, ``details(group, member, login)``.
@@ -72,7 +112,7 @@ def override_expand(groups: DataFrame, clusters: DataFrame, details: DataFrame,
     the result.
     """
     plain = (
-        groups.join(details.select("group"), "group", "left_anti")
+        delete_matching(groups, details, ["group"], staging)
         .join(clusters, "cluster")
         .select("group", "member", "login")
     )

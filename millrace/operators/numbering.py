@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,17 @@ def _order(column: str | Column) -> Column:
     return F.col(column).asc() if isinstance(column, str) else column
 
 
+def _sorted_runs(df: DataFrame, keys: Sequence[Column], staging: Staging) -> DataFrame:
+    """Write the table in globally sorted runs, one per task, with consecutive marks in each run."""
+    runs = staging.keep(
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn(_MARK, F.monotonically_increasing_id()),
+        "runs",
+    )
+    return runs.withColumn(_RUN, F.shiftright(_MARK, _LOCAL_BITS))
+
+
 def dense_index(
     df: DataFrame,
     order_by: Sequence[str | Column],
@@ -38,20 +50,37 @@ def dense_index(
 ) -> DataFrame:
     """Add a 0-based dense ``out`` per group in the given order (which must have no ties)."""
     staging = staging or Staging(df.sparkSession)
+    if not group_by:
+        return index_and_count(df, order_by, out, staging)[0]
     keys = [F.col(g).asc() for g in group_by] + [_order(o) for o in order_by]
-    runs = staging.keep(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(_MARK, F.monotonically_increasing_id()),
-        "runs",
-    )
-    return number_runs(runs, group_by, out, staging)
+    runs = _sorted_runs(df, keys, staging)
+    return add_run_offsets(runs, group_by, [_RUN], out, staging).drop(_RUN)
+
 
+def index_and_count(df: DataFrame, order_by: Sequence[str | Column], out: str = "row_index",
+                    staging: Staging | None = None) -> tuple[DataFrame, int]:
+    """Number a whole table and tell its length.
 
-def number_runs(runs: DataFrame, group_by: Sequence[str], out: str, staging: Staging) -> DataFrame:
-    """Turn the marks of a written, sorted table into dense numbers per group."""
-    marked = runs.withColumn(_RUN, F.shiftright(_MARK, _LOCAL_BITS))
-    return add_run_offsets(marked, group_by, [_RUN], out, staging).drop(_RUN)
+    The run lengths come to the driver: one row per written task, whatever the number of rows.
+    """
+    staging = staging or Staging(df.sparkSession)
+    runs = _sorted_runs(df, [_order(o) for o in order_by], staging)
+    lengths = (
+        runs.groupBy(_RUN)
+        .agg(F.count(F.lit(1)).alias("n"), F.min(_MARK).alias("first"))
+        .orderBy(_RUN)
+        .collect()
+    )
+    starts = [0, *accumulate(row["n"] for row in lengths)]
+    if len(lengths) <= 1:
+        first = lengths[0]["first"] if lengths else 0
+        return runs.withColumn(out, F.col(_MARK) - first).drop(_MARK, _RUN), starts[-1]
+    shifts = df.sparkSession.createDataFrame(
+        [(row[_RUN], start - row["first"]) for row, start in zip(lengths, starts)],
+        f"{_RUN} bigint, __shift bigint",
+    )
+    numbered = runs.join(shifts, _RUN).withColumn(out, F.col(_MARK) + F.col("__shift"))
+    return numbered.drop(_MARK, _RUN, "__shift"), starts[-1]
 
 
 def add_run_offsets(
@@ -63,8 +92,9 @@ def add_run_offsets(
 ) -> DataFrame:
     """Number rows whose runs are named by ``run_keys`` (in order) inside each group.
 
-    Within a run the marks must be consecutive.  The table of run lengths is staged as well, so
-    that the planner sees its size in bytes when it picks the join.
+    ``marked`` must be a written table, and the marks must be consecutive within a run.  The table
+    of run lengths is written as well, so that the planner sees its size in bytes when it picks
+    the join.
     """
     before = (
         Window.partitionBy(*group_by)

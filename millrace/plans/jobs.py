@@ -237,8 +237,9 @@ def out_string(procedure: Procedure, variables: Mapping[str, Value]) -> tuple[st
 class _Work:
     """The uncommitted state of a block: changed tables as lazy frames."""
 
-    def __init__(self, spark: SparkSession, store: TableStore, variables: Variables):
-        self.spark, self.store, self.variables = spark, store, variables
+    def __init__(self, spark: SparkSession, store: TableStore, variables: Variables,
+                 written: dict[str, int]):
+        self.spark, self.store, self.variables, self.written = spark, store, variables, written
         self.changed: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -324,18 +325,23 @@ class _Work:
 
     def commit(self) -> None:
         if self.changed:
-            self.store.publish(self.changed)
+            self.written.update(self.store.publish(self.changed))
             self.changed = {}
 
 
 def execute(spark: SparkSession, store: TableStore, procedure: Procedure, variables: Variables,
-            known: Mapping[str, Procedure] | None = None, depth: int = 0) -> Variables:
-    """Run a procedure; returns its variables.  What was committed before a failure stays."""
+            known: Mapping[str, Procedure] | None = None, depth: int = 0,
+            written: dict[str, int] | None = None) -> Variables:
+    """Run a procedure; returns its variables.  What was committed before a failure stays.
+
+    ``written`` collects the rows of each table in its last commit.
+    """
+    written = {} if written is None else written
     if depth > MAX_CALL_DEPTH:
         raise JobError(f"procedures call each other more than {MAX_CALL_DEPTH} deep")
     variables = {name.lower(): value for name, value in variables.items()}
     for block in _in_order(procedure.blocks, "block"):
-        work = _Work(spark, store, variables)
+        work = _Work(spark, store, variables, written)
         if isinstance(block, CommonBlock):
             for statement in _in_order(block.statements, "statement"):
                 work.run(statement)
@@ -360,7 +366,7 @@ def execute(spark: SparkSession, store: TableStore, procedure: Procedure, variab
                 raise JobError(f"procedure {called.name} takes {len(called.in_params)} parameters")
             inner = {p.name: p.convert(_look_up(variables, given))
                      for p, given in zip(called.in_params, block.parameters)}
-            result = execute(spark, store, called, inner, known, depth + 1)
+            result = execute(spark, store, called, inner, known, depth + 1, written)
             variables.update({p.name: result[p.name] for p in called.out_params if p.name in result})
         else:
             raise JobError(f"unknown block {type(block).__name__}")
@@ -369,7 +375,7 @@ def execute(spark: SparkSession, store: TableStore, procedure: Procedure, variab
 
 RUN_LOG = (
     "environment string, procedure string, in_params string, out_params string, "
-    "result_code int, result_info string, error string, seconds double"
+    "result_code int, result_info string, error string, rows_written map<string,bigint>, seconds double"
 )
 
 
@@ -385,7 +391,8 @@ def run_jobs(spark: SparkSession, store: TableStore, procedures: Sequence[Proced
     for job in jobs:
         started = time.monotonic()
         row = {"environment": job.environment, "procedure": job.procedure, "in_params": job.parameters,
-               "out_params": None, "result_code": OK, "result_info": SUCCESS_INFO, "error": None}
+               "out_params": None, "result_code": OK, "result_info": SUCCESS_INFO, "error": None,
+               "rows_written": {}}
         tag = f"millrace-{uuid.uuid4().hex}"
         expired = threading.Event()
 
@@ -401,7 +408,8 @@ def run_jobs(spark: SparkSession, store: TableStore, procedures: Sequence[Proced
             if job.procedure not in known:
                 raise JobError(f"unknown procedure {job.procedure!r}")
             procedure = known[job.procedure]
-            variables = execute(spark, store, procedure, parse_parameters(procedure, job.parameters), known)
+            variables = execute(spark, store, procedure, parse_parameters(procedure, job.parameters),
+                                known, written=row["rows_written"])
             text, missing = out_string(procedure, variables)
             row["out_params"] = text
             if missing:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.days import home_clock
@@ -44,26 +44,35 @@ def dead_letters(rejected: DataFrame, line: str | Column, fail_class: str | Colu
     return rejected.select(kind.alias("fail_class"), line.alias("value"))
 
 
-def write_dead_letters(letters: DataFrame, path: str, channel: str, stamp: str | None = None,
-                       roll_rows: int = ROLL_ROWS) -> None:
+def _stamp(spark: SparkSession) -> str:
+    return spark.range(1).select(home_clock(F.current_timestamp())).first()[0]
+
+
+def _letter_writer(letters: DataFrame, channel: str, roll_rows: int, mode: str):
+    name = f"err_{channel}_{_stamp(letters.sparkSession)}"
+    writer = letters.write.mode(mode).option("maxRecordsPerFile", str(roll_rows))
+    return writer.option("mapreduce.output.basename", name)
+
+
+def write_dead_letters(letters: DataFrame, path: str, channel: str, roll_rows: int = ROLL_ROWS) -> None:
     """Append dead letters as text, one folder per class and files of at most ``roll_rows`` lines.
 
-    File names start with ``err_<channel>_<yyyyMMddHHmmss>``; time-based rolling is the trigger
-    interval of the stream that calls this per micro-batch.
+    File names start with ``err_<channel>_<yyyyMMddHHmmss>``.
+    """
+    _letter_writer(letters, channel, roll_rows, "append").partitionBy("fail_class").text(path)
+
+
+def write_batch_letters(letters: DataFrame, path: str, channel: str, fail_class: str, batch_id: int,
+                        roll_rows: int = ROLL_ROWS) -> None:
+    """The dead letters of one class and micro-batch; a replayed batch replaces its own files.
+
+    Time-based rolling is the trigger interval of the stream.
     """
-    if stamp is None:
-        clock = letters.sparkSession.range(1).select(home_clock(F.current_timestamp()))
-        stamp = clock.first()[0]
-    (
-        letters.write.mode("append")
-        .partitionBy("fail_class")
-        .option("maxRecordsPerFile", str(roll_rows))
-        .option("mapreduce.output.basename", f"err_{channel}_{stamp}")
-        .text(path)
-    )
-
-
-def read_dead_letters(spark, path: str) -> DataFrame:
+    folder = f"{path}/fail_class={fail_class}/batch={batch_id}"
+    _letter_writer(letters.select("value"), channel, roll_rows, "overwrite").text(folder)
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select("fail_class", "value")
 
 
@@ -75,7 +84,7 @@ def roll_buckets(rows: DataFrame, ts: Column, seconds: int = ROLL_SECONDS,
     return counts.withColumn("n_files", F.ceil(F.col("n_rows") / roll_rows))
 
 
-def skip_manifest(spark, path: str, rule: str, recursive: bool = False) -> DataFrame:
+def skip_manifest(spark: SparkSession, path: str, rule: str, recursive: bool = False) -> DataFrame:
     """Files of a spool directory that no rule wants; they are listed, not opened."""
     return route(list_files(spark, path, recursive), rule)[1]
 

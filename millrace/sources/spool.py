@@ -55,13 +55,8 @@ def strip_line_end(line: Column) -> Column:
     return F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
 
 
-def _reader(source, recursive: bool, whole: bool = False):
-    options = {"recursiveFileLookup": str(recursive).lower()}
-    if whole:
-        options["wholetext"] = "true"
-    else:
-        options["lineSep"] = "\n"
-    return source.options(**options)
+def _reader(source, recursive: bool):
+    return source.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n")
 
 
 def scan_lines(spark: SparkSession, path: str, rule: str | None = None,
@@ -70,10 +65,13 @@ def scan_lines(spark: SparkSession, path: str, rule: str | None = None,
 
     The rule is a filter on file metadata, so files that do not fit are never opened.
     """
-    lines = _reader(spark.read, recursive).text(path)
+    return _lines(_reader(spark.read, recursive).text(path), rule)
+
+
+def _lines(files: DataFrame, rule: str | None) -> DataFrame:
     if rule is not None:
-        lines = lines.where(name_matches(F.col("_metadata.file_name"), rule))
-    return lines.select(
+        files = files.where(name_matches(F.col("_metadata.file_name"), rule))
+    return files.select(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
@@ -82,19 +80,21 @@ def scan_lines(spark: SparkSession, path: str, rule: str | None = None,
 
 
 def number_lines(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
-    """``(file_name, line_num, value)`` with 0-based line numbers, for files of any size.
+    """Replace the file position by a 0-based ``line_num``, for files of any size.
 
     Files stay split over tasks: each (file, block) is one run, written once with its marks, and
-    the number of lines in the blocks before it is added as an offset.
+    the number of lines in the blocks before it is added as an offset.  Columns added to the
+    scanned lines are kept, so parsed lines can be numbered in place of raw ones.
     """
     staging = staging or Staging(lines.sparkSession)
     marked = staging.keep(lines.withColumn("__mark", F.monotonically_increasing_id()), "lines")
     numbered = add_run_offsets(marked, ["file_path"], ["file_block_start"], "line_num", staging)
-    return numbered.select("file_name", F.col("line_num").cast("int").alias("line_num"), "value")
+    rest = [c for c in lines.columns if c not in ("file_name", "file_path", "file_block_start")]
+    return numbered.select("file_name", F.col("line_num").cast("int").alias("line_num"), *rest)
 
 
 def explode_lines(df: DataFrame, name: str | Column, text: str | Column, *keep: str) -> DataFrame:
-    """Lines of texts that are held whole in one row (the streaming form of ``number_lines``)."""
+    """Numbered lines of texts that are held whole in one row."""
     text = F.col(text) if isinstance(text, str) else text
     name = F.col(name) if isinstance(name, str) else name
     pieces = F.split(text, "\n")
@@ -109,18 +109,15 @@ def explode_lines(df: DataFrame, name: str | Column, text: str | Column, *keep:
 def stream_lines(spark: SparkSession, path: str, rule: str | None = None, recursive: bool = False,
                  max_files: int | None = None, clean: str = "off",
                  archive: str | None = None) -> DataFrame:
-    """The streaming scan: new files of a spool directory, one row per numbered line.
+    """The streaming scan: lines of new files with their position, as ``scan_lines`` gives them.
 
-    ``clean`` is ``off``, ``delete`` or ``archive`` and is applied by the file source once a
-    micro-batch has been committed.
+    Number them per micro-batch with ``number_lines``.  ``clean`` is ``off``, ``delete`` or
+    ``archive`` and is applied by the file source once a micro-batch has been committed.
     """
     source = spark.readStream.options(**clean_options(clean, archive))
     if max_files:
         source = source.option("maxFilesPerTrigger", str(max_files))
-    files = _reader(source, recursive, whole=True).text(path)
-    if rule is not None:
-        files = files.where(name_matches(F.col("_metadata.file_name"), rule))
-    return explode_lines(files, F.col("_metadata.file_name"), "value")
+    return _lines(_reader(source, recursive).text(path), rule)
 
 
 def clean_options(policy: str, archive: str | None = None) -> dict[str, str]:
@@ -147,10 +144,15 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     )
 
 
+def with_route(df: DataFrame, rule: str, name: str = "file_name") -> DataFrame:
+    """Add ``matched`` by a file-name rule; an absent name does not match."""
+    return df.withColumn("matched", F.coalesce(name_matches(F.col(name), rule), F.lit(False)))
+
+
 def route(df: DataFrame, rule: str, name: str = "file_name") -> tuple[DataFrame, DataFrame]:
-    """Split rows into (matched, skipped) by a file-name rule; an absent name is skipped."""
-    fits = F.coalesce(name_matches(F.col(name), rule), F.lit(False))
-    return df.where(fits), df.where(~fits)
+    """Split rows into (matched, skipped) by a file-name rule."""
+    tagged = with_route(df, rule, name)
+    return tagged.where("matched").drop("matched"), tagged.where("not matched").drop("matched")
 
 
 def write_spool(lines: DataFrame, path: str, name: str, value: str = "value") -> None:

@@ -35,6 +35,17 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    path, files = _file_system(spark, path)
+    return files.exists(path)
+
+
 class Staging:
     """A private folder below the shared root.  ``release`` removes only what this object made.
 
@@ -62,9 +73,8 @@ class Staging:
         """Delete this staging folder; call it once its readers are done."""
         if self in _unreleased:
             _unreleased.remove(self)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _file_system(self.spark, self.path)
+        files.delete(path, True)
 
     def __enter__(self) -> Staging:
         return self

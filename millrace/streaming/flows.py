@@ -17,8 +17,8 @@ from millrace.operators import allot, lag
 from millrace.operators.deal import split_outcomes
 from millrace.operators.records import parse_lines, record_line, split_rejects, to_payload
 from millrace.plans.channels import Channel
-from millrace.sinks.outputs import PARSE, SEND, dead_letters, write_dead_letters
-from millrace.sources.spool import stream_lines
+from millrace.sinks.outputs import PARSE, SEND, dead_letters, write_batch_letters
+from millrace.sources.spool import number_lines, stream_lines
 from millrace.staging import Staging
 
 Writer = Callable[[DataFrame, int], None]
@@ -48,7 +48,7 @@ def run_to_end(stream: DataFrame, handle: Writer, checkpoint: str, mode: str = "
 
 def ingest_lines(spark: SparkSession, channel: Channel, max_files: int | None = None,
                  archive: str | None = None) -> DataFrame:
-    """The parsed stream of a channel's spool directory: provenance, record columns, reject reason."""
+    """The parsed stream of a channel's spool directory: position, record columns, reject reason."""
     source = channel.source
     lines = stream_lines(spark, source.directory, source.name_rule, max_files=max_files,
                          clean=source.delete_policy, archive=archive)
@@ -65,24 +65,21 @@ def ingest_writer(channel: Channel, send: Writer | None = None) -> Writer:
     send = send or batch_table(sink.table)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            good, rejected = split_rejects(batch)
+        with Staging(batch.sparkSession) as staging:
+            # numbering writes the parsed lines once, so all outputs below read that table
+            good, rejected = split_rejects(number_lines(batch, staging))
             columns = ["file_name", "line_num", *source.schema().names]
-            payloads = good.select(*columns, to_payload(columns).alias("value"))
-            stamp = f"{batch_id:014d}"
             if sink.fail_path:
-                write_dead_letters(dead_letters(rejected, "value", PARSE), sink.fail_path,
-                                   channel.name, stamp)
+                write_batch_letters(dead_letters(rejected, "value", PARSE), sink.fail_path,
+                                    channel.name, PARSE, batch_id)
             try:
-                send(payloads, batch_id)
+                send(good.select(*columns, to_payload(columns).alias("value")), batch_id)
             except Exception:
                 if not sink.fail_path:
                     raise
-                unsent = dead_letters(good, record_line(source.schema().names, source.separator), SEND)
-                write_dead_letters(unsent, sink.fail_path, channel.name, stamp)
-        finally:
-            batch.unpersist()
+                line = record_line(source.schema().names, source.separator)
+                write_batch_letters(dead_letters(good, line, SEND), sink.fail_path,
+                                    channel.name, SEND, batch_id)
 
     return handle
 
@@ -104,20 +101,24 @@ def outcome_writer(success: Writer | None, failed: Writer | None) -> Writer:
 
 
 def offset_progress(messages: DataFrame, ok: Column) -> DataFrame:
-    """Running last-ok and newest offset per partition (keyed state; use update mode)."""
+    """Running last-ok and newest offset per partition.
+
+    The state has one row per topic partition.  Use complete mode, so that every micro-batch
+    writes the whole table and readers need the newest batch only.
+    """
     return lag.progress(messages, ok)
 
 
-def latest_progress(spark: SparkSession, path: str) -> DataFrame:
-    """The current state of a progress table written by ``batch_table``: offsets only grow."""
-    return spark.read.parquet(path).groupBy(*lag.PARTITION_KEY).agg(
-        F.max("offset_commit").alias("offset_commit"), F.max("offset_newest").alias("offset_newest")
-    )
+def newest_batch(spark: SparkSession, path: str) -> DataFrame:
+    """What the last micro-batch wrote with ``batch_table``."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("batch")).first()[0]
+    return versions.where(F.col("batch") == newest).drop("batch")
 
 
-def reallot_writer(progress_path: str, current: Callable[[], DataFrame], publish: Writer,
+def reallot_writer(current: Callable[[], DataFrame], publish: Writer,
                    changes: Writer | None = None, limit: int = lag.LAG_LIMIT) -> Writer:
-    """Per micro-batch: fold in the new offsets, check the lag, and re-allot when the guards say so.
+    """Per micro-batch of ``offset_progress``: check the lag and re-allot when the guards say so.
 
     ``current`` reads the allotment in force; ``publish`` writes a new one and ``changes`` the rows
     that were added or removed.
@@ -125,9 +126,8 @@ def reallot_writer(progress_path: str, current: Callable[[], DataFrame], publish
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch_table(progress_path)(batch.select(*lag.PARTITION_KEY, "offset_commit", "offset_newest"), batch_id)
         with Staging(spark) as staging:
-            report = lag.lag_report(latest_progress(spark, progress_path), limit)
+            report = lag.lag_report(batch, limit)
             before = current()
             changed, after = allot.rebalance(report, before, limit, staging=staging)
             if changed:
