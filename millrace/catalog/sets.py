@@ -226,10 +226,10 @@ def deal_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deal_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same function as a column expression."""
     messages = rectangle_messages(table(spark, sf_dir, "events"))
-    shape = F.from_json(F.col("value").cast("string"), "Length bigint, Height bigint")
-    square = (shape["Length"] * shape["Height"]).alias("S")
-    result = F.when(square.isNotNull(), F.to_json(F.struct(square)).cast("binary"))
-    dealt = deal.deal_native(messages, result)
+    text = F.col("value").cast("string")
+    square = F.get_json_object(text, "$.Length").cast("bigint") * F.get_json_object(text, "$.Height").cast("bigint")
+    answer = F.concat(F.lit('{"S":'), square.cast("string"), F.lit("}")).cast("binary")
+    dealt = deal.deal_native(messages, answer)
     return dealt.select("event_id", "deal_tag", square_column().alias("square"))
 
 

@@ -28,9 +28,13 @@ def int_to_date(day: Column) -> Column:
 
 def check_day(day: Column) -> Column:
     """Whether the integer is a calendar day written with eight digits."""
-    text = day.cast("string")
-    valid = F.date_format(F.try_to_date(text, "yyyyMMdd"), "yyyyMMdd") == text
-    return F.coalesce(day.between(10000101, 99991231) & valid, F.lit(False))
+    year, month, dom = _parts(day)
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    longest = (
+        F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    )
+    valid = day.between(10000101, 99991231) & month.between(1, 12) & dom.between(1, longest)
+    return F.coalesce(valid, F.lit(False))
 
 
 def previous_day(day: Column) -> Column:

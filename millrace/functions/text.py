@@ -12,8 +12,12 @@ BLOCKED_TOKENS = (
     "rm", "mkfs", "mkfs.ext3", "make.ext2", "make.ext4", "make2fs", "shutdown", "reboot", "init", "dd",
 )
 
-# Unicode white space at either end of a text.
-_EDGE_SPACE = r"(?U)\A\s+|\s+\z"
+# The characters of Unicode white space.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 
 
@@ -115,7 +119,7 @@ def kv_string(values: Mapping[str, Column]) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip every kind of Unicode white space from both ends."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def tokens_allowed(text: Column, blocked: Sequence[str] = BLOCKED_TOKENS) -> Column:

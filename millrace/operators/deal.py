@@ -15,18 +15,22 @@ BatchFunction = Callable[[Sequence[bytes]], Sequence["bytes | Exception"]]
 
 
 def _attach(messages: DataFrame, outcome: Column) -> DataFrame:
+    """Call the function once per message: callers mark it as not deterministic, so that a filter on
+    the outcome is not pushed below it, which would call it again on other batches."""
     kept = [c for c in messages.columns if c not in ("deal_tag", "result", "error")]
     return messages.select(*kept, outcome.alias("__o")).select(*kept, "__o.*")
 
 
 def deal_native(messages: DataFrame, result: Column) -> DataFrame:
     """A function written as a column expression; NULL means the message failed."""
-    outcome = F.struct(
-        result.isNotNull().alias("deal_tag"),
-        result.alias("result"),
-        F.when(result.isNull(), F.lit("no result")).alias("error"),
+    kept = [c for c in messages.columns if c not in ("deal_tag", "result", "error")]
+    answered = messages.select(*kept, result.alias("__r"))  # evaluated once, used three times below
+    return answered.select(
+        *kept,
+        F.col("__r").isNotNull().alias("deal_tag"),
+        F.col("__r").alias("result"),
+        F.when(F.col("__r").isNull(), F.lit("no result")).alias("error"),
     )
-    return _attach(messages, outcome)
 
 
 def deal_each(messages: DataFrame, function: DealFunction, value: str = "value") -> DataFrame:
@@ -46,7 +50,7 @@ def deal_each(messages: DataFrame, function: DealFunction, value: str = "value")
                     outcomes.append((False, None, str(problem)))
             yield pd.DataFrame(outcomes, columns=["deal_tag", "result", "error"])
 
-    return _attach(messages, run(F.col(value)))
+    return _attach(messages, run.asNondeterministic()(F.col(value)))
 
 
 def deal_batches(messages: DataFrame, function: BatchFunction, batch_rows: int = 30,
@@ -75,7 +79,7 @@ def deal_batches(messages: DataFrame, function: BatchFunction, batch_rows: int =
                 ]
             yield pd.DataFrame(outcomes, columns=["deal_tag", "result", "error"])
 
-    return _attach(messages, run(F.col(value)))
+    return _attach(messages, run.asNondeterministic()(F.col(value)))
 
 
 def split_outcomes(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
