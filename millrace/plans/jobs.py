@@ -373,6 +373,38 @@ def execute(spark: SparkSession, store: TableStore, procedure: Procedure, variab
     return variables
 
 
+class _Deadline:
+    """Cancel the Spark jobs of this thread once the time is up, and again until the run has ended.
+
+    Jobs are found by a tag, because a timer runs in a thread of its own.
+    """
+
+    def __init__(self, spark: SparkSession, seconds: float | None):
+        self.context, self.seconds = spark.sparkContext, seconds
+        self.tag = f"millrace-{uuid.uuid4().hex}"
+        self.expired = False
+        self._ended = threading.Event()
+
+    def _watch(self) -> None:
+        wait = self.seconds
+        while not self._ended.wait(wait):
+            self.expired, wait = True, 0.5
+            self.context.cancelJobsWithTag(self.tag)
+
+    def __enter__(self) -> _Deadline:
+        if self.seconds is not None and self.seconds > 0:
+            self.context.addJobTag(self.tag)
+            self.context.setInterruptOnCancel(True)
+            threading.Thread(target=self._watch, daemon=True).start()
+        return self
+
+    def __exit__(self, *_exc) -> None:
+        self._ended.set()
+        if self.seconds is not None and self.seconds > 0:
+            self.context.removeJobTag(self.tag)
+            self.context.setInterruptOnCancel(False)
+
+
 RUN_LOG = (
     "environment string, procedure string, in_params string, out_params string, "
     "result_code int, result_info string, error string, rows_written map<string,bigint>, seconds double"
@@ -393,34 +425,21 @@ def run_jobs(spark: SparkSession, store: TableStore, procedures: Sequence[Proced
         row = {"environment": job.environment, "procedure": job.procedure, "in_params": job.parameters,
                "out_params": None, "result_code": OK, "result_info": SUCCESS_INFO, "error": None,
                "rows_written": {}}
-        tag = f"millrace-{uuid.uuid4().hex}"
-        expired = threading.Event()
-
-        def expire(tag: str = tag, expired: threading.Event = expired) -> None:
-            expired.set()
-            spark.interruptTag(tag)
-
-        timer = threading.Timer(job.timeout, expire) if job.timeout and job.timeout > 0 else None
-        spark.addTag(tag)
+        deadline = _Deadline(spark, job.timeout)
         try:
-            if timer:
-                timer.start()
             if job.procedure not in known:
                 raise JobError(f"unknown procedure {job.procedure!r}")
             procedure = known[job.procedure]
-            variables = execute(spark, store, procedure, parse_parameters(procedure, job.parameters),
-                                known, written=row["rows_written"])
+            variables = parse_parameters(procedure, job.parameters)
+            with deadline:
+                variables = execute(spark, store, procedure, variables, known, written=row["rows_written"])
             text, missing = out_string(procedure, variables)
             row["out_params"] = text
             if missing:
                 row["error"] = "not assigned: " + ",".join(missing)
         except Exception as problem:  # any failure of a statement ends this job only
-            code, info = (TIMED_OUT, TIMEOUT_INFO) if expired.is_set() else (FAILED, FAIL_INFO)
+            code, info = (TIMED_OUT, TIMEOUT_INFO) if deadline.expired else (FAILED, FAIL_INFO)
             row |= {"result_code": code, "result_info": info, "error": str(problem).split("\n")[0]}
-        finally:
-            if timer:
-                timer.cancel()
-            spark.removeTag(tag)
         row["seconds"] = time.monotonic() - started
         log.append(row)
         callback = on_success if row["result_code"] == OK else on_fail
