@@ -33,24 +33,20 @@ def delete_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str],
     return target.join(_keys(cursor, key, staging), list(key), "left_anti")
 
 
-def last_per_key(cursor: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The last cursor row of each key.
+def last_per_key(cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
+                 keep_loose: bool = False) -> DataFrame:
+    """The last cursor row of each key; ``keep_loose`` keeps every row with a NULL in its key.
 
     An aggregate with a map-side part, so a key that holds most of the cursor never meets in one
     task.  The order columns must decide: a tie would leave the winner open.
     """
     rest = [c for c in cursor.columns if c not in key]
-    if not rest:
-        return cursor.distinct()
-    winner = F.max_by(F.struct(*rest), F.struct(*order_by)).alias("__last")
-    picked = cursor.groupBy(*key).agg(winner)
-    return picked.select(*key, "__last.*").select(*cursor.columns)
-
-
-def _last_rows(cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
-               staging: Staging | None) -> DataFrame:
-    staging = staging or Staging(cursor.sparkSession)
-    return staging.keep(last_per_key(cursor.where(_with_key(cursor, key)), key, order_by), "last")
+    group, rows = list(key), cursor
+    if keep_loose:  # a number of its own keeps such a row apart
+        own = F.when(~_with_key(cursor, key), F.monotonically_increasing_id())
+        group, rows = [*key, "__own"], cursor.withColumn("__own", own)
+    winner = F.max_by(F.struct(*rest, F.lit(0).alias("__pad")), F.struct(*order_by)).alias("__last")
+    return rows.groupBy(*group).agg(winner).select(*key, "__last.*").select(*cursor.columns)
 
 
 def upsert(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
@@ -59,17 +55,18 @@ def upsert(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: S
 
     A row with a NULL key deletes nothing and is never deleted, so all of those are inserted.
     """
-    last = _last_rows(cursor, key, order_by, staging)
-    loose = cursor.where(~_with_key(cursor, key))
+    staging = staging or Staging(cursor.sparkSession)
+    last = staging.keep(last_per_key(cursor, key, order_by, keep_loose=True), "last")
     kept = target.join(last.select(*key), list(key), "left_anti")
-    columns = target.columns
-    return kept.unionByName(last.select(*columns)).unionByName(loose.select(*columns))
+    return kept.unionByName(last.select(*target.columns))
 
 
 def update_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
                     assign: Mapping[str, str], staging: Staging | None = None) -> DataFrame:
     """For each cursor row in order: set target columns (to cursor columns) where the key is equal."""
-    last = _last_rows(cursor, key, order_by, staging)
+    staging = staging or Staging(cursor.sparkSession)
+    usable = cursor.where(_with_key(cursor, key))
+    last = staging.keep(last_per_key(usable, key, order_by), "last")
     fresh = last.select(*key, F.lit(True).alias("__hit"),
                         *[F.col(source).alias(f"__new_{column}") for column, source in assign.items()])
     joined = target.join(fresh, list(key), "left")

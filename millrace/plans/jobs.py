@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import merge
 from millrace.plans.tables import TableStore
+from millrace.staging import Staging
 
 # Outcome codes and their texts.
 OK, FAILED, TIMED_OUT = 0, -1, -2
@@ -296,7 +297,7 @@ class _Work:
         self.changed[statement.table] = self.query(
             f"SELECT {', '.join(columns)} FROM {statement.table}")
 
-    def cursor(self, block: CursorBlock) -> None:
+    def cursor(self, block: CursorBlock, staging: Staging) -> None:
         rows = self.query(block.query)
         target = self.table(block.table)
         if block.action in ("delete", "replace", "update") and not block.key:
@@ -304,13 +305,14 @@ class _Work:
         if block.action in ("replace", "update") and not block.order_by:
             raise JobError(f"a cursor {block.action} needs an order that decides the last row")
         if block.action == "delete":
-            result = merge.delete_matching(target, rows, block.key)
+            result = merge.delete_matching(target, rows, block.key, staging)
         elif block.action in ("insert", "replace"):
             if block.action == "insert":
                 kept, fresh = target, rows
             else:
-                kept = merge.delete_matching(target, rows, block.key)
-                fresh = merge.last_per_key(rows, block.key, block.order_by)
+                last = merge.last_per_key(rows, block.key, block.order_by, keep_loose=True)
+                fresh = staging.keep(last, "last")
+                kept = merge.delete_matching(target, fresh, block.key, staging)
             given = dict(block.assign or {})
             values = fresh.selectExpr(*[f"{given.get(c, c)} AS `{c}`" for c in target.columns])
             result = merge.insert_rows(kept, values)
@@ -318,7 +320,7 @@ class _Work:
             given = dict(block.assign or {})
             fresh = rows.selectExpr("*", *[f"{e} AS `__set_{c}`" for c, e in given.items()])
             result = merge.update_matching(
-                target, fresh, block.key, block.order_by, {c: f"__set_{c}" for c in given})
+                target, fresh, block.key, block.order_by, {c: f"__set_{c}" for c in given}, staging)
         else:
             raise JobError(f"unknown cursor action {block.action!r}")
         self.changed[block.table] = result
@@ -356,8 +358,9 @@ def execute(spark: SparkSession, store: TableStore, procedure: Procedure, variab
                     work.commit()
             work.commit()
         elif isinstance(block, CursorBlock):
-            work.cursor(block)
-            work.commit()
+            with Staging(spark) as staging:
+                work.cursor(block, staging)
+                work.commit()
         elif isinstance(block, CallBlock):
             if block.procedure not in (known or {}):
                 raise JobError(f"unknown procedure {block.procedure!r}")

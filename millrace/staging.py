@@ -35,15 +35,9 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
-def _file_system(spark: SparkSession, path: str):
-    """The Hadoop path and its file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    path, files = _file_system(spark, path)
-    return files.exists(path)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 class Staging:
@@ -57,6 +51,9 @@ class Staging:
         self.spark = spark
         self.path = f"{root or shared_root(spark)}/millrace/{uuid.uuid4().hex}"
         self._numbers = itertools.count()
+        # kept here, because the session may be stopped before the folder is released
+        self._jvm = spark.sparkContext._jvm
+        self._settings = spark.sparkContext._jsc.hadoopConfiguration()
         _unreleased.append(self)
 
     def folder(self, name: str) -> str:
@@ -73,8 +70,8 @@ class Staging:
         """Delete this staging folder; call it once its readers are done."""
         if self in _unreleased:
             _unreleased.remove(self)
-        path, files = _file_system(self.spark, self.path)
-        files.delete(path, True)
+        path = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self._settings).delete(path, True)
 
     def __enter__(self) -> Staging:
         return self
@@ -87,5 +84,5 @@ class Staging:
 def release_all() -> None:
     """Delete every staging folder of this program that was not released yet."""
     for staging in list(_unreleased):
-        with contextlib.suppress(Exception):  # the session may be gone already
+        with contextlib.suppress(Exception):  # the Java side may be gone already
             staging.release()
