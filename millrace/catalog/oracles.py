@@ -351,6 +351,12 @@ ORACLES: dict[str, str] = {
     "loop_block": """
         SELECT hab, count(c_custkey) AS n FROM (VALUES (1), (2), (3), (4)) v(hab)
         LEFT JOIN customer ON c_nationkey % 4 + 1 = hab GROUP BY 1""",
+    "run_log": """
+        SELECT 'p_copy_status' AS procedure, o_orderstatus AS in_params,
+               'resultcode=' || count(*) AS out_params, 0 AS result_code, 'success' AS result_info,
+               count(*) AS n_written
+        FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY o_orderstatus
+        UNION ALL SELECT 'p_missing', '', NULL, -1, 'fail', NULL""",
     "cursor_block": """
         SELECT c_custkey AS user_id, c_mktsegment AS he1, CAST(c_nationkey AS BIGINT) AS he2 FROM customer
         WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)

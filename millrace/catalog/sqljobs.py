@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import query, table
 from millrace.plans.jobs import (
-    CommonBlock, CursorBlock, Delete, Insert, LoopBlock, Param, Procedure, Select, Update, bind, execute,
+    CommonBlock, CursorBlock, Delete, Insert, Job, LoopBlock, Param, Procedure, Select, Update, bind, execute,
+    run_jobs,
 )
 from millrace.plans.tables import TableStore
 from millrace.staging import Staging
@@ -83,6 +84,25 @@ def loop_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("tally")
 
 
+@query
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a job list: outcome, out parameters and rows written per run."""
+    copy = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").limit(0)
+    store = _store(spark, sf_dir, "orders", some_orders=copy)
+    copy_status = Procedure("p_copy_status", (
+        CommonBlock(1, (
+            Delete(1, "some_orders"),
+            Insert(2, "some_orders", "select o_orderkey, o_totalprice from orders where o_orderstatus = #{status}"),
+            Select(3, "select count(*) from some_orders", (Param("resultCode", "int"),)),
+        )),
+    ), (Param("status", "string"),), (Param("resultCode", "int"),))
+    missing = Procedure("p_missing", (CommonBlock(1, (Delete(1, "orders", "o_custkey = #{nobody}"),)),))
+    log = run_jobs(spark, store, [copy_status, missing],
+                   [Job("p_copy_status", "F"), Job("p_missing"), Job("p_copy_status", "P")])
+    return log.select("procedure", "in_params", "out_params", "result_code", "result_info",
+                      F.col("rows_written")["some_orders"].alias("n_written"))
+
+
 @query
 def cursor_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample job: a cursor that replaces rows, then a copy of the target."""

@@ -23,6 +23,7 @@ from millrace.staging import Staging
 
 _MARK = "__mark"
 _RUN = "__run"
+BROADCAST_RUNS = 500_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above the low 33 bits
 
 
@@ -72,15 +73,13 @@ def index_and_count(df: DataFrame, order_by: Sequence[str | Column], out: str =
         .collect()
     )
     starts = [0, *accumulate(row["n"] for row in lengths)]
-    if len(lengths) <= 1:
-        first = lengths[0]["first"] if lengths else 0
-        return runs.withColumn(out, F.col(_MARK) - first).drop(_MARK, _RUN), starts[-1]
-    shifts = df.sparkSession.createDataFrame(
-        [(row[_RUN], start - row["first"]) for row, start in zip(lengths, starts)],
-        f"{_RUN} bigint, __shift bigint",
-    )
-    numbered = runs.join(shifts, _RUN).withColumn(out, F.col(_MARK) + F.col("__shift"))
-    return numbered.drop(_MARK, _RUN, "__shift"), starts[-1]
+    shifts = [0] * (lengths[-1][_RUN] + 1 if lengths else 1)
+    for row, start in zip(lengths, starts):
+        shifts[row[_RUN]] = start - row["first"]
+    # a constant array looked up by run, so the rows need no join
+    table = F.split(F.lit(",".join(map(str, shifts))), ",").cast("array<bigint>")
+    shift = F.get(table, F.col(_RUN).cast("int"))
+    return runs.withColumn(out, F.col(_MARK) + shift).drop(_MARK, _RUN), starts[-1]
 
 
 def add_run_offsets(
@@ -93,8 +92,8 @@ def add_run_offsets(
     """Number rows whose runs are named by ``run_keys`` (in order) inside each group.
 
     ``marked`` must be a written table, and the marks must be consecutive within a run.  The table
-    of run lengths is written as well, so that the planner sees its size in bytes when it picks
-    the join.
+    of run lengths is written as well, so that its length is known: up to ``BROADCAST_RUNS`` rows
+    it is broadcast, beyond that the join is left to the planner, on keys that are evenly filled.
     """
     before = (
         Window.partitionBy(*group_by)
@@ -113,7 +112,9 @@ def add_run_offsets(
         "offsets",
     )
     names = [*group_by, *run_keys]
+    small = offsets.count() <= BROADCAST_RUNS
     offsets = offsets.select(*[F.col(n).alias(f"__o_{n}") for n in names], "__shift")
+    offsets = F.broadcast(offsets) if small else offsets
     same = reduce(
         lambda a, b: a & b, [marked[n].eqNullSafe(offsets[f"__o_{n}"]) for n in names]
     )
