@@ -10,15 +10,17 @@ arrival at s - 1.  At any cut of the key's positions the open batch started at o
 entry positions to exit positions.  That gives three steps:
 
 1. every segment, in parallel, maps each possible entry to its exit and the batches closed on the way;
-2. those small maps are chained per key, one row per segment and entry;
+2. those small maps are chained: blocks of segments are composed in parallel to maps of their own,
+   until one block per key is left, and the real entries are then handed back down;
 3. every segment, in parallel, replays its rows from the one entry that is real.
 
-A group handed to Python holds ``segment_rows`` + ``max_rows`` rows at most, whatever the key's size.
+A group handed to Python holds ``segment_rows`` + ``max_rows`` rows, or ``max_rows`` map rows for
+each of ``block_segments`` segments, at most - whatever the key's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -79,6 +81,69 @@ def _batch_numbers(clock: np.ndarray, own: int, entry: int, base: int, max_rows:
     return numbers[own:]
 
 
+def _walk(pieces: pd.DataFrame, entry: int, base: int) -> list[tuple[int, int, int, int]]:
+    """``(segment, entry, base, done)`` along a run of segments entered at ``entry``."""
+    steps = {
+        (segment, at): (leave, closed)
+        for segment, at, leave, closed in pieces[["__segment", "__entry", "__exit", "__closed"]].itertuples(
+            index=False, name=None)
+    }
+    path = []
+    for segment in sorted(set(pieces["__segment"])):
+        if (segment, entry) not in steps:  # a halo that no rows follow
+            break
+        leave, closed = steps[segment, entry]
+        path.append((segment, entry, base, base + closed))
+        entry, base = leave, base + closed
+    return path
+
+
+def _real_entries(maps: DataFrame, key: list[str], key_ddl: str, block_segments: int,
+                  staging: Staging) -> DataFrame:
+    """``(*key, __segment, __entry, __base, __done)``: where each segment is really entered.
+
+    ``maps`` is a written table of ``(*key, __segment, __entry, __exit, __closed)``.
+    """
+    found = f"{key_ddl}, __segment long, __entry long, __base long, __done long"
+
+    def rows(group: pd.DataFrame, path: list[tuple], columns: list[str]) -> pd.DataFrame:
+        out = pd.DataFrame(path, columns=columns)
+        for name in key:
+            out[name] = group[name].iat[0]
+        return out[[*key, *columns]]
+
+    def from_start(group: pd.DataFrame) -> pd.DataFrame:
+        return rows(group, _walk(group, 0, 0), ["__segment", "__entry", "__base", "__done"])
+
+    last = maps.agg(F.max("__segment")).first()[0]
+    if last is None or last < block_segments:
+        return maps.groupBy(*key).applyInPandas(from_start, found)
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        first = group["__segment"].min()
+        leaves = {(s, e): x for s, e, x in group[["__segment", "__entry", "__exit"]].itertuples(index=False, name=None)}
+        whole = []
+        for entry in group.loc[group["__segment"] == first, "__entry"]:
+            segment, at, _, done = _walk(group, entry, 0)[-1]
+            whole.append((int(group["__block"].iat[0]), entry, leaves[segment, at], done))
+        return rows(group, whole, ["__segment", "__entry", "__exit", "__closed"])
+
+    def from_entry(group: pd.DataFrame) -> pd.DataFrame:
+        path = _walk(group, int(group["__at"].iat[0]), int(group["__from"].iat[0]))
+        return rows(group, path, ["__segment", "__entry", "__base", "__done"])
+
+    blocked = maps.withColumn("__block", F.floor(F.col("__segment") / block_segments))
+    composed = staging.keep(
+        blocked.groupBy(*key, "__block").applyInPandas(
+            compose, f"{key_ddl}, __segment long, __entry long, __exit long, __closed long"),
+        "blocks",
+    )
+    solved = staging.keep(_real_entries(composed, key, key_ddl, block_segments, staging), "solved")
+    given = solved.select(
+        *key, F.col("__segment").alias("__block"), F.col("__entry").alias("__at"), F.col("__base").alias("__from"))
+    return blocked.join(given, [*key, "__block"]).groupBy(*key, "__block").applyInPandas(from_entry, found)
+
+
 def count_or_time(
     messages: DataFrame,
     key: Sequence[str] = ("topic", "partition"),
@@ -87,14 +152,15 @@ def count_or_time(
     max_rows: int = BATCH_ROWS,
     max_wait: int = BATCH_WAIT,
     segment_rows: int = 500_000,
+    block_segments: int = 1000,
     staging: Staging | None = None,
 ) -> DataFrame:
     """``(*key, order, clock, batch, closed)`` for every message.
 
     ``clock`` holds whole seconds; messages arrive in the order (clock, order).
     """
-    if max_rows < 1 or segment_rows <= max_rows:
-        raise ValueError("need 1 <= max_rows < segment_rows")
+    if max_rows < 1 or segment_rows <= max_rows or block_segments < 2:
+        raise ValueError("need 1 <= max_rows < segment_rows and at least 2 segments in a block")
     staging = staging or Staging(messages.sparkSession)
     key = list(key)
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
@@ -133,28 +199,8 @@ def count_or_time(
         transfer, f"{key_ddl}, __segment long, __entry long, __exit long, __closed long"
     )
 
-    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: tuple = (None, None, 0, 0)  # key, segment, real entry, batches closed before it
-        after = (0, 0)
-        for frame in frames:
-            real = []
-            for row in frame.itertuples(index=False, name=None):
-                name, (number, entry, leave, closed) = row[:-4], row[-4:]
-                if name != state[0]:
-                    state, after = (name, number, 0, 0), (0, 0)
-                elif number != state[1]:
-                    state = (name, number, *after)
-                if entry == state[2]:
-                    after = (leave, state[3] + closed)
-                    real.append((*name, number, entry, state[3], after[1]))
-            yield pd.DataFrame(real, columns=[*key, "__segment", "__entry", "__base", "__done"])
-
     entries = staging.keep(
-        maps.repartition(*key)
-        .sortWithinPartitions(*key, "__segment", "__entry")
-        .mapInPandas(chain, f"{key_ddl}, __segment long, __entry long, __base long, __done long"),
-        "entries",
-    )
+        _real_entries(staging.keep(maps, "maps"), key, key_ddl, block_segments, staging), "entries")
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
         group, times, own, first = place(group)

@@ -84,6 +84,11 @@ def checked_arguments(arguments: Mapping | Sequence) -> Mapping | Sequence:
     return arguments
 
 
+def run_sql(spark: SparkSession, sql: str, arguments: Mapping | Sequence) -> DataFrame:
+    """One statement with values bound by name (``:x``) or by position (``?``)."""
+    return spark.sql(sql, args=checked_arguments(arguments))
+
+
 @dataclass(frozen=True)
 class Param:
     name: str
@@ -250,7 +255,7 @@ class _Work:
         for name in self.store.names():
             self.table(name).createOrReplaceTempView(name)
         text, arguments = bind(sql, self.variables)
-        return self.spark.sql(text, args=checked_arguments(arguments))
+        return run_sql(self.spark, text, arguments)
 
     def run(self, statement: Statement) -> None:
         if isinstance(statement, Select):

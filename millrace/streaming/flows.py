@@ -16,8 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.operators import allot, lag
 from millrace.operators.deal import split_outcomes
 from millrace.operators.records import parse_lines, record_line, split_rejects, to_payload
-from millrace.plans.channels import Channel
-from millrace.sinks.outputs import PARSE, SEND, dead_letters, write_batch_letters
+from millrace.plans.channels import Channel, Sink
+from millrace.sinks.outputs import (
+    PARSE, SEND, dead_letters, kafka_write_options, skip_manifest, write_batch_letters, write_queue,
+)
 from millrace.sources.spool import number_lines, stream_lines
 from millrace.staging import Staging
 
@@ -55,14 +57,30 @@ def ingest_lines(spark: SparkSession, channel: Channel, max_files: int | None =
     return parse_lines(lines, source.schema(), source.separator)
 
 
+def channel_sender(sink: Sink) -> Writer:
+    """Where a channel sends its payloads: its queue topic when one is named, else its table."""
+    if sink.servers and sink.topic:
+        options = kafka_write_options(sink.servers, sink.topic)
+        return lambda frame, batch_id: write_queue(frame, options)
+    if sink.table:
+        return batch_table(sink.table)
+    raise ValueError("the sink names neither a queue topic nor a table")
+
+
+def record_skipped(spark: SparkSession, channel: Channel) -> None:
+    """Append the files no rule of the channel wants to the table at its skip path."""
+    manifest = skip_manifest(spark, channel.source.directory, channel.source.name_rule)
+    manifest.write.mode("append").parquet(channel.sink.skip_path)
+
+
 def ingest_writer(channel: Channel, send: Writer | None = None) -> Writer:
     """Send good records as payloads and write the two classes of dead letters.
 
-    ``send`` defaults to the channel's table.  When sending fails, the records of the micro-batch
-    go to the ``send`` dead letters as delimited lines.
+    When sending fails, the records of the micro-batch go to the ``send`` dead letters as delimited
+    lines.
     """
     sink, source = channel.sink, channel.source
-    send = send or batch_table(sink.table)
+    send = send or channel_sender(sink)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         with Staging(batch.sparkSession) as staging:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace.plans import jobs
 from millrace.plans.jobs import (
     CallBlock, CommonBlock, CursorBlock, Delete, Insert, Job, JobError, LoopBlock, Param, Procedure, Select, Update,
-    bind, checked_arguments, execute, out_string, parse_parameters, run_jobs, run_outcome,
+    bind, checked_arguments, execute, out_string, parse_parameters, run_jobs, run_outcome, run_sql,
 )
 from millrace.plans.tables import TableStore
 
@@ -49,6 +49,16 @@ def test_bind():
         checked_arguments({"a": object()})
 
 
+def test_binds_by_name_and_position(spark):
+    import datetime
+    import decimal
+
+    values = [None, b"x", datetime.datetime(2024, 1, 2, 3), "s", 5, 2.5, True, decimal.Decimal("1.25")]
+    got = run_sql(spark, "select ?, ?, ?, ?, ?, ?, ?, ?", values).first()
+    assert [bytes(v) if isinstance(v, bytearray) else v for v in got] == values
+    assert run_sql(spark, "select :a + :b", {"a": 1, "b": 2}).first()[0] == 3
+
+
 def test_orders_must_differ():
     with pytest.raises(JobError):
         Procedure("p", (CommonBlock(1, ()), CommonBlock(1, ())))

@@ -280,8 +280,9 @@ def batch_model(clocks, max_rows, max_wait):
     return numbers, batch
 
 
-@pytest.mark.parametrize("max_rows,max_wait,segment", [(1, 5, 2), (4, 6, 5), (4, 6, 500), (7, 0, 8), (5, 10**6, 6)])
-def test_count_or_time_model(many_runs, staging, max_rows, max_wait, segment):
+@pytest.mark.parametrize("max_rows,max_wait,segment,block", [
+    (1, 5, 2, 3), (4, 6, 5, 2), (4, 6, 500, 1000), (7, 0, 8, 1000), (5, 10**6, 6, 4)])
+def test_count_or_time_model(many_runs, staging, max_rows, max_wait, segment, block):
     rng = random.Random(max_rows * 31 + segment)
     rows = []
     for key, length in (("hot", 160), ("b", 37), ("c", 1), ("d", segment), ("e", 2 * segment)):
@@ -291,7 +292,7 @@ def test_count_or_time_model(many_runs, staging, max_rows, max_wait, segment):
             rows.append((key, 0, clock, offset))
     df = many_runs.createDataFrame(rows, "topic string, partition int, clock bigint, offset bigint").repartition(3)
     got = batching.count_or_time(df, max_rows=max_rows, max_wait=max_wait, segment_rows=segment,
-                                 staging=staging).toPandas()
+                                 block_segments=block, staging=staging).toPandas()
     assert len(got) == len(rows)
     for key, group in got.sort_values("offset").groupby("topic"):
         numbers, closed = batch_model(group["clock"].tolist(), max_rows, max_wait)

@@ -1,5 +1,6 @@
 """Streams equal batches, resume after a restart, and keep going past bad records."""
 
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import deal
 from millrace.operators.records import PERSON, from_payload
-from millrace.plans.channels import resolve
+from millrace.plans.channels import Sink, resolve
 from millrace.streaming import flows
 
 
@@ -48,6 +49,17 @@ def test_ingest_and_resume(spark, tmp_path):
     assert (tmp_path / "in" / "sms1").exists()
 
 
+def test_senders_and_skipped_files(spark, tmp_path):
+    with pytest.raises(ValueError):
+        flows.channel_sender(Sink())
+    assert flows.channel_sender(Sink(servers="a:1", topic="t"))
+    ch = replace(channel(tmp_path), sink=Sink(skip_path=str(tmp_path / "skipped")))
+    land(tmp_path / "in", "sms1", ["a,1,b"])
+    land(tmp_path / "in", "other", ["a,1,b"])
+    flows.record_skipped(spark, ch)
+    assert [r["file_name"] for r in spark.read.parquet(str(tmp_path / "skipped")).collect()] == ["other"]
+
+
 def test_failed_send_becomes_dead_letters(spark, tmp_path):
     ch = channel(tmp_path)
     land(tmp_path / "in", "sms1", ["kate,13,female", "broken"])
