@@ -11,6 +11,7 @@ with a key and an order that say which row is the last one to touch a target row
 
 from __future__ import annotations
 
+import itertools
 import re
 import threading
 import time
@@ -34,6 +35,8 @@ Variables = dict[str, Value]
 
 _BIND = re.compile(r"#(\{([^}]*)\})?")
 _TEXT = re.compile(r"\$(\{([^}]*)\})?")
+_PLACEHOLDER = re.compile(
+    r"\?|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 _SAFE_TEXT = re.compile(r"[A-Za-z0-9_.]*")
 
 
@@ -84,9 +87,23 @@ def checked_arguments(arguments: Mapping | Sequence) -> Mapping | Sequence:
     return arguments
 
 
+def number_placeholders(sql: str) -> str:
+    """Give each ``?`` outside of literals, quoted names and comments a name: ``:p1``, ``:p2``, …"""
+    numbers = itertools.count(1)
+    return _PLACEHOLDER.sub(lambda m: f":p{next(numbers)}" if m.group() == "?" else m.group(), sql)
+
+
 def run_sql(spark: SparkSession, sql: str, arguments: Mapping | Sequence) -> DataFrame:
-    """One statement with values bound by name (``:x``) or by position (``?``)."""
-    return spark.sql(sql, args=checked_arguments(arguments))
+    """One statement with values bound by name (``:x``) or by position (``?``).
+
+    Positions are turned into names, because Spark 4.1 mixes up the order of a list of five or
+    more positional values.
+    """
+    arguments = checked_arguments(arguments)
+    if not isinstance(arguments, Mapping):
+        sql = number_placeholders(sql)
+        arguments = {f"p{i}": value for i, value in enumerate(arguments, start=1)}
+    return spark.sql(sql, args=arguments)
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace.plans import jobs
 from millrace.plans.jobs import (
     CallBlock, CommonBlock, CursorBlock, Delete, Insert, Job, JobError, LoopBlock, Param, Procedure, Select, Update,
-    bind, checked_arguments, execute, out_string, parse_parameters, run_jobs, run_outcome, run_sql,
+    bind, checked_arguments, execute, out_string, parse_parameters, run_jobs, run_outcome, run_sql, number_placeholders,
 )
 from millrace.plans.tables import TableStore
 
@@ -56,6 +56,8 @@ def test_binds_by_name_and_position(spark):
     values = [None, b"x", datetime.datetime(2024, 1, 2, 3), "s", 5, 2.5, True, decimal.Decimal("1.25")]
     got = run_sql(spark, "select ?, ?, ?, ?, ?, ?, ?, ?", values).first()
     assert [bytes(v) if isinstance(v, bytearray) else v for v in got] == values
+    assert number_placeholders("a = ? and b = '?' -- ?\nand `c?` = ?") == "a = :p1 and b = '?' -- ?\nand `c?` = :p2"
+    assert list(run_sql(spark, "select " + ", ".join("?" * 12), list(range(12))).first()) == list(range(12))
     assert run_sql(spark, "select :a + :b", {"a": 1, "b": 2}).first()[0] == 3
 
 
