@@ -38,7 +38,7 @@ def bind_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def select_into(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scalar read into a variable that a later statement uses."""
-    rich = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").limit(0)
+    rich = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").where("false")
     store = _store(spark, sf_dir, "orders", rich_orders=rich)
     procedure = Procedure("p_rich", (
         CommonBlock(1, (
@@ -73,7 +73,7 @@ def common_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements once per loop value, committed every two values."""
     tally = table(spark, sf_dir, "customer").select(
-        F.lit(0).alias("hab"), F.col("c_custkey").alias("n")).limit(0)
+        F.lit(0).alias("hab"), F.col("c_custkey").alias("n")).where("false")
     store = _store(spark, sf_dir, "customer", tally=tally)
     procedure = Procedure("p_loop", (
         LoopBlock(1, Param("hab", "Int"), (1, 2, 3, 4), (
@@ -87,7 +87,7 @@ def loop_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of a job list: outcome, out parameters and rows written per run."""
-    copy = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").limit(0)
+    copy = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").where("false")
     store = _store(spark, sf_dir, "orders", some_orders=copy)
     copy_status = Procedure("p_copy_status", (
         CommonBlock(1, (

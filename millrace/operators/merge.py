@@ -115,14 +115,14 @@ def override_expand(groups: DataFrame, clusters: DataFrame, details: DataFrame,
     )
     members = plain.unionByName(details.select("group", "member", "login"))
     if names is not None and len(names) == 0:
-        return members.limit(0)
+        return members.where(F.lit(False))
     return members
 
 
 def delete_where(df: DataFrame, condition: Column | None = None) -> DataFrame:
     """Rows a DELETE leaves: those where the condition is not true (NULL keeps the row)."""
     if condition is None:
-        return df.limit(0)
+        return df.where(F.lit(False))
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
