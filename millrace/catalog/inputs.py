@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import lag
+from millrace.session import ship
 from millrace.sources import queue, shapes, spool
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,7 @@ def query(function: Query) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(spark)
         return function(spark, sf_dir)
 
     run.__name__, run.__doc__ = function.__name__, function.__doc__

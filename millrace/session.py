@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Settings every operator relies on.  Sizes are left to the cluster: AQE coalesces small shuffle
@@ -32,3 +36,24 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application.
+
+    User functions refer to the modules they were written in, so a worker has to find them wherever
+    it was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace_package.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
