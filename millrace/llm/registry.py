@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, quality_rules
+from millrace.llm import bpe, line_dedup, quality_rules, sharding
+from millrace.llm.common import whole_text
 from millrace.session import ship
+from millrace.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,3 +102,21 @@ SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines,
     FILTER (shared.k IS NULL OR l.doc_id IS NOT DISTINCT FROM keeper), '')) AS kept_sha256
 FROM l LEFT JOIN shared ON l.k = shared.k GROUP BY l.r
 """
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and what they decode to, as hashes."""
+    done = bpe.digests(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in 16 written shards of equal numbers of rows."""
+    path = Staging(spark).folder("shards")
+    written = sharding.write_shards(documents(spark, sf_dir).select("doc_id", "text"), path)
+    return written.select(
+        "doc_id", "size", F.crc32(whole_text().cast("binary")).alias("text_crc32"), "law", "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
