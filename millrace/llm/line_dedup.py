@@ -64,7 +64,8 @@ def drop_shared_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy(ROW).agg(F.collect_list("__llm_at").alias("__llm_drop"))
     )
     dropped = staging.keep(dropped.withColumnRenamed(ROW, "__llm_hit"), "dropped_lines")
-    joined = with_row(df).join(dropped, F.col(ROW) == F.col("__llm_hit"), "left")
+    # always a shuffle of the text: what is dropped grows with the corpus
+    joined = with_row(df).join(dropped.hint("merge"), F.col(ROW) == F.col("__llm_hit"), "left")
     t = whole_text(F.col(f"`{text}`"))
 
     def rest(lines: Column) -> Column:
