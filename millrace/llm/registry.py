@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jaccard_join, line_dedup, quality_rules, sharding
+from millrace.llm import bpe, jaccard_join, line_dedup, lm_scoring, quality_rules, sharding
 from millrace.llm.common import whole_text
 from millrace.session import ship
 from millrace.staging import Staging
@@ -127,3 +127,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their five-word shingles."""
     found = jaccard_join.similar_documents(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and backoff-automaton scores of every text."""
+    return lm_scoring.score_texts(documents(spark, sf_dir).select("doc_id", "text"))
