@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jaccard_join, line_dedup, lm_scoring, quality_rules, sharding
+from millrace.llm import bpe, jaccard_join, language_id, line_dedup, lm_scoring, quality_model, quality_rules, sharding
 from millrace.llm.common import whole_text
 from millrace.session import ship
 from millrace.staging import Staging
@@ -133,3 +133,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and backoff-automaton scores of every text."""
     return lm_scoring.score_texts(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text and a calibrated probability."""
+    return language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that a text is of good quality."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_model.quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels)
