@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jaccard_join, language_id, line_dedup, lm_scoring, quality_model, quality_rules, sharding
-from millrace.llm.common import whole_text
+from millrace.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, quality_model, quality_rules, sharding
+from millrace.llm.common import ROW, whole_text, with_row
 from millrace.session import ship
 from millrace.staging import Staging
 
@@ -146,3 +146,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability that a text is of good quality."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality_model.quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items found in it."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    leaks = decontaminate.find_leaks(docs, items)
+    joined = with_row(docs.select("doc_id")).join(leaks, F.col(ROW) == F.col("hit"), "left")
+    none = F.array().cast(leaks.schema["item_ids"].dataType)
+    return joined.select(
+        "doc_id", F.col("hit").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"),
+        F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
