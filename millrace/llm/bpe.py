@@ -33,10 +33,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import annotate
+from millrace.llm.hashing import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-KEPT_WORDS = 1 << 19  # entries of the table of known words, per worker
+KEPT_WORDS = 1 << 18  # entries of the table of known words, per worker
+SLICE_BYTES = 1 << 20  # text split into words at a time
 KEPT_CHARS = 48  # longer words are encoded anew
 
 TOGETHER = 32  # bytes of the longest pieces that are merged many at a time
@@ -311,7 +312,7 @@ def _texts(column: pa.Array) -> Iterator[str]:
     return ((value or b"").decode("utf-8", "replace") for value in column.to_pylist())
 
 
-def _run(df: DataFrame, needs: dict, gives: dict[str, str], work) -> DataFrame:
+def _run(df: DataFrame, needs: dict, gives: dict[str, str], work, cut=lambda batch: slices(batch, "__llm_bytes", SLICE_BYTES)) -> DataFrame:
     """Replace the columns ``needs`` computes by those that ``work`` gives, batch by batch."""
     taken = {n.lower() for n in gives}
     kept = [c for c in df.columns if c.lower() not in taken]
@@ -321,9 +322,10 @@ def _run(df: DataFrame, needs: dict, gives: dict[str, str], work) -> DataFrame:
 
     def batches(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            done = work(batch)
-            columns = [batch.column(i) for i in range(len(kept))] + [done[n] for n in gives]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *gives])
+            for piece in cut(batch):
+                done = work(piece)
+                columns = [piece.column(i) for i in range(len(kept))] + [done[n] for n in gives]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *gives])
 
     return given.mapInArrow(batches, schema)
 
@@ -350,7 +352,10 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, pattern: st
         lists = batch.column("__llm_ids").to_pylist()
         return {"decoded": pa.array([b"".join([codec.tokens[i] for i in ids or ()]) for ids in lists], pa.binary())}
 
-    return _run(df, {"__llm_ids": F.col(f"`{ids}`")}, {"decoded": "binary"}, work)
+    def cut(batch):
+        return (batch.slice(i, 64) for i in range(0, batch.num_rows, 64))
+
+    return _run(df, {"__llm_ids": F.col(f"`{ids}`")}, {"decoded": "binary"}, work, cut)
 
 
 def digests(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

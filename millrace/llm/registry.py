@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, quality_model, quality_rules, sharding
+from millrace.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, pii, quality_model, quality_rules, sharding
 from millrace.llm.common import ROW, whole_text, with_row
 from millrace.session import ship
 from millrace.staging import Staging
@@ -159,3 +159,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return joined.select(
         "doc_id", F.col("hit").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digests, and all spans of personal data, of every text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    spans = pii.find_spans(docs)
+    none = F.array().cast(spans.schema["base"].dataType)
+    joined = with_row(docs.select("doc_id")).join(spans, F.col(ROW) == F.col("hit"), "left")
+    base, added = F.coalesce("base", none), F.coalesce("added", none)
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return joined.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.concat(base, added)).alias("spans"), F.size(added).cast("bigint").alias("n_added"))
