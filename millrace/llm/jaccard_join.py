@@ -3,8 +3,10 @@ connected components, by prefix filters under several global token orders.
 
 If two sets are that similar they share a token among the first ``n // 5 + 1`` of each, under *any*
 order of all tokens.  So a pair has to pass under every order used, and the filters are intersected
-before sets are compared.  Each order puts rarer tokens first (by powers of two of the number of
-documents, counted over the whole corpus) and breaks ties by a seeded hash of its own.
+before sets are compared.  Each order puts tokens of a single document first, then rarer tokens (by
+powers of two of the number of documents, counted over the whole corpus), and breaks ties by a
+seeded hash of its own.  Tokens of a single document fill a prefix but can't be shared, so they are
+not written; most documents have a fifth of such tokens and are done there.
 
 1. One scan gives every document its set size and the hash of its set; equal sets are one *class*
    from there on.  The same scan counts all shingles (``key_counts``).
@@ -41,7 +43,8 @@ ORDER_SEEDS = (101, 202, 303)
 KEY_BITS = 40  # of a shingle hash, for counting
 COMMON = 8  # documents from which on a shingle is in the table of common ones
 COMMON_ENTRIES = 1 << 20  # bound of that table (9 bytes an entry)
-STAR_ROUNDS = 2
+MAX_SEEN_BITS = 30  # bound of the bit table of shingles seen twice, as a power of two
+STAR_ROUNDS = 1
 SLICE_BYTES = 4 << 20
 
 
@@ -51,21 +54,33 @@ def prefix_length(n: int) -> int:
 
 
 class Orders:
-    """Global token orders: a power of two of the document count, then a seeded hash."""
+    """Global token orders: a power of two of the document count, then a seeded hash.
 
-    def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        self.keys, self.levels = keys, levels
+    ``seen`` has a bit per slot of the key space, set where a shingle of two documents or more falls;
+    ``keys`` and ``levels`` are the commonest shingles.  Both are bounded tables.
+    """
+
+    def __init__(self, seen: np.ndarray, seen_bits: int, keys: np.ndarray, levels: np.ndarray):
+        self.seen, self.seen_bits, self.keys, self.levels = seen, seen_bits, keys, levels
 
     def level(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(tokens), np.uint64)
-        key = tokens >> np.uint64(64 - KEY_BITS)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.levels[at], 0).astype(np.uint64)
+        """0 for tokens of one document only; growing with their number."""
+        slot = tokens >> np.uint64(64 - self.seen_bits)
+        level = (self.seen[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(np.uint64)
+        at = np.flatnonzero(level)
+        if len(self.keys) and len(at):
+            key = tokens[at] >> np.uint64(64 - KEY_BITS)
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[where] == key
+            level[at[hit]] = self.levels[where[hit]]
+        return level
 
     def prefix(self, tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-        """The prefix of one sorted set."""
-        size = prefix_length(len(tokens))
+        """The tokens in the prefix of one sorted set that other documents may hold."""
+        size = prefix_length(len(tokens)) - int((level == 0).sum())
+        if size <= 0:
+            return tokens[:0]
+        tokens, level = tokens[level > 0], level[level > 0]
         rank = level << np.uint64(58) | hashing.mix(tokens ^ np.uint64(ORDER_SEEDS[order])) >> np.uint64(6)
         return tokens[np.argsort(rank, kind="stable")[:size]]
 
@@ -108,29 +123,43 @@ def _scan(bits: int) -> Callable:
     return run
 
 
-def _common(least: int) -> Callable:
-    """Keys of one range counted often enough, with their counts."""
+def _common(bits: int, seen_bits: int) -> Callable:
+    """Of one range: the keys counted often, and the bits of all that were counted twice."""
 
     def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
         keys, counts = key_counts.counted(table.column("blob").to_pylist())
-        often = counts >= least
-        return pa.table({"key": _signed(keys[often]), "n": counts[often].astype(np.int64)})
+        seen = np.zeros(max(8, 1 << (seen_bits - bits)), bool)
+        slots = (keys[counts > 1] >> np.uint64(KEY_BITS - seen_bits)) - np.uint64(part << (seen_bits - bits))
+        seen[slots] = True
+        often = counts >= COMMON
+        return pa.table({
+            "part": [part] + [None] * int(often.sum()),
+            "seen": [np.packbits(seen, bitorder="little").tobytes()] + [None] * int(often.sum()),
+            "key": pa.array([None, *_signed(keys[often]).tolist()], pa.int64()),
+            "n": pa.array([None, *counts[often].tolist()], pa.int64()),
+        }, pa.schema([("part", pa.int32()), ("seen", pa.binary()), ("key", pa.int64()), ("n", pa.int64())]))
 
     return run
 
 
-def _table_of_common(counts: DataFrame) -> Orders:
-    """The commonest keys, at most ``COMMON_ENTRIES``: the count from which on they fit is found first."""
+def _orders(counts: DataFrame, bits: int, seen_bits: int) -> Orders:
+    """Both tables.  The commonest keys are those from the count on from which they fit the bound."""
+    seen = np.zeros(1 << (seen_bits - 3), np.uint8)
+    width = 1 << (seen_bits - bits - 3)
+    for r in counts.where("part is not null").select("part", "seen").toLocalIterator():
+        seen[r["part"] * width:(r["part"] + 1) * width] = np.frombuffer(r["seen"], np.uint8)
     level = F.floor(F.log2("n")).cast("int").alias("level")
-    sizes = {r["level"]: r["count"] for r in counts.groupBy(level).count().collect()}
+    often = counts.where("key is not null")
+    sizes = {r["level"]: r["count"] for r in often.groupBy(level).count().collect()}
     least, room = max(sizes, default=0) + 1, COMMON_ENTRIES
     while least > 0 and sizes.get(least - 1, 0) <= room:
         least -= 1
         room -= sizes.get(least, 0)
-    found = counts.where(F.col("n") >= F.lit(2).cast("bigint") ** least).select("key", level).toPandas()
+    found = often.where(F.col("n") >= F.lit(2).cast("bigint") ** least).select("key", level).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return Orders(keys[order], found["level"].to_numpy()[order].astype(np.uint8))
+    return Orders(seen, seen_bits, keys[order], found["level"].to_numpy()[order].astype(np.uint8))
 
 
 def _first_prefixes(shared) -> Callable:
@@ -220,13 +249,15 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = with_row(df).select(
         ROW, F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = key_counts.range_bits(total)
+    seen_bits = min(MAX_SEEN_BITS, max(bits + 3, (total // 6).bit_length()))
     with Staging(spark) as brief:
         scanned = brief.keep(docs.select(ROW, "text").mapInArrow(
-            _scan(key_counts.range_bits(total)), f"{ROW} bigint, n bigint, cls bigint, part int, blob binary"), "scan")
+            _scan(bits), f"{ROW} bigint, n bigint, cls bigint, part int, blob binary"), "scan")
         members = staging.keep(scanned.where(F.col(ROW).isNotNull()).select(ROW, "n", "cls"), "members")
         counts = brief.keep(scanned.where(F.col("part").isNotNull()).select("part", "blob").groupBy("part").applyInArrow(
-            _common(COMMON), "key bigint, n bigint"), "counts")
-        shared = spark.sparkContext.broadcast(_table_of_common(counts))
+            _common(bits, seen_bits), "part int, seen binary, key bigint, n bigint"), "counts")
+        shared = spark.sparkContext.broadcast(_orders(counts, bits, seen_bits))
 
     firsts = staging.keep(docs.select("text").mapInArrow(_first_prefixes(shared), "token bigint, cls bigint"), "prefixes")
     mixed = staging.keep(_open_tokens(firsts.select("token", F.col("cls").alias("comp")), ["token"]), "mixed")
