@@ -243,7 +243,10 @@ def _open_tokens(postings: DataFrame, keys: list[str]) -> DataFrame:
 
 def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       staging: Staging | None = None) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, class_id)`` of every row, in no order."""
+    """``(row, doc_id, n_shingles, component_id, class_id, group_id)`` of every row, in no order.
+
+    ``class_id`` names equal sets, ``group_id`` the component; both are NULL for the empty set.
+    """
     spark = df.sparkSession
     staging = staging or Staging(spark)
     docs = with_row(df).select(
@@ -316,5 +319,20 @@ def _named(docs: DataFrame, members: DataFrame, labels: DataFrame, staging: Stag
     return rows.join(least, F.col("comp") == F.col("g"), "left").select(
         ROW, "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        F.col("cls").alias("class_id"),
+        F.col("cls").alias("class_id"), F.col("comp").alias("group_id"),
     )
+
+
+def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                      staging: Staging | None = None) -> DataFrame:
+    """The rows that are alone, and one of each component: the smallest id (NULL last), then the first row.
+
+    Rows with an empty set are alone, whatever their ids.
+    """
+    staging = staging or Staging(df.sparkSession)
+    found = similar_documents(df, doc_id, text, staging)
+    best = found.where("class_id is not null").groupBy("group_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))).alias("first"))
+    stay = best.select(F.col("first.row").alias("stay")).union(found.where("class_id is null").select(ROW))
+    stay = staging.keep(stay, "stay")
+    return with_row(df).join(stay.hint("merge"), F.col(ROW) == F.col("stay"), "left_semi").drop(ROW)

@@ -145,5 +145,8 @@ def accepted(df: DataFrame, policy: str | Iterable[str] = CURRENT, text: str = "
     names = [f"__llm_in_{i}" for i in range(len(df.columns))]
     carried = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
     own = names[[c.lower() for c in df.columns].index(text.lower())]
-    return ledger(carried, own).where(~failed(policy)).select(
+    # explode keeps the verdict behind the measurements: a filter would be pushed below them and
+    # take a copy of all their expressions along
+    kept = F.explode(F.when(~failed(policy), F.array(F.lit(True))))
+    return ledger(carried, own).select(*names, kept.alias("__llm_kept")).select(
         *[F.col(n).alias(c) for c, n in zip(df.columns, names)])
