@@ -248,5 +248,5 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
 def clean(df: DataFrame, items: DataFrame, text: str = "text", staging: Staging | None = None) -> DataFrame:
     """The rows that hold no item, with the columns they came with."""
-    leaks = find_leaks(df, items, text, staging=staging).select("hit")
-    return with_row(df).join(leaks, F.col(ROW) == F.col("hit"), "left_anti").drop(ROW)
+    leaks = find_leaks(df, items, text, staging=staging).select(F.col("hit").alias("__llm_hit"))
+    return with_row(df).join(leaks, F.col(ROW) == F.col("__llm_hit"), "left_anti").drop(ROW)

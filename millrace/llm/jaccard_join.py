@@ -333,6 +333,6 @@ def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = similar_documents(df, doc_id, text, staging)
     best = found.where("class_id is not null").groupBy("group_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))).alias("first"))
-    stay = best.select(F.col("first.row").alias("stay")).union(found.where("class_id is null").select(ROW))
+    stay = best.select(F.col("first.row").alias("__llm_stay")).union(found.where("class_id is null").select(ROW))
     stay = staging.keep(stay, "stay")
-    return with_row(df).join(stay.hint("merge"), F.col(ROW) == F.col("stay"), "left_semi").drop(ROW)
+    return with_row(df).join(stay.hint("merge"), F.col(ROW) == F.col("__llm_stay"), "left_semi").drop(ROW)

@@ -282,12 +282,12 @@ def written(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", staging: Staging | None = None) -> DataFrame:
     """The input with ``redacted``: every span (the first of those that overlap) gives way to its kind."""
-    spans = find_spans(df, text, staging)
-    joined = with_row(df).join(spans, F.col(ROW) == F.col("hit"), "left")
+    spans = find_spans(df, text, staging).select(
+        F.col("hit").alias("__llm_hit"), F.sort_array(F.concat("base", "added")).alias("__llm_spans"))
+    joined = with_row(df).join(spans, F.col(ROW) == F.col("__llm_hit"), "left")
     t = whole_text(F.col(f"`{text}`"))
-    every = F.sort_array(F.concat("base", "added"))
     first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    done = F.aggregate(every, first, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
+    done = F.aggregate("__llm_spans", first, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
         F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"),
         s["end"].alias("at"))), lambda acc: F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.length(t))))
-    return annotate(joined, {"redacted": F.coalesce(done, t)}).drop(ROW, "hit", "base", "added")
+    return annotate(joined, {"redacted": F.coalesce(done, t)}).drop(ROW, "__llm_hit", "__llm_spans")

@@ -104,7 +104,12 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
     found = annotate(found, {
         windows: F.when(last > 0, every).otherwise(F.array().cast("array<bigint>"))}).drop(hashes)
-    return annotate(found, {"n_repeat_words": _repeat_words(F.col(windows))}).drop(windows)
+    found = annotate(found, {"n_repeat_words": _repeat_words(F.col(windows))})
+    # Explode keeps the measurements in one place: a filter on them would else be pushed below, and
+    # take a copy of all their expressions along.
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in MEASURES]
+    found = found.select(*kept, F.explode(F.array(F.struct(*MEASURES))).alias("__llm_measures"))
+    return found.select(*kept, "__llm_measures.*")
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
@@ -145,8 +150,5 @@ def accepted(df: DataFrame, policy: str | Iterable[str] = CURRENT, text: str = "
     names = [f"__llm_in_{i}" for i in range(len(df.columns))]
     carried = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
     own = names[[c.lower() for c in df.columns].index(text.lower())]
-    # explode keeps the verdict behind the measurements: a filter would be pushed below them and
-    # take a copy of all their expressions along
-    kept = F.explode(F.when(~failed(policy), F.array(F.lit(True))))
-    return ledger(carried, own).select(*names, kept.alias("__llm_kept")).select(
+    return ledger(carried, own).where(~failed(policy)).select(
         *[F.col(n).alias(c) for c, n in zip(df.columns, names)])
