@@ -115,6 +115,9 @@ ORACLES: dict[str, str] = {
     "skip_manifest": f"""
         SELECT 'tmp' AS prefix, CAST(sum(strlen(value) + 1) AS BIGINT) AS n_bytes
         FROM ({LINES}) WHERE record_type = 'tmp'""",
+    "stream_skip": f"""
+        SELECT record_type AS prefix, CAST(sum(strlen(value) + 1) AS BIGINT) AS n_bytes
+        FROM ({LINES}) WHERE record_type NOT IN ('sms', 'gsm') GROUP BY 1""",
     "strict_parse": f"""
         SELECT event_id, CASE WHEN {DAMAGED} THEN 'field_count' END AS reject_reason,
                CASE WHEN NOT {DAMAGED} THEN string_split(value, ',')[1] END AS name,

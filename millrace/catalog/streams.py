@@ -12,6 +12,7 @@ from millrace.catalog.inputs import (
 from millrace.operators import allot, deal
 from millrace.operators.records import PERSON, from_payload
 from millrace.plans.channels import resolve
+from millrace.sinks.outputs import outcome_handlers
 from millrace.sources import queue
 from millrace.staging import Staging
 from millrace.streaming import flows
@@ -19,7 +20,7 @@ from millrace.streaming import flows
 
 def _deal_stream(spark: SparkSession, dealt: DataFrame, staging: Staging) -> DataFrame:
     good, bad = staging.folder("success"), staging.folder("failed")
-    handle = flows.outcome_writer(flows.batch_table(good), flows.batch_table(bad))
+    handle = outcome_handlers(flows.batch_table(good), flows.batch_table(bad))
     flows.run_to_end(dealt, handle, staging.folder("checkpoint"))
     both = spark.read.parquet(good).unionByName(spark.read.parquet(bad))
     return both.select("event_id", "deal_tag", square_column().alias("square"))
@@ -77,20 +78,22 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = [name for name in SPOOL_NAMES.values() if name in ("sms", "gsm", "gprs")]
     channels = resolve({
         "sources": {t: {
-            "record_type": t, "directory": spool_dir, "delete_policy": "off",
+            "record_type": t, "directory": spool_dir, "delete_policy": "immediate",
             "name_rule": f"^{t}[[:alnum:]]+", "separator": ",", "columns": "name,age,sex",
         } for t in types},
         "sinks": {t: {"table": f"{table_dir}/record_type={t}", "fail_path": f"{fail_dir}/record_type={t}"}
                   for t in types},
         "channels": {t: {"source": t, "sink": t} for t in types},
     })
-    running = [
-        flows.start(flows.ingest_lines(spark, channel), flows.ingest_writer(channel),
-                    staging.folder("checkpoint"))
-        for channel in channels.values()
-    ]
-    for stream in running:
+    files = {name: flows.IngestedFiles(spark, channel, staging.folder("ingested")) for name, channel in channels.items()}
+    running = {
+        name: flows.start(flows.ingest_lines(spark, channel), flows.ingest_writer(channel, files=files[name]),
+                          staging.folder("checkpoint"))
+        for name, channel in channels.items()
+    }
+    for name, stream in running.items():
         stream.awaitTermination()
+        files[name].settle()
     sent = spark.read.parquet(table_dir)
     record = from_payload(F.col("value"), PERSON.struct())
     good = sent.select("record_type", F.lit("sent").alias("outcome"), record["age"].alias("age"))
@@ -98,3 +101,21 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("fail_class").alias("outcome"), F.lit(None).cast("int").alias("age"))
     return good.unionByName(bad).groupBy("record_type", "outcome").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("age").alias("sum_age"))
+
+
+@query
+def stream_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the files that neither of two channels on one folder wants, recorded once."""
+    staging = Staging(spark)
+    spool_dir, skip_dir = land_spool(spark, sf_dir, staging.folder("spool")), staging.folder("skipped")
+    channels = resolve({
+        "sources": {t: {
+            "record_type": t, "directory": spool_dir, "delete_policy": "off",
+            "name_rule": f"^{t}[[:alnum:]]+", "separator": ",", "columns": "name,age,sex",
+        } for t in ("sms", "gsm")},
+        "sinks": {"k": {"skip_path": skip_dir}},
+        "channels": {t: {"source": t, "sink": "k"} for t in ("sms", "gsm")},
+    })
+    for _ in range(2):
+        flows.record_skipped(spark, channels["sms"], [channels["gsm"]])
+    return spark.read.parquet(skip_dir).groupBy(file_type().alias("prefix")).agg(F.sum("length").alias("n_bytes"))

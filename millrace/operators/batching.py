@@ -15,12 +15,13 @@ entry positions to exit positions.  That gives three steps:
 3. every segment, in parallel, replays its rows from the one entry that is real.
 
 A group handed to Python holds ``segment_rows`` + ``max_rows`` rows, or ``max_rows`` map rows for
-each of ``block_segments`` segments, at most - whatever the key's size.
+each of ``block_segments`` segments (a million by default), at most - whatever the key's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from millrace.staging import Staging
 
 # The default batch length and wait in seconds.
 BATCH_ROWS, BATCH_WAIT = 30, 3
+BLOCK_ENTRIES = 1_000_000  # map rows of a block of segments
 
 
 def _closes(clock: np.ndarray, starts: np.ndarray, max_rows: int, max_wait: int) -> np.ndarray:
@@ -141,7 +143,15 @@ def _real_entries(maps: DataFrame, key: list[str], key_ddl: str, block_segments:
     solved = staging.keep(_real_entries(composed, key, key_ddl, block_segments, staging), "solved")
     given = solved.select(
         *key, F.col("__segment").alias("__block"), F.col("__entry").alias("__at"), F.col("__base").alias("__from"))
-    return blocked.join(given, [*key, "__block"]).groupBy(*key, "__block").applyInPandas(from_entry, found)
+    met = null_safe_join(blocked, given, [*key, "__block"])
+    return met.groupBy(*key, "__block").applyInPandas(from_entry, found)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on equal names, where NULL equals NULL."""
+    other = right.select(*[F.col(n).alias(f"__r_{n}") if n in names else F.col(n) for n in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in names])
+    return left.join(other, same).drop(*[f"__r_{n}" for n in names])
 
 
 def count_or_time(
@@ -152,13 +162,15 @@ def count_or_time(
     max_rows: int = BATCH_ROWS,
     max_wait: int = BATCH_WAIT,
     segment_rows: int = 500_000,
-    block_segments: int = 1000,
+    block_segments: int | None = None,
     staging: Staging | None = None,
 ) -> DataFrame:
     """``(*key, order, clock, batch, closed)`` for every message.
 
     ``clock`` holds whole seconds; messages arrive in the order (clock, order).
     """
+    # a block holds a map row per segment and possible entry: bounded whatever the batch size
+    block_segments = block_segments or max(2, min(1000, BLOCK_ENTRIES // max(1, max_rows)))
     if max_rows < 1 or segment_rows <= max_rows or block_segments < 2:
         raise ValueError("need 1 <= max_rows < segment_rows and at least 2 segments in a block")
     staging = staging or Staging(messages.sparkSession)
@@ -170,7 +182,7 @@ def count_or_time(
         messages.select(*key, F.col(clock).cast("bigint").alias("__clock"), F.col(order).alias("__order")),
         ["__clock", "__order"], key, "__pos", staging,
     )
-    segment = F.floor(F.col("__pos") / segment_rows)
+    segment = F.expr(f"__pos div {segment_rows}")
     in_halo = F.col("__pos") % segment_rows >= segment_rows - max_rows
     pieces = rows.select(
         *key, "__clock", "__order", "__pos",
@@ -201,6 +213,8 @@ def count_or_time(
 
     entries = staging.keep(
         _real_entries(staging.keep(maps, "maps"), key, key_ddl, block_segments, staging), "entries")
+    totals = entries.groupBy(*key).agg(F.max("__done").alias("__total"))
+    entered = staging.keep(null_safe_join(entries.drop("__done"), totals, key), "entered")
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
         group, times, own, first = place(group)
@@ -209,21 +223,16 @@ def count_or_time(
             max_rows, max_wait,
         )
         mine = group.iloc[own:]
-        return mine.assign(batch=numbers)[[*key, "__order", "__clock", "batch"]]
+        closed = numbers < group["__total"].iat[0]
+        return mine.assign(batch=numbers, closed=closed)[[*key, "__order", "__clock", "batch", "closed"]]
 
     batches = (
-        pieces.join(entries.drop("__done"), [*key, "__segment"])
+        null_safe_join(pieces, entered, [*key, "__segment"])
         .groupBy(*key, "__segment")
-        .applyInPandas(replay, f"{key_ddl}, __order {kinds[order]}, __clock long, batch long")
-    )
-    totals = entries.groupBy(*key).agg(F.max("__done").alias("__total"))
-    return batches.join(totals, key).select(
-        *key,
-        F.col("__order").alias(order),
-        F.col("__clock").alias(clock),
-        "batch",
-        (F.col("batch") < F.col("__total")).alias("closed"),
+        .applyInPandas(replay, f"{key_ddl}, __order {kinds[order]}, __clock long, batch long, closed boolean")
     )
+    return batches.select(
+        *key, F.col("__order").alias(order), F.col("__clock").alias(clock), "batch", "closed")
 
 
 def batch_summary(batched: DataFrame, key: Sequence[str] = ("topic", "partition"),

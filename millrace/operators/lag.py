@@ -48,17 +48,36 @@ def lag_report(offsets: DataFrame, limit: int = LAG_LIMIT) -> DataFrame:
     )
 
 
-def worker_load(allotment: DataFrame, lags: DataFrame) -> DataFrame:
-    """Partitions and total lag per worker."""
-    return (
-        allotment.join(lags, PARTITION_KEY)
+def worker_load(allotment: DataFrame, lags: DataFrame, workers: DataFrame | None = None) -> DataFrame:
+    """Partitions and total lag per worker; a partition without a lag counts with lag 0.
+
+    With ``workers`` the ones that have no partition are listed too.
+    """
+    known = lags.select(*[F.col(c).alias(f"__{c}") for c in PARTITION_KEY], "lag")
+    same = (F.col("topic") == F.col("__topic")) & (F.col("partition") == F.col("__partition"))
+    load = (
+        allotment.select("worker", *PARTITION_KEY).join(known, same, "left")
         .groupBy("worker")
-        .agg(F.count(F.lit(1)).alias("n_partitions"), F.sum("lag").alias("total_lag"))
+        .agg(F.count(F.lit(1)).alias("n_partitions"), F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag"))
     )
+    if workers is None:
+        return load
+    load = load.withColumnRenamed("worker", "__worker")
+    return workers.select("worker").distinct().join(load, F.col("worker") == F.col("__worker"), "left").select(
+        "worker", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_partitions", "total_lag")])
 
 
 def first_registrant(candidates: DataFrame, candidate: str, order_by: list[str], *group_by: str) -> DataFrame:
-    """The earliest candidate per group."""
-    return candidates.groupBy(*group_by).agg(
+    """The earliest candidate per group.
+
+    The smallest first order value comes from a hash aggregate over plain columns; only the rows that
+    have it, few per group, go through the tie-break.
+    """
+    first = candidates.groupBy(*group_by).agg(F.min(order_by[0]).alias("__first"))
+    first = first.select(*[F.col(g).alias(f"__g_{g}") for g in group_by], "__first")
+    same = F.col(order_by[0]).eqNullSafe(F.col("__first"))
+    for g in group_by:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return candidates.join(first, same, "left_semi").groupBy(*group_by).agg(
         F.min_by(F.col(candidate), F.struct(*order_by)).alias(candidate)
     )

@@ -23,7 +23,6 @@ from millrace.staging import Staging
 
 _MARK = "__mark"
 _RUN = "__run"
-BROADCAST_RUNS = 500_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above the low 33 bits
 
 
@@ -92,8 +91,7 @@ def add_run_offsets(
     """Number rows whose runs are named by ``run_keys`` (in order) inside each group.
 
     ``marked`` must be a written table, and the marks must be consecutive within a run.  The table
-    of run lengths is written as well, so that its length is known: up to ``BROADCAST_RUNS`` rows
-    it is broadcast, beyond that the join is left to the planner, on keys that are evenly filled.
+    of run lengths is written as well, so the planner joins it by its measured size.
     """
     before = (
         Window.partitionBy(*group_by)
@@ -112,9 +110,7 @@ def add_run_offsets(
         "offsets",
     )
     names = [*group_by, *run_keys]
-    small = offsets.count() <= BROADCAST_RUNS
     offsets = offsets.select(*[F.col(n).alias(f"__o_{n}") for n in names], "__shift")
-    offsets = F.broadcast(offsets) if small else offsets
     same = reduce(
         lambda a, b: a & b, [marked[n].eqNullSafe(offsets[f"__o_{n}"]) for n in names]
     )
@@ -129,7 +125,7 @@ def chunk_number(df: DataFrame, order_by: Sequence[str | Column], size: int, out
     if size < 1:
         raise ValueError("chunk size must be at least 1")
     indexed = dense_index(df, order_by, out="__row", staging=staging)
-    return indexed.withColumn(out, F.floor(F.col("__row") / size)).drop("__row")
+    return indexed.withColumn(out, F.expr(f"__row div {int(size)}")).drop("__row")
 
 
 def assign_sequence(df: DataFrame, order_by: Sequence[str | Column], start: int = 1, step: int = 1,

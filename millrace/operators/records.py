@@ -14,6 +14,7 @@ from millrace.functions.coerce import SPARK_TYPES, zero_default
 
 WRONG_ARITY = "field_count"
 UNKNOWN_TYPE = "unknown_record_type"
+NO_LINE = "no_line"  # the line is NULL
 
 
 @dataclass(frozen=True)
@@ -68,10 +69,10 @@ def parse_lines(lines: DataFrame, schema: RecordSchema, separator: str = ",",
     cells differs from the schema is rejected as a whole; a bad cell only turns into a zero value.
     """
     parts = lines.withColumn("__cells", cells(F.col(value), separator))
-    fits = F.size("__cells") == len(schema.fields)
+    fits = F.coalesce(F.size("__cells"), F.lit(-1)) == len(schema.fields)
     return parts.select(
         *lines.columns,
-        F.when(~fits, F.lit(WRONG_ARITY)).alias("reject_reason"),
+        F.when(F.col("__cells").isNull(), F.lit(NO_LINE)).when(~fits, F.lit(WRONG_ARITY)).alias("reject_reason"),
         *[F.when(fits, c).alias(n) for n, c in zip(schema.names, record_fields(F.col("__cells"), schema))],
     )
 
@@ -91,7 +92,7 @@ def parse_by_type(lines: DataFrame, record_type: Column, separator: str = ",",
     for name, schema in registry.items():
         short = F.size("__cells") != len(schema.fields)
         reason = F.when(F.col("record_type") == name, F.when(short, F.lit(WRONG_ARITY))).otherwise(reason)
-    parts = parts.withColumn("reject_reason", reason)
+    parts = parts.withColumn("reject_reason", F.when(F.col("__cells").isNull(), F.lit(NO_LINE)).otherwise(reason))
     good = F.col("reject_reason").isNull()
     return parts.select(
         *lines.columns,

@@ -18,6 +18,7 @@ import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -121,10 +122,14 @@ class Param:
             raise JobError(f"{self.name} is NULL")
         if self.kind.lower() == "string":
             return str(value)
-        try:
-            return int(value)
-        except (TypeError, ValueError):
-            raise JobError(f"{self.name}: converting {value!r} to int failed") from None
+        whole = value if isinstance(value, int) and not isinstance(value, bool) else None
+        if isinstance(value, str) and re.fullmatch(r"[+-]?[0-9]+", value):
+            whole = int(value)
+        elif isinstance(value, (float, Decimal)) and value == value and value % 1 == 0:
+            whole = int(value)
+        if whole is None or not -(1 << 63) <= whole < 1 << 63:
+            raise JobError(f"{self.name}: converting {value!r} to int failed")
+        return whole
 
 
 @dataclass(frozen=True)

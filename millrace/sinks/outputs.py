@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.days import home_clock
+from millrace.functions.days import HOME_ZONE
 from millrace.operators.deal import split_outcomes
 from millrace.sources.spool import list_files, route
 
@@ -44,12 +45,13 @@ def dead_letters(rejected: DataFrame, line: str | Column, fail_class: str | Colu
     return rejected.select(kind.alias("fail_class"), line.alias("value"))
 
 
-def _stamp(spark: SparkSession) -> str:
-    return spark.range(1).select(home_clock(F.current_timestamp())).first()[0]
+def _stamp() -> str:
+    """The driver's clock in the home zone."""
+    return datetime.now(datetime.strptime(HOME_ZONE, "%z").tzinfo).strftime("%Y%m%d%H%M%S")
 
 
 def _letter_writer(letters: DataFrame, channel: str, roll_rows: int, mode: str):
-    name = f"err_{channel}_{_stamp(letters.sparkSession)}"
+    name = f"err_{channel}_{_stamp()}"
     writer = letters.write.mode(mode).option("maxRecordsPerFile", str(roll_rows))
     return writer.option("mapreduce.output.basename", name)
 

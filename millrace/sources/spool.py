@@ -90,7 +90,7 @@ def number_lines(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
     marked = staging.keep(lines.withColumn("__mark", F.monotonically_increasing_id()), "lines")
     numbered = add_run_offsets(marked, ["file_path"], ["file_block_start"], "line_num", staging)
     rest = [c for c in lines.columns if c not in ("file_name", "file_path", "file_block_start")]
-    return numbered.select("file_name", F.col("line_num").cast("int").alias("line_num"), *rest)
+    return numbered.select("file_name", "line_num", *rest)
 
 
 def explode_lines(df: DataFrame, name: str | Column, text: str | Column, *keep: str) -> DataFrame:
@@ -114,6 +114,9 @@ def stream_lines(spark: SparkSession, path: str, rule: str | None = None, recurs
     Number them per micro-batch with ``number_lines``.  ``clean`` is ``off``, ``delete`` or
     ``archive`` and is applied by the file source once a micro-batch has been committed.
     """
+    if rule is not None and clean_options(clean, archive)["cleanSource"] != "off":
+        # the source would clean every file it lists, also those that the rule leaves unread
+        raise ValueError("a file rule and cleaning by the source don't go together")
     source = spark.readStream.options(**clean_options(clean, archive))
     if max_files:
         source = source.option("maxFilesPerTrigger", str(max_files))
@@ -167,6 +170,6 @@ def write_spool(lines: DataFrame, path: str, name: str, value: str = "value") ->
 
 LINE_SCHEMA = T.StructType([
     T.StructField("file_name", T.StringType()),
-    T.StructField("line_num", T.IntegerType()),
+    T.StructField("line_num", T.LongType()),
     T.StructField("value", T.StringType()),
 ])

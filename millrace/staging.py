@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import itertools
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="millrace-")
@@ -40,6 +41,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def _located(spark: SparkSession, path: str):
+    """A Hadoop path and its file system; listed paths come as escaped URIs."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if "://" in path or path.startswith("file:") else path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path, files = _located(spark, path)
+    files.delete(path, True)
+
+
+def move_file(spark: SparkSession, path: str, folder: str | None) -> None:
+    """Move a file into a folder, or delete it without one; a file that is gone already is fine."""
+    path, files = _located(spark, path)
+    if not files.exists(path):
+        return
+    if folder is None:
+        files.delete(path, False)
+        return
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files.mkdirs(target)
+    if not files.rename(path, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, path.getName())):
+        raise OSError(f"{path} could not be moved to {folder}")
+
+
+def batch_folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The ``batch=<n>`` folders below a path, by number."""
+    path, files = _located(spark, path)
+    found = []
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("batch="):
+            found.append((int(name.removeprefix("batch=")), status.getPath().toString()))
+    return sorted(found)
+
+
 class Staging:
     """A private folder below the shared root.  ``release`` removes only what this object made.
 

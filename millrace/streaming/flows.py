@@ -7,21 +7,20 @@ resumes; the outputs are appended under the batch number, so a replayed batch re
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators import allot, lag
-from millrace.operators.deal import split_outcomes
 from millrace.operators.records import parse_lines, record_line, split_rejects, to_payload
 from millrace.plans.channels import Channel, Sink
 from millrace.sinks.outputs import (
     PARSE, SEND, dead_letters, kafka_write_options, skip_manifest, write_batch_letters, write_queue,
 )
-from millrace.sources.spool import number_lines, stream_lines
-from millrace.staging import Staging
+from millrace.sources.spool import clean_options, name_matches, number_lines, stream_lines
+from millrace.staging import Staging, batch_folders, delete, exists, move_file
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -48,12 +47,10 @@ def run_to_end(stream: DataFrame, handle: Writer, checkpoint: str, mode: str = "
     start(stream, handle, checkpoint, mode=mode).awaitTermination()
 
 
-def ingest_lines(spark: SparkSession, channel: Channel, max_files: int | None = None,
-                 archive: str | None = None) -> DataFrame:
+def ingest_lines(spark: SparkSession, channel: Channel, max_files: int | None = None) -> DataFrame:
     """The parsed stream of a channel's spool directory: position, record columns, reject reason."""
     source = channel.source
-    lines = stream_lines(spark, source.directory, source.name_rule, max_files=max_files,
-                         clean=source.delete_policy, archive=archive)
+    lines = stream_lines(spark, source.directory, source.name_rule, max_files=max_files)
     return parse_lines(lines, source.schema(), source.separator)
 
 
@@ -67,13 +64,66 @@ def channel_sender(sink: Sink) -> Writer:
     raise ValueError("the sink names neither a queue topic nor a table")
 
 
-def record_skipped(spark: SparkSession, channel: Channel) -> None:
-    """Append the files no rule of the channel wants to the table at its skip path."""
+def record_skipped(spark: SparkSession, channel: Channel, others: Iterable[Channel] = (),
+                   aside: str | None = None) -> None:
+    """Append the files that no channel wants to the table at the channel's skip path, once each.
+
+    ``others`` are the channels that share the directory.  With ``aside`` the files move there after
+    their row is written.
+    """
     manifest = skip_manifest(spark, channel.source.directory, channel.source.name_rule)
-    manifest.write.mode("append").parquet(channel.sink.skip_path)
+    for other in others:
+        if other.source.directory == channel.source.directory:
+            manifest = manifest.where(~name_matches(F.col("file_name"), other.source.name_rule))
+    path = channel.sink.skip_path
+    if exists(spark, path):
+        known = spark.read.parquet(path).select(F.col("file_path").alias("__path"), F.col("modified").alias("__at"))
+        seen = (F.col("file_path") == F.col("__path")) & (F.col("modified") == F.col("__at"))
+        manifest = manifest.join(known, seen, "left_anti")
+    with Staging(spark) as staging:
+        new = staging.keep(manifest, "skipped")
+        new.write.mode("append").parquet(path)
+        if aside:
+            for row in new.select("file_path").toLocalIterator():
+                move_file(spark, row["file_path"], aside)
+
+
+class IngestedFiles:
+    """The files that a channel's micro-batches read, removed once their batch is committed.
+
+    Every batch notes its files before it writes anything.  They are deleted or archived when a later
+    batch starts or the run ends, so a batch that has to be replayed still finds them, and a file
+    that the channel never read is never touched.
+    """
+
+    def __init__(self, spark: SparkSession, channel: Channel, folder: str, archive: str | None = None):
+        self.policy = clean_options(channel.source.delete_policy, archive)["cleanSource"]
+        self.spark, self.folder, self.archive = spark, folder, archive
+
+    def note(self, batch: DataFrame, batch_id: int) -> None:
+        if self.policy != "off":
+            batch.select("file_path").distinct().write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+    def settle(self, before: int | None = None) -> None:
+        """Clean up after the batches below ``before`` (all, without it), which must be committed."""
+        if self.policy == "off" or not exists(self.spark, self.folder):
+            return
+        for batch_id, folder in batch_folders(self.spark, self.folder):
+            if before is None or batch_id < before:
+                for row in self.spark.read.parquet(folder).toLocalIterator():
+                    move_file(self.spark, row["file_path"], self.archive)
+                delete(self.spark, folder)
+
 
+def ingest(spark: SparkSession, channel: Channel, checkpoint: str, max_files: int | None = None,
+           archive: str | None = None, send: Writer | None = None) -> None:
+    """Ingest what is there, then clean up after it as the channel's policy says."""
+    files = IngestedFiles(spark, channel, f"{checkpoint}/ingested", archive)
+    run_to_end(ingest_lines(spark, channel, max_files), ingest_writer(channel, send, files), checkpoint)
+    files.settle()
 
-def ingest_writer(channel: Channel, send: Writer | None = None) -> Writer:
+
+def ingest_writer(channel: Channel, send: Writer | None = None, files: IngestedFiles | None = None) -> Writer:
     """Send good records as payloads and write the two classes of dead letters.
 
     When sending fails, the records of the micro-batch go to the ``send`` dead letters as delimited
@@ -83,6 +133,9 @@ def ingest_writer(channel: Channel, send: Writer | None = None) -> Writer:
     send = send or channel_sender(sink)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if files:
+            files.settle(before=batch_id)
+            files.note(batch, batch_id)
         with Staging(batch.sparkSession) as staging:
             # numbering writes the parsed lines once, so all outputs below read that table
             good, rejected = split_rejects(number_lines(batch, staging))
@@ -102,22 +155,6 @@ def ingest_writer(channel: Channel, send: Writer | None = None) -> Writer:
     return handle
 
 
-def outcome_writer(success: Writer | None, failed: Writer | None) -> Writer:
-    """Split dealt messages by their tag and write both sides from one evaluation."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            good, bad = split_outcomes(batch)
-            for frame, write in ((good, success), (bad, failed)):
-                if write:
-                    write(frame, batch_id)
-        finally:
-            batch.unpersist()
-
-    return handle
-
-
 def offset_progress(messages: DataFrame, ok: Column) -> DataFrame:
     """Running last-ok and newest offset per partition.
 
@@ -128,10 +165,8 @@ def offset_progress(messages: DataFrame, ok: Column) -> DataFrame:
 
 
 def newest_batch(spark: SparkSession, path: str) -> DataFrame:
-    """What the last micro-batch wrote with ``batch_table``."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("batch")).first()[0]
-    return versions.where(F.col("batch") == newest).drop("batch")
+    """What the last micro-batch wrote with ``batch_table``; older folders are listed, not read."""
+    return spark.read.parquet(max(batch_folders(spark, path))[1])
 
 
 def reallot_writer(current: Callable[[], DataFrame], publish: Writer,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import deal
 from millrace.operators.records import PERSON, from_payload
 from millrace.plans.channels import Sink, resolve
+from millrace.sinks import outputs
 from millrace.streaming import flows
 
 
@@ -26,7 +27,7 @@ def channel(tmp_path, **more):
 
 
 def ingest(spark, ch, tmp_path, send=None, **more):
-    flows.run_to_end(flows.ingest_lines(spark, ch, **more), flows.ingest_writer(ch, send), str(tmp_path / "checkpoint"))
+    flows.ingest(spark, ch, str(tmp_path / "checkpoint"), send=send, **more)
 
 
 def sent(spark, tmp_path):
@@ -37,10 +38,10 @@ def sent(spark, tmp_path):
 
 def test_ingest_and_resume(spark, tmp_path):
     ch = channel(tmp_path)
-    land(tmp_path / "in", "sms1", ["kate,13,female", "broken", "bob,x,male"])
+    land(tmp_path / "in", "sms1", ["nora,31,female", "broken", "bob,x,male"])
     land(tmp_path / "in", "other", ["a,1,b"])
     ingest(spark, ch, tmp_path)
-    first = [("sms1", 0, "kate", 13, "female"), ("sms1", 2, "bob", 0, "male")]
+    first = [("sms1", 0, "nora", 31, "female"), ("sms1", 2, "bob", 0, "male")]
     assert sent(spark, tmp_path) == first
     assert [r["value"] for r in spark.read.text(str(tmp_path / "fail")).collect()] == ["broken"]
     land(tmp_path / "in", "sms2", ["zoe,7,female"])
@@ -56,26 +57,28 @@ def test_senders_and_skipped_files(spark, tmp_path):
     ch = replace(channel(tmp_path), sink=Sink(skip_path=str(tmp_path / "skipped")))
     land(tmp_path / "in", "sms1", ["a,1,b"])
     land(tmp_path / "in", "other", ["a,1,b"])
-    flows.record_skipped(spark, ch)
+    for _ in range(2):
+        flows.record_skipped(spark, ch, aside=str(tmp_path / "aside"))
+    assert (tmp_path / "aside" / "other").exists() and (tmp_path / "in" / "sms1").exists()
     assert [r["file_name"] for r in spark.read.parquet(str(tmp_path / "skipped")).collect()] == ["other"]
 
 
 def test_failed_send_becomes_dead_letters(spark, tmp_path):
     ch = channel(tmp_path)
-    land(tmp_path / "in", "sms1", ["kate,13,female", "broken"])
+    land(tmp_path / "in", "sms1", ["nora,31,female", "broken"])
 
     def send(frame, batch_id):
         raise RuntimeError("broker is gone")
 
     ingest(spark, ch, tmp_path, send)
     letters = spark.read.text(str(tmp_path / "fail")).select("fail_class", "value").collect()
-    assert sorted(tuple(r) for r in letters) == [("parse", "broken"), ("send", "kate,13,female")]
+    assert sorted(tuple(r) for r in letters) == [("parse", "broken"), ("send", "nora,31,female")]
     assert list(Path(tmp_path, "fail").glob("fail_class=parse/batch=0/err_c1_*"))
 
 
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     ch = channel(tmp_path)
-    land(tmp_path / "in", "sms1", ["kate,13,female", "broken"])
+    land(tmp_path / "in", "sms1", ["nora,31,female", "broken"])
     from millrace.operators.records import parse_lines
     from millrace.sources.spool import scan_lines
 
@@ -114,7 +117,7 @@ def test_stream_equals_batch(spark, tmp_path, kind):
 
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    handle = flows.outcome_writer(flows.batch_table(good), flows.batch_table(bad))
+    handle = outputs.outcome_handlers(flows.batch_table(good), flows.batch_table(bad))
     flows.run_to_end(run(stream), handle, str(tmp_path / "checkpoint"))
     got = spark.read.parquet(good).drop("batch").unionByName(spark.read.parquet(bad).drop("batch"))
     want = run(frame)
@@ -148,3 +151,35 @@ def test_progress_over_batches_and_reallot(spark, tmp_path):
         ("w1", "t", 0), ("w2", "t", 1), ("w2", "t", 2)]
     assert sorted(tuple(r)[:4] for r in spark.read.parquet(changed).collect()) == [
         ("w1", "t", 1, "removed"), ("w2", "t", 1, "added")]
+
+
+@pytest.mark.parametrize("policy", ["immediate", "archive"])
+def test_only_ingested_files_are_cleaned_up(spark, tmp_path, policy):
+    ch = channel(tmp_path, delete_policy=policy)
+    land(tmp_path / "in", "sms1", ["a,1,b"])
+    land(tmp_path / "in", "gsm1", ["c,2,d"])
+    land(tmp_path / "in", "other", ["e,3,f"])
+    archive = str(tmp_path / "done") if policy == "archive" else None
+    ingest(spark, ch, tmp_path, archive=archive)
+    land(tmp_path / "in", "sms 2", ["x,1,y"])  # does not fit the rule
+    ingest(spark, ch, tmp_path, archive=archive)
+    assert sorted(p.name for p in (tmp_path / "in").iterdir() if not p.name.startswith(".")) == ["gsm1", "other", "sms 2"]
+    assert len(sent(spark, tmp_path)) == 1
+
+
+def test_a_batch_that_was_not_committed_can_be_replayed(spark, tmp_path):
+    ch = channel(tmp_path, delete_policy="immediate")
+    land(tmp_path / "in", "sms1", ["a,1,b"])
+
+    files = flows.IngestedFiles(spark, ch, str(tmp_path / "checkpoint" / "ingested"))
+    write = flows.ingest_writer(ch, files=files)
+
+    def crash(batch, batch_id):
+        write(batch, batch_id)
+        raise RuntimeError("the driver died before the commit")
+
+    with pytest.raises(Exception):
+        flows.run_to_end(flows.ingest_lines(spark, ch), crash, str(tmp_path / "checkpoint"))
+    assert (tmp_path / "in" / "sms1").exists()
+    ingest(spark, ch, tmp_path)
+    assert len(sent(spark, tmp_path)) == 1 and not (tmp_path / "in" / "sms1").exists()
