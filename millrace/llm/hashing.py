@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21  # bytes hashed at a time
+BLOCK = 1 << 20  # bytes hashed at a time
 SHINGLE = 5
 
 _U = np.uint64

@@ -12,10 +12,12 @@ not written; most documents have a fifth of such tokens and are done there.
    from there on.  The same scan counts all shingles (``key_counts``).
 2. Prefix tokens under the first order are written, and aggregated per token to the smallest and
    largest class.  Tokens of one class only are gone: nearly all of them.
-3. Star step: every class meets, out of the smallest classes of its shared tokens, the one it shares
-   most with.  One pair per class, however large a group of near copies is; verified pairs merge.
+3. Star steps: one holder of every shared token is drawn, and every class meets the ``STAR_MEETS``
+   drawn ones it shares most tokens with.  That many pairs per class, however large a group of near
+   copies is; verified pairs merge, and the next step draws anew.
 4. What the stars leave open: tokens, under each order, that still join different components.  Pairs
-   of such classes that fit in size and share tokens under *all* orders are verified exactly.
+   of such classes are taken where their first shared token leaves enough tokens behind it in both
+   sets, and verified exactly if that is so under *all* orders.
    Pairs inside a component are never made: they could not change it.
 
 Every step is exact, up to 64-bit hashes of shingles and sets; counts only steer the orders.
@@ -44,8 +46,9 @@ KEY_BITS = 40  # of a shingle hash, for counting
 COMMON = 8  # documents from which on a shingle is in the table of common ones
 COMMON_ENTRIES = 1 << 20  # bound of that table (9 bytes an entry)
 MAX_SEEN_BITS = 30  # bound of the bit table of shingles seen twice, as a power of two
-STAR_ROUNDS = 1
-SLICE_BYTES = 4 << 20
+STAR_ROUNDS = 3
+STAR_MEETS = 3  # classes that a class is compared with in a round
+SLICE_BYTES = 1 << 21
 
 
 def prefix_length(n: int) -> int:
@@ -76,7 +79,10 @@ class Orders:
         return level
 
     def prefix(self, tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-        """The tokens in the prefix of one sorted set that other documents may hold."""
+        """The tokens in the prefix of one sorted set that other documents may hold, in order.
+
+        The tokens of this document alone stand before them.
+        """
         size = prefix_length(len(tokens)) - int((level == 0).sum())
         if size <= 0:
             return tokens[:0]
@@ -183,13 +189,20 @@ def _first_prefixes(shared) -> Callable:
     return run
 
 
-def _blob_sets(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        for piece in hashing.slices(batch, "text", SLICE_BYTES):
-            sets = _sets(piece, "text")
-            yield pa.RecordBatch.from_pydict({
-                "cls": piece.column("cls"), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "tokens": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
+def _blob_sets(shared) -> Callable:
+    """Sets with their sizes, and how many of their tokens other documents may hold."""
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = shared.value
+        for batch in stream:
+            for piece in hashing.slices(batch, "text", SLICE_BYTES):
+                sets = _sets(piece, "text")
+                yield pa.RecordBatch.from_pydict({
+                    "cls": piece.column("cls"), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "open": pa.array([int((orders.level(s) > 0).sum()) for s in sets], pa.int64()),
+                    "tokens": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
+
+    return run
 
 
 def _all_prefixes(shared) -> Callable:
@@ -200,11 +213,12 @@ def _all_prefixes(shared) -> Callable:
                 s = np.frombuffer(packed, "<u8")
                 level = orders.level(s)
                 firsts = [orders.prefix(s, level, k) for k in range(len(ORDER_SEEDS))]
-                size = sum(map(len, firsts))
+                size, alone = sum(map(len, firsts)), int((level == 0).sum())
                 yield pa.RecordBatch.from_pydict({
                     "ord": np.repeat(np.arange(len(firsts), dtype=np.int32), list(map(len, firsts))),
                     "token": _signed(np.concatenate(firsts)), "cls": np.full(size, cls, np.int64),
-                    "comp": np.full(size, comp, np.int64), "n": np.full(size, n, np.int64)})
+                    "comp": np.full(size, comp, np.int64), "n": np.full(size, n, np.int64),
+                    "rest": np.concatenate([n - alone - np.arange(len(f)) for f in firsts])})
 
     return run
 
@@ -229,10 +243,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _labels(sets: DataFrame, links: DataFrame, staging: Staging) -> DataFrame:
-    """``(cls, comp)`` of every class that is left."""
+    """``(cls, n, open, comp)`` of every class that is left."""
     found = components(links, staging)
-    return staging.keep(sets.select("cls").join(found, F.col("cls") == F.col("node"), "left").select(
-        "cls", F.coalesce("label", "cls").alias("comp")), "labels")
+    return staging.keep(sets.select("cls", "n", "open").join(found, F.col("cls") == F.col("node"), "left").select(
+        "cls", "n", "open", F.coalesce("label", "cls").alias("comp")), "labels")
+
+
+def _star_pairs(hits: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: per class the drawn holders of its open tokens that it shares most tokens with.
+
+    Holders with few tokens of their own stand in the middle of their group, so they are likelier to
+    be drawn; every turn draws anew, so a class meets other members of a large group.
+    """
+    chance = 0.5 + F.pmod(F.xxhash64(F.lit(turn), "cls"), F.lit(1 << 20)) / (1 << 20)
+    rank = (chance * (F.col("n") - F.col("open") + 1) / F.col("n") * (1 << 28)).cast("bigint")
+    draw = (F.shiftleft(rank, 32) + F.pmod(F.xxhash64("cls"), F.lit(1 << 32))).alias("draw")
+    own = labels.select(F.col("cls").alias("c"), "n", "open", "comp", draw)
+    held = hits.select("cls", "token").join(own, F.col("cls") == F.col("c"))
+    drawn = held.groupBy(F.col("token").alias("t")).agg(
+        F.min("draw").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    named = labels.select(F.col("cls").alias("lead"), F.col("comp").alias("lead_comp"),
+                          F.col("n").alias("lead_n"), F.col("open").alias("lead_open"), draw.alias("d"))
+    drawn = drawn.join(named, F.col("first") == F.col("d")).select("t", "lead", "lead_comp", "lead_n", "lead_open")
+    met = held.join(drawn, F.col("token") == F.col("t")).where(
+        "comp <> lead_comp and 9 * least(open, lead_open) >= 4 * (n + lead_n)")
+    met = met.groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("k"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, STAR_MEETS)
+    return met.groupBy("cls").agg(most.alias("most")).select(F.col("cls").alias("a"), F.explode("most.lead").alias("b"))
 
 
 def _open_tokens(postings: DataFrame, keys: list[str]) -> DataFrame:
@@ -271,19 +308,16 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = members.where("cls is not null").groupBy("cls").agg(F.min(ROW).alias("row"))
     wanted = rows.join(hits.select(F.col("cls").alias("hit")).distinct(), F.col("cls") == F.col("hit"), "left_semi")
     sets = staging.keep(docs.select(ROW, "text").join(wanted.hint("merge"), F.col(ROW) == F.col("row")).select("cls", "text")
-                        .mapInArrow(_blob_sets, "cls bigint, n bigint, tokens binary"), "sets")
+                        .mapInArrow(_blob_sets(shared), "cls bigint, n bigint, open bigint, tokens binary"), "sets")
 
     links = None
-    labels = sets.select("cls", F.col("cls").alias("comp"))
+    labels = sets.select("cls", "n", "open", F.col("cls").alias("comp"))
     for turn in range(STAR_ROUNDS):
-        open_hits = hits.select("cls", "token").join(labels.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"))
-        leads = _open_tokens(open_hits, ["token"]).withColumnRenamed("token", "t")
-        met = open_hits.join(leads, F.col("token") == F.col("t")).where("comp <> lead")
-        met = met.groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("k"))
-        best = met.groupBy("cls").agg(F.max(F.struct("k", F.hash(F.lit(turn), "lead"), "lead")).alias("best"))
-        pairs = best.select(F.col("cls").alias("a"), F.col("best.lead").alias("b"))
+        pairs = _star_pairs(hits, labels, turn)
         new = staging.keep(_verified(pairs, sets), "links")
         links = new if links is None else links.union(new)
+        if turn and new.isEmpty():
+            break
         labels = _labels(sets, links, staging)
 
     found = _exact_rest(sets, labels, shared, staging)
@@ -293,16 +327,19 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _exact_rest(sets: DataFrame, labels: DataFrame, shared, staging: Staging) -> DataFrame:
     """Links between different components: prefixes under all orders, intersected, then verified."""
-    spread = sets.join(labels.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("cls", "comp", "n", "tokens")
-    postings = spread.mapInArrow(_all_prefixes(shared), "ord int, token bigint, cls bigint, comp bigint, n bigint")
+    comps = labels.select(F.col("cls").alias("c"), "comp")
+    spread = sets.join(comps, F.col("cls") == F.col("c")).select("cls", "comp", "n", "tokens")
+    postings = spread.mapInArrow(_all_prefixes(shared), "ord int, token bigint, cls bigint, comp bigint, n bigint, rest bigint")
     postings = staging.keep(postings, "all_prefixes")
     still = staging.keep(_open_tokens(postings, ["ord", "token"]), "open")
     still = still.select(F.col("ord").alias("o"), F.col("token").alias("t"))
     left = staging.keep(postings.join(still, (F.col("ord") == F.col("o")) & (F.col("token") == F.col("t")), "left_semi"), "left")
-    x = left.select("ord", "token", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
+    x = left.select("ord", "token", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
     y = left.select(F.col("ord").alias("o"), F.col("token").alias("t"), F.col("cls").alias("b"),
-                    F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    fits = (F.col("comp_a") < F.col("comp_b")) & (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
+                    F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+    # 9 * shared >= 4 * (n_a + n_b) must be possible if this is the first token, in this order, that both hold
+    enough = 9 * F.least("rest_a", "rest_b") >= 4 * (F.col("n_a") + F.col("n_b"))
+    fits = (F.col("comp_a") < F.col("comp_b")) & enough
     met = x.join(y, (F.col("ord") == F.col("o")) & (F.col("token") == F.col("t")) & fits).select("a", "b", "ord")
     everywhere = met.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("seen"))
     pairs = staging.keep(everywhere.where(F.col("seen") == (1 << len(ORDER_SEEDS)) - 1).select("a", "b"), "candidates")
@@ -313,7 +350,7 @@ def _named(docs: DataFrame, members: DataFrame, labels: DataFrame, staging: Stag
     """Members with the smallest id of their component."""
     ids = docs.select(F.col(ROW).alias("r"), "doc_id")
     rows = members.join(ids, F.col(ROW) == F.col("r")).drop("r")
-    rows = rows.join(labels.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left")
+    rows = rows.join(labels.select(F.col("cls").alias("c"), "comp"), F.col("cls") == F.col("c"), "left")
     rows = staging.keep(rows.select(ROW, "doc_id", "n", "cls", F.coalesce("comp", "cls").alias("comp")), "rows")
     least = rows.where("comp is not null").groupBy(F.col("comp").alias("g")).agg(F.min("doc_id").alias("least"))
     return rows.join(least, F.col("comp") == F.col("g"), "left").select(
