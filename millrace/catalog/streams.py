@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import (
-    SPOOL_NAMES, as_messages, handled, land_spool, nation_workers, query, rectangle_messages,
+    SPOOL_NAMES, as_messages, file_type, handled, land_spool, nation_workers, query, rectangle_messages,
     square_column, square_of_payload, squares_of_payloads, stream_table, table,
 )
 from millrace.operators import allot, deal
