@@ -269,7 +269,7 @@ ORACLES: dict[str, str] = {
         SELECT (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM ({CHANGES}))) AS updated,
                (SELECT count(DISTINCT o_orderkey) FROM ({CHANGES})
                 WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS inserted""",
-    "loop_expand": "SELECT c_custkey, c_name, hab FROM customer CROSS JOIN (VALUES (1), (2), (3), (4)) v(hab)",
+    "loop_expand": "SELECT c_custkey, c_name, quarter FROM customer CROSS JOIN (VALUES (1), (2), (3), (4)) v(quarter)",
     "dml_delete": """
         SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
         WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 100000)""",
@@ -352,8 +352,8 @@ ORACLES: dict[str, str] = {
                o_orderpriority
         FROM orders WHERE o_orderstatus = 'O'""",
     "loop_block": """
-        SELECT hab, count(c_custkey) AS n FROM (VALUES (1), (2), (3), (4)) v(hab)
-        LEFT JOIN customer ON c_nationkey % 4 + 1 = hab GROUP BY 1""",
+        SELECT quarter, count(c_custkey) AS n FROM (VALUES (1), (2), (3), (4)) v(quarter)
+        LEFT JOIN customer ON c_nationkey % 4 + 1 = quarter GROUP BY 1""",
     "run_log": """
         SELECT 'p_copy_status' AS procedure, o_orderstatus AS in_params,
                'resultcode=' || count(*) AS out_params, 0 AS result_code, 'success' AS result_info,
@@ -361,10 +361,7 @@ ORACLES: dict[str, str] = {
         FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY o_orderstatus
         UNION ALL SELECT 'p_missing', '', NULL, -1, 'fail', NULL""",
     "cursor_block": """
-        SELECT c_custkey AS user_id, c_mktsegment AS he1, CAST(c_nationkey AS BIGINT) AS he2 FROM customer
-        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)
-        UNION ALL
-        SELECT o_custkey, arg_max(o_orderstatus, o_orderkey), max(o_orderkey) + 1
+        SELECT o_custkey AS custkey, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) * 10 AS ticket
         FROM orders WHERE o_totalprice > 200000 GROUP BY 1""",
     "stream_single_deal": SQUARES,
     "stream_batch_deal": SQUARES,

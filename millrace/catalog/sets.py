@@ -82,7 +82,7 @@ def rows_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers once per loop value."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return merge.loop_expand(customers, "hab", [1, 2, 3, 4])
+    return merge.loop_expand(customers, "quarter", [1, 2, 3, 4])
 
 
 @query

@@ -43,11 +43,11 @@ def select_into(spark: SparkSession, sf_dir: str) -> DataFrame:
     procedure = Procedure("p_rich", (
         CommonBlock(1, (
             Select(1, "select floor(avg(o_totalprice)) from orders where o_orderstatus = #{status}",
-                   (Param("iv_mean", "Int"),)),
+                   (Param("mean_price", "Int"),)),
             Insert(2, "rich_orders",
-                   "select o_orderkey, o_totalprice from orders where o_totalprice > #{iv_mean}"),
+                   "select o_orderkey, o_totalprice from orders where o_totalprice > #{mean_price}"),
         )),
-    ), in_params=(Param("status", "string"),), out_params=(Param("iv_mean", "int"),))
+    ), in_params=(Param("status", "string"),), out_params=(Param("mean_price", "int"),))
     execute(spark, store, procedure, {"status": "F"})
     return store.read("rich_orders")
 
@@ -73,11 +73,11 @@ def common_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements once per loop value, committed every two values."""
     tally = table(spark, sf_dir, "customer").select(
-        F.lit(0).alias("hab"), F.col("c_custkey").alias("n")).where("false")
+        F.lit(0).alias("quarter"), F.col("c_custkey").alias("n")).where("false")
     store = _store(spark, sf_dir, "customer", tally=tally)
     procedure = Procedure("p_loop", (
-        LoopBlock(1, Param("hab", "Int"), (1, 2, 3, 4), (
-            Insert(1, "tally", "select #{hab}, count(*) from customer where c_nationkey % 4 + 1 = #{hab}"),
+        LoopBlock(1, Param("quarter", "Int"), (1, 2, 3, 4), (
+            Insert(1, "tally", "select #{quarter}, count(*) from customer where c_nationkey % 4 + 1 = #{quarter}"),
         ), commit_every=2),
     ))
     execute(spark, store, procedure, {})
@@ -105,22 +105,21 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cursor_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample job: a cursor that replaces rows, then a copy of the target."""
-    target = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("he1"),
-        F.col("c_nationkey").cast("bigint").alias("he2"),
+    """Customers take the status and number of their latest large order; those that have one are listed."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("status"),
+        F.col("c_nationkey").cast("bigint").alias("ticket"),
     )
-    store = _store(spark, sf_dir, "orders", target_users=target, copied_users=target)
-    procedure = Procedure("p_users", (
+    store = _store(spark, sf_dir, "orders", accounts=customers, buyers=customers.where("false"))
+    procedure = Procedure("p_accounts", (
         CursorBlock(
-            1, "select o_custkey user_id, o_orderstatus he1, o_orderkey he2 from orders "
+            1, "select o_custkey custkey, o_orderstatus status, o_orderkey ticket from orders "
                "where o_totalprice > 200000",
-            "target_users", "replace", key=("user_id",), order_by=("he2",), assign={"he2": "he2 + 1"}),
+            "accounts", "replace", key=("custkey",), order_by=("ticket",), assign={"ticket": "ticket * 10"}),
         CommonBlock(2, (
-            Delete(1, "copied_users"),
-            Insert(2, "copied_users", "select user_id, he1, he2 from target_users",
-                   ("user_id", "he1", "he2")),
+            Insert(1, "buyers", "select custkey, status, ticket from accounts where length(status) = 1",
+                   ("custkey", "status", "ticket")),
         )),
     ))
     execute(spark, store, procedure, {})
-    return store.read("copied_users")
+    return store.read("buyers")

@@ -14,8 +14,8 @@ from millrace.plans.tables import TableStore
 @pytest.fixture()
 def store(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
-    base = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (3, "c", 30)], "user_id int, he1 string, he2 int")
-    store.publish({"source": base, "target": base.where("user_id < 3"), "copy": base.limit(0)})
+    base = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (3, "c", 30)], "key int, label string, amount int")
+    store.publish({"source": base, "target": base.where("key < 3"), "copy": base.limit(0)})
     return store
 
 
@@ -70,24 +70,24 @@ def test_orders_must_differ():
 
 def test_common_block_runs_in_order(spark, store):
     execute(spark, store, one(
-        Insert(3, "copy", "select user_id, he1, he2 from target", ("user_id", "he1", "he2")),
+        Insert(3, "copy", "select key, label, amount from target", ("key", "label", "amount")),
         Delete(1, "copy"),
-        Update(2, "target", {"he2": "he2 + #{n}"}, "user_id = #{who}"),
+        Update(2, "target", {"amount": "amount + #{n}"}, "key = #{who}"),
     ), {"N": 5, "who": 2})
     assert rows(store, "copy") == [(1, "a", 10), (2, "b", 25)]
 
 
 def test_delete_keeps_rows_without_an_answer(spark, store):
-    store.publish({"target": spark.createDataFrame([(1, None, 1), (2, "b", 2)], "user_id int, he1 string, he2 int")})
-    execute(spark, store, one(Delete(1, "target", "he1 = 'b'")), {})
+    store.publish({"target": spark.createDataFrame([(1, None, 1), (2, "b", 2)], "key int, label string, amount int")})
+    execute(spark, store, one(Delete(1, "target", "label = 'b'")), {})
     assert rows(store, "target") == [(1, None, 1)]
 
 
 def test_select_into(spark, store):
-    count = Select(1, "select count(*), max(he1) from source where he2 >= #{low}", (Param("N", "int"), Param("top", "string")))
+    count = Select(1, "select count(*), max(label) from source where amount >= #{low}", (Param("N", "int"), Param("top", "string")))
     after = execute(spark, store, one(count), {"low": 20})
     assert (after["n"], after["top"]) == (2, "c")
-    for sql, into in (("select user_id from source where false", (Param("x", "int"),)),
+    for sql, into in (("select key from source where false", (Param("x", "int"),)),
                       ("select cast(null as int)", (Param("x", "int"),)),
                       ("select 1, 2", (Param("x", "int"),)), ("select 'z'", (Param("x", "int"),)),
                       ("select 1", ())):
@@ -114,16 +114,16 @@ def test_loop_commits_in_chunks(spark, store):
 
 def test_cursor_actions(spark, store):
     def run(action, **more):
-        block = CursorBlock(1, "select user_id, he1, he2 from source where user_id > 1", "target", action, **more)
+        block = CursorBlock(1, "select key, label, amount from source where key > 1", "target", action, **more)
         execute(spark, store, Procedure("p", (block,)), {})
         return rows(store, "target")
 
-    keyed = {"key": ("user_id",), "order_by": ("he2",)}
-    assert run("update", assign={"he1": "concat(he1, '!')"}, **keyed) == [(1, "a", 10), (2, "b!", 20)]
-    assert run("replace", assign={"he2": "he2 + 1"}, **keyed) == [(1, "a", 10), (2, "b", 21), (3, "c", 31)]
+    keyed = {"key": ("key",), "order_by": ("amount",)}
+    assert run("update", assign={"label": "concat(label, '!')"}, **keyed) == [(1, "a", 10), (2, "b!", 20)]
+    assert run("replace", assign={"amount": "amount + 1"}, **keyed) == [(1, "a", 10), (2, "b", 21), (3, "c", 31)]
     assert run("insert") == [(1, "a", 10), (2, "b", 20), (2, "b", 21), (3, "c", 30), (3, "c", 31)]
-    assert run("delete", key=("user_id",)) == [(1, "a", 10)]
-    for action, more in (("delete", {}), ("replace", {"key": ("user_id",)}), ("merge", keyed)):
+    assert run("delete", key=("key",)) == [(1, "a", 10)]
+    for action, more in (("delete", {}), ("replace", {"key": ("key",)}), ("merge", keyed)):
         with pytest.raises(JobError):
             run(action, **more)
 
@@ -168,7 +168,7 @@ def test_out_string():
 
 
 def test_store_versions(spark, store):
-    frame = store.read("source").withColumn("he2", F.col("he2") + 1)
+    frame = store.read("source").withColumn("amount", F.col("amount") + 1)
     assert store.publish({"source": frame}) == {"source": 3}
     again = TableStore(spark, store.root)
     assert again.names() == ["copy", "source", "target"]

@@ -232,7 +232,7 @@ def test_statements(spark):
     assert rows_of(merge.insert_rows(df, extra, ["k"])) == [(1, "a"), (2, None), (5, None)]
     with pytest.raises(ValueError):
         merge.insert_rows(df, extra)
-    assert merge.loop_expand(df, "hab", [1, 2, 3]).count() == 6
+    assert merge.loop_expand(df, "quarter", [1, 2, 3]).count() == 6
 
 
 # --- deal --------------------------------------------------------------------------------------
