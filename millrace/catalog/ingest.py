@@ -262,3 +262,18 @@ def empty_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_mktsegment",
     )
     return normalise.empty_to_null(customers)
+
+
+@query
+def pick_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured columns of a table in configured order."""
+    return normalise.pick(table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"])
+
+
+@query
+def row_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tells a table from a copy that lost a status and doubled another."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    copy = orders.where("o_orderstatus <> 'P'").union(orders.where("o_orderstatus = 'F'"))
+    odd = normalise.odd_rows(orders, copy)
+    return odd.groupBy("o_orderstatus").agg(F.sum("surplus").alias("surplus"), F.count(F.lit(1)).alias("n_rows"))

@@ -180,6 +180,11 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 3, 'o_totalprice', 'double', NULL
             UNION ALL SELECT 4, 'o_orderdate', 'timestamp_ntz', NULL
             UNION ALL SELECT 5, 'o_orderpriority', 'string', (SELECT CAST(max(length(o_orderpriority)) AS INTEGER) FROM orders))""",
+    "pick_columns": "SELECT o_totalprice, o_orderkey FROM orders",
+    "row_difference": """
+        SELECT o_orderstatus, CAST(sum(CASE o_orderstatus WHEN 'P' THEN 1 ELSE -1 END) AS BIGINT) AS surplus,
+               count(DISTINCT o_custkey) AS n_rows
+        FROM orders WHERE o_orderstatus IN ('P', 'F') GROUP BY 1""",
     "number_normalise": """
         SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS o_totalprice, o_custkey,
                CAST(o_orderstatus = 'F' AS INTEGER) AS finished

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+LONG_DIGITS = 18  # digits that always fit 64 bits
+
+
 def _normal_number(field: T.StructField, strict: bool) -> Column:
     column = F.col(f"`{field.name}`")
     kind = field.dataType
     if isinstance(kind, T.DecimalType) and not strict:
-        return column.cast("double" if kind.scale > 0 else "bigint")
+        if kind.scale > 0:
+            return column.cast("double")
+        return column.cast("bigint") if kind.precision <= LONG_DIGITS else column
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
         return column.cast("bigint")
     if isinstance(kind, T.FloatType):
@@ -25,7 +30,8 @@ def _normal_number(field: T.StructField, strict: bool) -> Column:
 def normalise_numbers(df: DataFrame, strict: bool = False) -> DataFrame:
     """Widen numbers: scaled decimals to double, whole ones to bigint, floats to double.
 
-    The decimal rule loses digits beyond 15 (or beyond 64 bits); ``strict`` keeps decimals.
+    Doubles lose digits beyond 15.  Whole decimals that may not fit 64 bits stay decimals, as all do
+    with ``strict``.
     """
     return df.select(*[_normal_number(f, strict).alias(f.name) for f in df.schema.fields])
 
@@ -123,16 +129,18 @@ def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def same_rows(left: DataFrame, right: DataFrame) -> bool:
-    """Whether two frames hold the same rows, order aside and counting duplicates."""
+def odd_rows(left: DataFrame, right: DataFrame, surplus: str = "surplus") -> DataFrame:
+    """Distinct rows that the frames hold in different numbers; ``surplus`` is what the left has more."""
     names = left.columns
-    if sorted(names) != sorted(right.columns):
-        return False
-    signed = left.select(*names, F.lit(1).alias("__n")).unionByName(
-        right.select(*names, F.lit(-1).alias("__n"))
+    signed = left.select(*names, F.lit(1).alias(surplus)).unionByName(
+        right.select(*names, F.lit(-1).alias(surplus))
     )
-    odd = signed.groupBy(*names).agg(F.sum("__n").alias("__n")).where("__n <> 0")
-    return odd.isEmpty()
+    return signed.groupBy(*names).agg(F.sum(surplus).alias(surplus)).where(F.col(surplus) != 0)
+
+
+def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two frames hold the same rows, order aside and counting duplicates."""
+    return sorted(left.columns) == sorted(right.columns) and odd_rows(left, right, "__n").isEmpty()
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
