@@ -117,15 +117,29 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) ->
             yield hashes[:0]
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of their low bytes, next bytes and so on, compressed.
+
+    Small numbers have high planes of zeros, and what is left of a plane is coded by its entropy.
+    """
+    wide = numbers.astype("<u8")
+    planes = wide.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(wide).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, low bytes first: the high bytes are runs of zeros that compress."""
-    steps = np.diff(keys, prepend=_U(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences."""
+    return pack_numbers(np.diff(keys, prepend=_U(0)))
 
 
 def unpack_sorted(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=_U)
+    return np.cumsum(unpack_numbers(packed), dtype=_U)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:

@@ -108,14 +108,14 @@ def _request(order: int, key_bits: int, bits: int) -> Callable:
         for k in range(1, order + 1):
             ok = grams.valid(k)
             keys, at = np.unique(grams.keys[k][ok], return_inverse=True)
-            counts = np.bincount(at, train[ok], len(keys)).astype("<u4")
+            counts = np.bincount(at, train[ok], len(keys)).astype("<u8")
             done = 0
             for part, own in key_counts.cut(keys >> _U(64 - _key_bits(k, key_bits)), _key_bits(k, key_bits), bits):
                 out["unit"].append(unit)
                 out["part"].append(part)
                 out["k"].append(k)
                 out["keys"].append(hashing.pack_sorted(own))
-                out["counts"].append(_planes(counts[done:done + len(own)]))
+                out["counts"].append(hashing.pack_numbers(counts[done:done + len(own)]))
                 done += len(own)
         return pa.table(out, _REQUEST)
 
@@ -125,26 +125,17 @@ def _request(order: int, key_bits: int, bits: int) -> Callable:
 _REQUEST = pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, low bytes first, so that runs of zeros compress."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 def _answer(table: pa.Table) -> pa.Table:
     """Add up the counts of one range and order; answer every unit in the order of its keys."""
     units = table.column("unit").to_pylist()
     keys = [hashing.unpack_sorted(b) for b in table.column("keys").to_pylist()]
-    counts = np.concatenate([_numbers(b) for b in table.column("counts").to_pylist()])
+    counts = np.concatenate([hashing.unpack_numbers(b) for b in table.column("counts").to_pylist()])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.minimum(np.bincount(at, counts), 2 ** 32 - 1)[at].astype("<u4")
+    total = np.bincount(at, counts)[at].astype("<u8")
     edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).tolist()
     return pa.table({
         "unit": units, "part": table.column("part"), "k": table.column("k"),
-        "counts": [_planes(total[a:b]) for a, b in zip(edges[:-1], edges[1:])],
+        "counts": [hashing.pack_numbers(total[a:b]) for a, b in zip(edges[:-1], edges[1:])],
     }, pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("counts", pa.binary())]))
 
 
@@ -175,7 +166,7 @@ def _score(order: int, key_bits: int, total: int, distinct: int, priors) -> Call
         for k in range(1, order + 1):
             ok = grams.valid(k)
             _, at = np.unique(grams.keys[k][ok], return_inverse=True)
-            known = np.concatenate([np.zeros(0, "<u4"), *[_numbers(c) for o, _, c in told if o == k]])
+            known = np.concatenate([np.zeros(0, "<u8"), *[hashing.unpack_numbers(c) for o, _, c in told if o == k]])
             counts[k] = np.zeros(len(ok), np.int64)
             counts[k][ok] = known[at]
         base, score = walk(grams, counts, total, distinct, priors)
