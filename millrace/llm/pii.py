@@ -3,15 +3,16 @@
 Two families of generators propose spans in every whole text.  The *base* generators are exact
 patterns with a check (digits, parts, Luhn); what they find always stays.  The *loose* ones also take
 written-out addresses, local phone numbers and other separators; they overlap the base spans freely.
-Every loose candidate gets format features (digits, separators, signs) and context features (words
-before, neighbours).  Candidates that a base span confirms are positive examples; those with evidence
+Loose cards are all runs of 13 to 19 digits that start and end at the border of a group of digits, so
+they overlap each other too, and two cards side by side are proposed one by one.  Every loose candidate gets format features (digits, separators, signs, and whether the check digit of a card or
+the parts of an address hold) and context features (words before, neighbours).  Candidates that a base span confirms are positive examples; those with evidence
 against them (a wrong check digit, a part over 255, a date) are negative; the rest is unlabelled.
 
 Boosted trees of depth two learn on the counts of distinct feature rows, so what the driver sees is
 bounded by the product of the features' values, not by the corpus.  The trees become one SQL
 expression.  Per kind the lowest score that keeps ``PRECISION`` among the labelled candidates set
 aside is the threshold; an unlabelled candidate above it is added unless it overlaps a base span or a
-better candidate.  Everything that touches rows is a column expression.
+better candidate that is added.  Everything that touches rows is a column expression.
 
 Offsets count code points, ends are exclusive.  Patterns never cross a line feed.  Patterns use
 possessive repeats and start only where a run of their characters starts, so a text costs time in
@@ -49,7 +50,8 @@ BASE = {
 LOOSE = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z.])[0-9]++(?:\.[0-9]++){3,}+(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z.+])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9A-Za-z])",
+    # the first digit of a group; looks at the 13 to 20 digits from there, and at a letter after them
+    "card": r"(?<![0-9A-Za-z+])(?<!(?<![0-9])\.)(?=([0-9](?:[\x20.-]?[0-9]){12,19}+[A-Za-z]?+))[0-9]",
     "phone": r"(?<![0-9A-Za-z.])(?:\+|\()?[0-9](?:[\x20().-]{0,2}[0-9]){7,14}+(?![0-9A-Za-z])",
 }
 _GATES = {"email": r"@|[(\[](?:at|AT)[)\]]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
@@ -57,7 +59,9 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 _WORDS = r"(?i)(mail|contact|call|phone|tel|mobile|fax|card|visa|credit|pay|host|server|address)"
 
-FEATURES = ("kind", "digits", "separators", "plus", "paren", "at", "before", "after", "word", "parts")
+_CARD_DIGITS = range(13, 20)
+
+FEATURES = ("kind", "digits", "separators", "plus", "paren", "at", "before", "after", "word", "parts", "check")
 
 
 def _digits(match: Column) -> Column:
@@ -86,15 +90,25 @@ def _base_holds(kind: Column, match: Column) -> Column:
 
 
 def _found(text: Column, family: str, kind: str, pattern: str) -> Column:
-    """The matches of one pattern in order, each with the text before it and the character after."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """The matches of one pattern in order, each with the text before it and the characters it takes.
+
+    A loose card takes the first digit only, and its match is all that may belong to it.
+    """
+    starts = (family, kind) == ("loose", "card")
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(starts)))
     gaps = F.split(text, pattern)
     rows = F.zip_with(matches, gaps, lambda m, g: F.struct(
         F.lit(family).alias("family"), F.lit(kind).alias("kind"), m.alias("match"),
-        F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before")))
+        (F.lit(1) if starts else F.length(m)).alias("width"), F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before")))
     some = F.filter(rows, lambda r: r["match"].isNotNull())
     return F.when(text.rlike(_GATES[kind]), some).otherwise(F.array().cast(
-        "array<struct<family:string,kind:string,match:string,gap:int,before:string>>"))
+        "array<struct<family:string,kind:string,match:string,width:int,gap:int,before:string>>"))
+
+
+def _card_runs(match: Column) -> Column:
+    """The runs of digits from the start of a match to the end of a group, one per number of digits."""
+    runs = F.array(*[F.regexp_extract(match, rf"^(?:[0-9][\x20.-]?){{{n - 1}}}+[0-9](?![0-9A-Za-z])", 0) for n in _CARD_DIGITS])
+    return F.filter(runs, lambda r: r != "")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -105,8 +119,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     each = docs.select(ROW, F.explode(F.array(*arrays)).alias("found")).select(ROW, F.posexplode("found").alias("k", "f"))
     each = each.select(ROW, "k", "f.*")
     before = Window.partitionBy(ROW, "family", "kind").orderBy("k")
-    end = F.sum(F.col("gap") + F.length("match")).over(before)
-    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
+    start = F.sum(F.col("gap") + F.col("width")).over(before) - F.col("width")
+    starts = (F.col("family") == "loose") & (F.col("kind") == "card")
+    runs = F.explode(F.when(starts, _card_runs(F.col("match"))).otherwise(F.array("match"))).alias("match")
+    placed = each.withColumn("start", start).select(ROW, "family", "kind", "start", "before", runs)
+    placed = placed.withColumn("end", F.col("start") + F.length("match"))
     return placed.select(ROW, "family", "kind", "start", "end", "match", "before")
 
 
@@ -126,6 +143,7 @@ def _features() -> dict[str, Column]:
         "after": F.when(match.rlike(r"[0-9]$"), 1).otherwise(0),
         "word": before.rlike(_WORDS).cast("int"),
         "parts": F.least(F.size(F.split(match, r"[\x20.()-]+")), F.lit(6)),
+        "check": (F.col("kind").isin("card", "ip") & ~F.col("against")).cast("int"),
     }
 
 
@@ -255,8 +273,12 @@ def find_spans(df: DataFrame, text: str = "text", staging: Staging | None = None
         return (s["start"] < F.col("end")) & (F.col("start") < s["end"])
 
     held = F.coalesce("held", F.array().cast(base.schema["base"].dataType))
+
+    def same(s: Column) -> Column:  # a part of a card is none
+        return (s["kind"] == F.col("kind")) & ((F.col("kind") != "card") | ((s["start"] == F.col("start")) & (s["end"] == F.col("end"))))
+
     loose = loose.withColumn("touches", F.exists(held, crosses)).withColumn(
-        "confirmed", F.exists(held, lambda s: crosses(s) & (s["kind"] == F.col("kind"))))
+        "confirmed", F.exists(held, lambda s: crosses(s) & same(s)))
     loose = staging.keep(loose.select(ROW, "kind", "start", "end", "against", "touches", "confirmed", *_COLUMNS), "loose")
 
     fold = F.pmod(F.xxhash64(ROW, "start"), F.lit(2)).cast("int").alias("fold")
@@ -266,9 +288,13 @@ def find_spans(df: DataFrame, text: str = "text", staging: Staging | None = None
 
     new = loose.where(~F.col("touches") & ~F.col("against")).withColumn("score", trees.column()).where(trees.above())
     new = new.groupBy(ROW).agg(F.sort_array(F.collect_list(_span(False))).alias("added")).select(F.col(ROW).alias("a"), "added")
-    better = F.filter("added", lambda s: ~F.exists("added", lambda o: (
-        (o["start"] < s["end"]) & (s["start"] < o["end"])
-        & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & ((o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["kind_no"] < s["kind_no"]))))))))
+    # best first; what overlaps one that stays goes, what overlaps only those that go may stay
+    ranked = F.array_sort(F.transform("added", lambda s: F.struct(
+        (-s["score"]).alias("least"), s["start"].alias("at"), s["kind_no"].alias("no"), (-s["end"]).alias("upto"), s.alias("span"))))
+    none_yet = F.array().cast(new.schema["added"].dataType)
+    better = F.array_sort(F.aggregate(ranked, none_yet, lambda kept, r: F.when(
+        F.exists(kept, lambda o: (o["start"] < r["span"]["end"]) & (r["span"]["start"] < o["end"])), kept).otherwise(
+        F.concat(kept, F.array(r["span"])))))
     none = F.array().cast(base.schema["base"].dataType)
     both = base.join(new, F.col(ROW) == F.col("a"), "full")
     return staging.keep(both.select(

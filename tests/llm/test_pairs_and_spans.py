@@ -227,6 +227,34 @@ def test_learnt_spans_are_added_and_redacted(spark, staging):
     assert done[0] == "call me at [phone] today" and done[200] == texts[200]
 
 
+def card(rng, valid=True):
+    digits = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+    last = next(d for d in range(10) if holds("card", f"{digits}{d}"))
+    return f"{digits}{last if valid else (last + rng.randrange(1, 10)) % 10}"
+
+
+def test_adjacent_cards_are_added_beside_numbers_that_fail(spark, staging):
+    rng = random.Random(6)
+    texts = [f"so {card(rng)} was" for _ in range(150)] + [f"so {card(rng, False)} was" for _ in range(150)]
+    want = {}
+    for size, gap in ((1, " "), (1, "-"), (1, "."), (2, " "), (3, " ")):
+        for valid in range(1 << size + 1):
+            parts = [card(rng, valid >> k & 1) for k in range(size + 1)]
+            text = "so " + gap.join(parts) + " was"
+            if base_spans(text) == "":
+                want[len(texts)] = [(3 + 17 * k, 19 + 17 * k) for k in range(size + 1) if valid >> k & 1]
+                texts.append(text)
+    cut = card(rng), card(rng)
+    for text in (f"x{cut[0]} {cut[1]}", f"{cut[0]} {cut[1]}x"):  # one of them runs into a letter
+        want[len(texts)] = [(18, 34)] if text[0] == "x" else [(0, 16)]
+        texts.append(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    numbered = {r[ROW]: r["doc_id"] for r in with_row(df).collect()}
+    got = {numbered[r["hit"]]: [(s["start"], s["end"]) for s in r["added"] if s["kind"] == "card"]
+           for r in pii.find_spans(df, staging=staging).collect() if r["added"]}
+    assert got == {i: spans for i, spans in want.items() if spans}
+
+
 def test_base_digest_of_the_query(spark, data_dir):
     from millrace.llm.registry import QUERIES
 
