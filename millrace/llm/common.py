@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,61 @@ def id_crc(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+_MADE_HERE = {"LogicalRDD", "LocalRelation", "Range", "OneRowRelation"}
+_KEEPS_ROWS = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _nodes(plan) -> list:
+    found = [plan]
+    for node in found:  # grows while it is walked
+        children = node.children()
+        found.extend(children.apply(k) for k in range(children.size()))
+    return found
+
+
+def _is_parquet(node) -> bool:
+    if not node.getClass().getName().endswith(".LogicalRelation"):
+        return False
+    relation = node.relation()
+    return relation.getClass().getName().endswith(".HadoopFsRelation") and relation.fileFormat().toString() == "Parquet"
+
+
+def _file_path(uri: str) -> str:
+    """A listed file as ``_metadata.file_path`` writes it."""
+    return uri.replace(":///", ":/", 1)
+
+
+def _file_numbers(paths: list[str]) -> tuple[int, int]:
+    """``(seed, digits)``: so many hex digits of the MD5 of seed and path tell all files apart."""
+    digits = max(6, ceil(log2(max(2, len(paths))) / 2) + 1)
+    while digits <= 10:
+        for seed in range(20):
+            if len({md5(f"{seed}{p}".encode()).hexdigest()[:digits] for p in paths}) == len(paths):
+                return seed, digits
+        digits += 1
+    raise ValueError(f"{len(paths)} files are too many to number rows by file and position")
+
+
 def with_row(df: DataFrame) -> DataFrame:
-    """Number the rows by their place in the scan.
+    """Number the rows by their file and their position in it, which no layout of a scan changes.
 
-    The frame must give the same rows in the same order when it is read again, as a table on disk
-    does; anything else has to be written first.
+    The frame has to be columns and rows of one Parquet table, or made in the driver (those keep
+    their order); anything else has to be written first.
     """
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    nodes = _nodes(df._jdf.queryExecution().analyzed())
+    leaves = [n for n in nodes if not n.children().size()]
+    if all(n.nodeName() in _MADE_HERE for n in leaves):
+        return df.withColumn(ROW, F.monotonically_increasing_id())
+    if len(leaves) != 1 or not _is_parquet(leaves[0]) or any(n.nodeName() not in _KEEPS_ROWS for n in nodes if n not in leaves):
+        raise ValueError("rows can be numbered in a Parquet table only; write the frame first")
+    paths = sorted({_file_path(uri) for uri in df.inputFiles()})
+    seed, digits = _file_numbers(paths)
+    place = df.metadataColumn("_metadata")
+    file = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), place["file_path"]).cast("binary")), 1, digits), 16, 10).cast("bigint")
+    room = 63 - 4 * digits
+    at = F.when(place["row_index"] < F.lit(1 << room), place["row_index"]).otherwise(
+        F.raise_error(F.lit(f"a file has more than 2^{room} rows")).cast("bigint"))
+    return df.withColumn(ROW, F.shiftleft(file, room) + at)
 
 
 def annotate(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

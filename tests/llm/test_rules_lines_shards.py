@@ -113,3 +113,28 @@ def test_query_digests(spark, data_dir):
     kept = QUERIES["op9_line_dedup"](spark, data_dir).where("n_dropped = 0").collect()
     assert all(r["kept_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest() for r in kept)
     assert QUERIES["op5_quality_rules"](spark, data_dir).where(F.col("kept") & F.col("base_failed")).count() == 0
+
+
+def test_row_numbers_hold_under_any_layout(spark, tmp_path):
+    from millrace.llm.common import ROW, with_row
+
+    path = str(tmp_path / "a b%20ü")
+    spark.range(4000).selectExpr("id", "id % 7 as _metadata").repartition(5).write.parquet(path)
+    table = spark.read.parquet(path)
+    from millrace.llm import common
+
+    listed = {common._file_path(uri) for uri in table.inputFiles()}
+    assert listed == {r[0] for r in table.select(table.metadataColumn("_metadata")["file_path"]).distinct().collect()}
+    seen = []
+    for least, largest in (("1", "128m"), ("64", "128m"), ("1", "2k")):
+        spark.conf.set("spark.sql.files.minPartitionNum", least)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", largest)
+        try:
+            seen.append({r["id"]: r[ROW] for r in with_row(table.select("id")).collect()})
+            seen.append({r["id"]: r[ROW] for r in with_row(table.where("id > -1")).select("id", ROW).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(s == seen[0] for s in seen) and len(set(seen[0].values())) == 4000
+    with pytest.raises(ValueError):
+        with_row(table.union(table))
