@@ -14,7 +14,9 @@ length.  That bound loses nothing.  A pair at similarity 0.8 differs in some ten
 deviation of three, and a passage lies in several windows, so a radius of 24 loses next to none.
 
 The benchmark is compiled with Spark and read by the driver in slices of at most ``SLICE_ITEMS``
-items (shortened where items are long), one pass over the documents per slice.
+items (shortened where items are long), one pass over the documents per slice.  Shingles of two items
+or more weigh less in every slice, so where there are several slices their weights go to all of them, as one table of 16 bytes
+a shingle: what is found does not depend on how the items are sliced.
 
 Defined results: shingles of items or documents with fewer than five words are their whole word
 sequence, which then has to be met exactly; NULL and empty items match nothing; NULL and empty
@@ -77,6 +79,22 @@ def compile_items(items: DataFrame, item_id: str, text: str, staging: Staging) -
     return staging.keep(found.select(ROW, "item_id", "n_words", F.col("x.shingle").alias("shingles"), F.col("x.d").alias("held_by")), "items")
 
 
+class Weights:
+    """Weights of shingles, in a sorted table with a filter before it."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        self.keys, self.weights = keys, weights
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[keys >> _U(44)] = True
+
+    def find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shingles are in the table, and where."""
+        at = np.flatnonzero(self.filter[shingles >> _U(44)])
+        where = np.minimum(np.searchsorted(self.keys, shingles[at]), len(self.keys) - 1)
+        hit = self.keys[where] == shingles[at] if len(at) else np.zeros(0, bool)
+        return at[hit], where[hit]
+
+
 class Index:
     """The items of a slice: shingle weights, and a multi-index of fingerprints per item length."""
 
@@ -85,9 +103,7 @@ class Index:
         shingles = [np.array(r["shingles"], np.int64).view(_U) for r in rows]
         weights = [1 / (1 + np.log2(np.array(r["held_by"], float))) for r in rows]
         keys, at = np.unique(np.concatenate(shingles), return_index=True)
-        self.keys, self.weights = keys, np.concatenate(weights)[at]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[keys >> _U(44)] = True
+        self.table = Weights(keys, np.concatenate(weights)[at])
         self.sets, self.by_length = [], {}
         for i, (r, s, w) in enumerate(zip(rows, shingles, weights)):
             own, first = np.unique(s, return_index=True)
@@ -99,14 +115,23 @@ class Index:
             self.lengths[length] = (np.array(members), prints, _block_tables(prints), min(self.sets[i][2] for i in members))
         self.sizes = sorted({min(hashing.SHINGLE, n) for n in self.lengths})
 
-    def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of shingles, and whether each is of the benchmark."""
-        weights, known = np.ones(len(shingles)), self.filter[shingles >> _U(44)]
-        at = np.flatnonzero(known)
-        where = np.minimum(np.searchsorted(self.keys, shingles[at]), len(self.keys) - 1)
-        hit = self.keys[where] == shingles[at]
-        known[at] = hit
-        weights[at[hit]] = self.weights[where[hit]]
+    def known(self, shingles: np.ndarray) -> np.ndarray:
+        """Whether each shingle is of an item of the slice."""
+        known = np.zeros(len(shingles), bool)
+        known[self.table.find(shingles)[0]] = True
+        return known
+
+    def weigh(self, shingles: np.ndarray, shared: Weights | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of shingles in the whole benchmark, and whether each is of an item of the slice.
+
+        ``shared`` holds what two items or more have, whatever their slices; one slice knows all of that.
+        """
+        weights, known = np.ones(len(shingles)), np.zeros(len(shingles), bool)
+        for table in (shared, self.table):
+            if table is not None:
+                at, where = table.find(shingles)
+                weights[at] = table.weights[where]
+        known[at] = True
         return weights, known
 
     def near(self, length: int, prints: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -158,16 +183,16 @@ def simhash_windows(shingles: np.ndarray, weights: np.ndarray, windows: Iterable
     return np.packbits(sums[edges[:, 1]] - sums[edges[:, 0]] > 1e-9, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def matches(index: Index, words: np.ndarray) -> dict[int, float]:
+def matches(index: Index, words: np.ndarray, shared: Weights | None = None) -> dict[int, float]:
     """Items found in one document, with the similarity they were found at."""
     found: dict[int, float] = {}
     for size in index.sizes:
         if len(words) < size:
             continue
         shingles = hashing.ngram_hashes(words, size)[:len(words) - size + 1]
-        weights, known = index.weigh(shingles)
-        if not known.any():
+        if not index.known(shingles).any():
             continue
+        weights, known = index.weigh(shingles, shared)
         sums = np.concatenate([[0.0], np.cumsum(weights * known)])
         for length, (_, _, _, lightest) in index.lengths.items():
             if min(length, hashing.SHINGLE) != size:
@@ -196,21 +221,21 @@ def _windows(index, length, span, starts, shingles, weights, found) -> None:
                     found[j] = float(similar)
 
 
-def _search(shared, kind: pa.DataType):
+def _search(sliced, everywhere, kind: pa.DataType):
     schema = pa.schema([("hit", pa.int64()), ("item_id", kind), ("similarity", pa.float64())])
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, shared = sliced.value, everywhere.value if everywhere else None
         for batch in stream:
             for piece in hashing.slices(batch, "text", SLICE_BYTES):
                 words, bounds = hashing.word_hashes(*hashing.column_bytes(piece.column("text")))
                 touched = np.zeros(len(words), bool)
                 for size in index.sizes:
-                    touched |= index.weigh(hashing.ngram_hashes(words, size))[1]
+                    touched |= index.known(hashing.ngram_hashes(words, size))
                 at = np.searchsorted(bounds, np.flatnonzero(touched), "right") - 1
                 rows = piece.column(ROW).to_pylist()
                 out = [(rows[d], index.ids[i], s) for d in np.unique(at).tolist()
-                       for i, s in matches(index, words[bounds[d]:bounds[d + 1]]).items()]
+                       for i, s in matches(index, words[bounds[d]:bounds[d + 1]], shared).items()]
                 if out:
                     hits, ids, similar = zip(*out)
                     yield pa.RecordBatch.from_arrays([
@@ -219,6 +244,15 @@ def _search(shared, kind: pa.DataType):
     return run
 
 
+def _shared_weights(compiled: DataFrame) -> Weights | None:
+    """The weights of all shingles that two items or more hold."""
+    each = compiled.select(F.explode(F.arrays_zip("shingles", "held_by")).alias("x")).where("x.held_by > 1")
+    found = each.select("x.shingles", "x.held_by").distinct().toPandas()
+    keys = found["shingles"].to_numpy(np.int64).view(_U)
+    order = np.argsort(keys)
+    return Weights(keys[order], 1 / (1 + np.log2(found["held_by"].to_numpy(float)[order]))) if len(keys) else None
+
+
 def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                item_text: str = "text", staging: Staging | None = None) -> DataFrame:
     """``(row, item_ids, similarity)`` of the rows that hold an item; rows as ``with_row`` numbers them."""
@@ -231,12 +265,15 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
     kind = compiled.schema["item_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
+    # one slice knows the shingles of all items
+    shared = _shared_weights(compiled) if slices > 1 else None
+    everywhere = spark.sparkContext.broadcast(shared) if shared else None
     parts = []
     for k in range(slices):
         rows = compiled.where(F.pmod(F.xxhash64(F.lit(3), ROW), F.lit(slices)) == k).orderBy(ROW).collect()
         if rows:
-            shared = spark.sparkContext.broadcast(Index(rows))
-            parts.append(docs.mapInArrow(_search(shared, to_arrow_type(kind)), f"hit bigint, item_id {kind.simpleString()}, similarity double"))
+            sliced = spark.sparkContext.broadcast(Index(rows))
+            parts.append(docs.mapInArrow(_search(sliced, everywhere, to_arrow_type(kind)), f"hit bigint, item_id {kind.simpleString()}, similarity double"))
     if not parts:
         return spark.createDataFrame([], f"hit bigint, item_ids array<{kind.simpleString()}>, similarity double")
     found = parts[0]

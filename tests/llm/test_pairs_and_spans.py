@@ -158,6 +158,24 @@ def test_leaks_are_those_of_every_window(spark, staging):
     assert decontaminate.clean(df.limit(0), bench, staging=staging).count() == 0
 
 
+def test_weights_of_shingles_shared_by_items_of_other_slices(spark, staging, monkeypatch):
+    items, texts = {}, []
+    for g in range(3):
+        own = [f"w{g}x{k}" for k in range(22)]
+        end = [f"e{g}x{k}" for k in range(3)]
+        texts.append(" ".join(own + end))
+        items[f"{g}"] = " ".join(own + [f"o{g}x{k}" for k in range(3)])
+        for n in range(3):  # three items hold the three shingles that end the text
+            items[f"{g}-{n}"] = " ".join(own[18:] + end + [f"r{g}x{n}x{k}" for k in range(20)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame(list(items.items()), "item_id string, text string").coalesce(1)
+    found = []
+    for size in (len(items), 1):
+        monkeypatch.setattr(decontaminate, "SLICE_ITEMS", size)
+        found.append({r["hit"]: (r["item_ids"], round(r["similarity"], 9)) for r in decontaminate.find_leaks(df, bench, staging=staging).collect()})
+    assert [ids for _, (ids, _) in sorted(found[0].items())] == [["0"], ["1"], ["2"]] and found[1] == found[0]
+
+
 def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
