@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, pii, quality_model, quality_rules, sharding
-from millrace.llm.common import ROW, whole_text, with_row
+from millrace.llm import (
+    bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, merkle, pii, quality_model, quality_rules, sharding,
+    token_alignment, winnowing,
+)
+from millrace.llm.common import ROW, id_crc, lower_ascii, whole_text, with_row
+from millrace.llm.oracles import merkle_sql, winnowing_sql
 from millrace.session import ship
 from millrace.staging import Staging
 
@@ -176,3 +180,33 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         "doc_id", *map(count, pii.KINDS), F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"),
         pii.written(F.concat(base, added)).alias("spans"), F.size(added).cast("bigint").alias("n_added"))
+
+
+@query
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winnowed fingerprint of every text, of its edit, and their likeness."""
+    return winnowing.compare_neighbours(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+ORACLES["op11_document_fingerprints"] = winnowing_sql()
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers cover every text, weighed by counts over all documents."""
+    return token_alignment.align(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered leaf leads to."""
+    docs = documents(spark, sf_dir).select(*merkle.FIELDS)
+    fields = [lower_ascii(F.col(f)) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    seen = {"tampered": F.when(F.pmod(id_crc(), F.lit(5)) == 0, merkle.leaf(fields))}
+    rows = merkle.manifest(docs, keep=seen)
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+                       merkle.folded(F.coalesce("tampered", "leaf"), F.col("steps")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle_sql()
