@@ -99,11 +99,15 @@ def supplier_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("worker"))
 
 
-def rectangle_messages(events: DataFrame) -> DataFrame:
-    """Rectangle payloads by event; every 13th payload is damaged."""
+def rectangle_of_event() -> Column:
+    """A rectangle payload; every 13th is damaged."""
     payload = shapes.rectangle_payload(F.col("event_id") % 1000 + 1, F.col("user_id") % 100 + 1)
-    damaged = F.when(F.col("event_id") % 13 == 0, F.lit("{broken").cast("binary")).otherwise(payload)
-    return events.select("event_id", damaged.alias("value"))
+    return F.when(F.col("event_id") % 13 == 0, F.lit("{broken").cast("binary")).otherwise(payload)
+
+
+def rectangle_messages(events: DataFrame) -> DataFrame:
+    """Rectangle payloads by event."""
+    return events.select("event_id", rectangle_of_event().alias("value"))
 
 
 def square_of_payload(payload: bytes) -> bytes:
@@ -124,5 +128,19 @@ def squares_of_payloads(payloads: list[bytes]) -> list:
     return answers
 
 
+def deal_messages(events: DataFrame, partitions: int = 4) -> DataFrame:
+    """Events as messages with rectangle payloads; every 97th makes the call that gets it fail."""
+    payload = F.when(F.col("event_id") % 97 == 0, F.lit("stop").cast("binary")).otherwise(rectangle_of_event())
+    return events.select(
+        F.col("event_type").alias("topic"), (F.col("user_id") % partitions).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"), payload.alias("value"), "ts")
+
+
+def squares_or_stop(payloads: list[bytes]) -> list:
+    if b"stop" in payloads:
+        raise RuntimeError("stop")
+    return squares_of_payloads(payloads)
+
+
 def square_column() -> Column:
     return F.get_json_object(F.col("result").cast("string"), "$.S").cast("bigint")

@@ -85,6 +85,28 @@ QUERY_PAIRS = f"""
 BLOCKED = "['rm', 'mkfs', 'mkfs.ext3', 'make.ext2', 'make.ext4', 'make2fs', 'shutdown', 'reboot', 'init', 'dd', {}]"
 DAY = "CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER)"
 
+# batches of 20 messages or 100,000 seconds: p are the messages, s the batches
+BATCHES = """
+        WITH RECURSIVE r AS (
+            SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id AS o,
+                   CAST(floor(epoch(ts)) AS BIGINT) AS clock FROM events
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY clock, o) - 1 AS pos,
+                   count(*) OVER (PARTITION BY topic, partition) AS total FROM r
+        ), n AS (
+            SELECT *, min(pos) OVER (PARTITION BY topic, partition ORDER BY clock
+                                     RANGE BETWEEN 100000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM p
+        ), s AS (
+            SELECT topic, partition, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS batch, total,
+                   least(19, coalesce(later, total)) AS ending
+            FROM n WHERE pos = 0
+            UNION ALL
+            SELECT s.topic, s.partition, s.ending + 1, s.batch + 1, s.total,
+                   least(s.ending + 20, coalesce(n.later, s.total))
+            FROM s JOIN n ON n.topic = s.topic AND n.partition = s.partition AND n.pos = s.ending
+            WHERE s.ending + 1 < s.total
+        )"""
+
 ORACLES: dict[str, str] = {
     "spool_ingest": f"""
         SELECT record_type, reject_reason, count(*) AS n_lines, CAST(sum(age) AS BIGINT) AS sum_age,
@@ -309,30 +331,25 @@ ORACLES: dict[str, str] = {
     "route_to_worker": f"""
         SELECT worker, count(*) AS n_messages, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
         FROM events JOIN ({ROUND}) ON topic = event_type AND partition = user_id % 64 GROUP BY 1""",
-    "count_or_time_batch": """
-        WITH RECURSIVE r AS (
-            SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id AS o,
-                   CAST(floor(epoch(ts)) AS BIGINT) AS clock FROM events
-        ), p AS (
-            SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY clock, o) - 1 AS pos,
-                   count(*) OVER (PARTITION BY topic, partition) AS total FROM r
-        ), n AS (
-            SELECT *, min(pos) OVER (PARTITION BY topic, partition ORDER BY clock
-                                     RANGE BETWEEN 100000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM p
-        ), s AS (
-            SELECT topic, partition, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS batch, total,
-                   least(19, coalesce(later, total)) AS ending
-            FROM n WHERE pos = 0
-            UNION ALL
-            SELECT s.topic, s.partition, s.ending + 1, s.batch + 1, s.total,
-                   least(s.ending + 20, coalesce(n.later, s.total))
-            FROM s JOIN n ON n.topic = s.topic AND n.partition = s.partition AND n.pos = s.ending
-            WHERE s.ending + 1 < s.total
-        )
+    "count_or_time_batch": f"""{BATCHES}
         SELECT s.topic, s.partition, s.batch, s.ending < s.total AS closed, min(p.o) AS first_offset,
                max(p.o) AS last_offset, count(*) AS n_rows
         FROM s JOIN p ON p.topic = s.topic AND p.partition = s.partition AND p.pos BETWEEN s.start AND s.ending
         GROUP BY ALL""",
+    "partition_batch_deal": f"""{BATCHES}
+        SELECT topic, partition, batch, min(o) AS first_offset, max(o) AS last_offset, count(*) AS n_rows,
+               CASE WHEN bool_or(o % 97 = 0) THEN count(*) ELSE count(*) FILTER (o % 13 = 0) END AS n_failed
+        FROM (SELECT s.topic, s.partition, s.batch, p.o FROM s JOIN p ON p.topic = s.topic
+              AND p.partition = s.partition AND p.pos BETWEEN s.start AND s.ending)
+        GROUP BY ALL""",
+    "stream_partition_batches": """
+        WITH r AS (
+            SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id AS o,
+                   (row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) - 1) // 20 AS batch FROM events
+        )
+        SELECT topic, partition, batch, min(o) AS first_offset, max(o) AS last_offset, count(*) AS n_rows,
+               CASE WHEN bool_or(o % 97 = 0) THEN count(*) ELSE count(*) FILTER (o % 13 = 0) END AS n_failed
+        FROM r GROUP BY ALL HAVING count(*) = 20""",
     "union_modes": """
         SELECT 'union' AS mode, key FROM (SELECT c_custkey AS key FROM customer UNION SELECT s_suppkey FROM supplier)
         UNION ALL

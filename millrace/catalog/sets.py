@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import (
-    as_messages, event_lags, handled, nation_workers, query, rectangle_messages, square_column,
-    square_of_payload, supplier_workers, table,
+    as_messages, deal_messages, event_lags, handled, nation_workers, query, rectangle_messages, square_column,
+    square_of_payload, squares_or_stop, supplier_workers, table,
 )
 from millrace.operators import allot, batching, deal, lag, merge
 from millrace.sources import queue
@@ -193,6 +193,17 @@ def count_or_time_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.batch_summary(batching.count_or_time(clocked, max_rows=20, max_wait=100_000))
 
 
+@query
+def partition_batch_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches, each handed to a function in one call; some calls fail, and some messages do."""
+    messages = deal_messages(table(spark, sf_dir, "events"))
+    clocked = messages.withColumn("clock", F.unix_timestamp("ts"))
+    batched = batching.count_or_time(clocked, max_rows=20, max_wait=100_000).select("topic", "partition", "offset", "batch")
+    group = ["topic", "partition", "batch"]
+    dealt = deal.deal_runs(messages.join(batched, ["topic", "partition", "offset"]), squares_or_stop, group, ["ts", "offset"])
+    return deal.run_summary(dealt, group)
+
+
 @query
 def union_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UNION and UNION ALL of two key columns."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import (
-    SPOOL_NAMES, as_messages, file_type, handled, land_spool, nation_workers, query, rectangle_messages,
-    square_column, square_of_payload, squares_of_payloads, stream_table, table,
+    SPOOL_NAMES, as_messages, deal_messages, file_type, handled, land_spool, nation_workers, query, rectangle_messages,
+    square_column, square_of_payload, squares_of_payloads, squares_or_stop, stream_table, table,
 )
 from millrace.operators import allot, deal
 from millrace.operators.records import PERSON, from_payload
@@ -15,7 +15,7 @@ from millrace.plans.channels import resolve
 from millrace.sinks.outputs import outcome_handlers
 from millrace.sources import queue
 from millrace.staging import Staging
-from millrace.streaming import flows
+from millrace.streaming import batches, flows
 
 
 def _deal_stream(spark: SparkSession, dealt: DataFrame, staging: Staging) -> DataFrame:
@@ -40,6 +40,18 @@ def stream_batch_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _deal_stream(spark, deal.deal_batches(messages, squares_of_payloads, 30), Staging(spark))
 
 
+@query
+def stream_partition_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of messages through a function in batches of 20 of one topic partition; the closed batches."""
+    staging = Staging(spark)
+    messages = deal_messages(stream_table(spark, sf_dir, "events"))
+    path = staging.folder("dealt")
+    dealt = batches.deal_partition_batches(messages, squares_or_stop, max_rows=20, max_wait=10**6)
+    batches.run_available(dealt, flows.batch_table(path), staging.folder("checkpoint"))
+    written = spark.read.parquet(path).drop("batch").withColumnRenamed("deal_batch", "batch")
+    return deal.run_summary(written, ["topic", "partition", "batch"])
+
+
 @query
 def stream_offset_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running offset progress per topic partition; its final state."""
