@@ -383,8 +383,22 @@ ORACLES: dict[str, str] = {
         FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY o_orderstatus
         UNION ALL SELECT 'p_missing', '', NULL, -1, 'fail', NULL""",
     "cursor_block": """
-        SELECT o_custkey AS custkey, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) * 10 AS ticket
-        FROM orders WHERE o_totalprice > 200000 GROUP BY 1""",
+        WITH l AS (
+            SELECT o_custkey AS custkey, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) * 10 AS ticket
+            FROM orders WHERE o_totalprice > 200000 GROUP BY 1
+        ), a AS (
+            SELECT * FROM l UNION ALL
+            SELECT c_custkey, c_mktsegment, CAST(c_nationkey AS BIGINT) FROM customer
+            WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.custkey = c_custkey)
+        )
+        SELECT * FROM a WHERE ticket % 7 <> 0""",
+    "table_commits": """
+        SELECT o_orderkey, o_custkey, CAST(CASE WHEN o_custkey % 11 = 0 THEN -p ELSE p END AS DECIMAL(18,2)) AS price
+        FROM (SELECT o_orderkey, o_custkey, CAST(CASE WHEN o_orderkey % 40 BETWEEN 1 AND 10 THEN o_totalprice * 2
+                     ELSE o_totalprice END AS DECIMAL(18,2)) AS p FROM orders)""",
+    "resumed_run": """
+        SELECT CAST(c_nationkey % 4 + 1 AS INTEGER) AS quarter, count(*) AS n, CAST(0 AS BIGINT) AS seen
+        FROM customer GROUP BY 1""",
     "stream_single_deal": SQUARES,
     "stream_batch_deal": SQUARES,
     "stream_offset_progress": OFFSETS,

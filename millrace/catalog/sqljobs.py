@@ -105,21 +105,59 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cursor_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers take the status and number of their latest large order; those that have one are listed."""
+    """Customers take the status and number of their latest large order; the others stay as they are."""
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("status"),
         F.col("c_nationkey").cast("bigint").alias("ticket"),
     )
-    store = _store(spark, sf_dir, "orders", accounts=customers, buyers=customers.where("false"))
+    store = _store(spark, sf_dir, "orders", accounts=customers, listed=customers)
     procedure = Procedure("p_accounts", (
         CursorBlock(
             1, "select o_custkey custkey, o_orderstatus status, o_orderkey ticket from orders "
                "where o_totalprice > 200000",
             "accounts", "replace", key=("custkey",), order_by=("ticket",), assign={"ticket": "ticket * 10"}),
         CommonBlock(2, (
-            Insert(1, "buyers", "select custkey, status, ticket from accounts where length(status) = 1",
+            Delete(1, "listed"),
+            Insert(2, "listed", "select custkey, status, ticket from accounts",
                    ("custkey", "status", "ticket")),
+            Delete(3, "listed", "ticket % 7 = 0"),
         )),
     ))
     execute(spark, store, procedure, {})
-    return store.read("buyers")
+    return store.read("listed")
+
+
+@query
+def table_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten commits that each move a fortieth of the orders, then an update; the table as a new reader sees it."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    store = _store(spark, sf_dir, "orders", ledger=orders)
+    procedure = Procedure("p_ledger", (
+        LoopBlock(1, Param("share", "Int"), tuple(range(1, 11)), (
+            Delete(1, "ledger", "o_orderkey % 40 = #{share}"),
+            Insert(2, "ledger", "select o_orderkey, o_custkey, o_totalprice * 2 from orders where o_orderkey % 40 = #{share}"),
+        )),
+        CommonBlock(2, (Update(1, "ledger", {"price": "-price"}, "o_custkey % 11 = 0"),)),
+    ))
+    execute(spark, store, procedure, {})
+    return TableStore(spark, store.root).read("ledger")
+
+
+@query
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loop that fails at its third value and is run again: every segment is counted once."""
+    counts = table(spark, sf_dir, "customer").select(F.lit(0).alias("quarter"), F.col("c_custkey").alias("n"), F.lit(0).cast("bigint").alias("seen"))
+    store = _store(spark, sf_dir, "customer", counts=counts.where("false"), gate=counts.where("false"))
+    count = ("select #{quarter}, count(*), #{base} + if(#{quarter} = 3 and (select count(*) from gate) = 0, "
+             "cast(raise_error('closed') as bigint), 0) from customer where c_nationkey % 4 + 1 = #{quarter}")
+    procedure = Procedure("p_counts", (
+        CommonBlock(1, (Select(1, "select count(*) from counts", (Param("base", "int"),)),)),
+        LoopBlock(2, Param("quarter", "Int"), (1, 2, 3, 4), (Insert(1, "counts", count),)),
+    ))
+    jobs = [Job("p_counts", run_id="r1")]
+    run_jobs(spark, store, [procedure], jobs)
+    change = store.begin()
+    change.insert("gate", store.read("counts"))
+    store.commit(change)
+    run_jobs(spark, store, [procedure], jobs)
+    return store.read("counts")

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.normalise import all_of
 from millrace.staging import Staging
@@ -27,6 +28,12 @@ def _keys(cursor: DataFrame, key: Sequence[str], staging: Staging | None) -> Dat
     return staging.keep(cursor.select(*key).where(_with_key(cursor, key)).distinct(), "keys")
 
 
+def matching(target: DataFrame, cursor: DataFrame, key: Sequence[str],
+             staging: Staging | None = None) -> DataFrame:
+    """Target rows whose key a cursor row carries."""
+    return target.join(_keys(cursor, key, staging), list(key), "left_semi").select(*target.columns)
+
+
 def delete_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str],
                     staging: Staging | None = None) -> DataFrame:
     """Target rows whose key no cursor row carries."""
@@ -64,12 +71,7 @@ def upsert(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: S
 def update_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
                     assign: Mapping[str, str], staging: Staging | None = None) -> DataFrame:
     """For each cursor row in order: set target columns (to cursor columns) where the key is equal."""
-    staging = staging or Staging(cursor.sparkSession)
-    usable = cursor.where(_with_key(cursor, key))
-    last = staging.keep(last_per_key(usable, key, order_by), "last")
-    fresh = last.select(*key, F.lit(True).alias("__hit"),
-                        *[F.col(source).alias(f"__new_{column}") for column, source in assign.items()])
-    joined = target.join(fresh, list(key), "left")
+    joined = _with_last(target, cursor, key, order_by, assign, staging, "left")
     return joined.select(*[
         F.when(F.col("__hit"), F.col(f"__new_{c}").cast(target.schema[c].dataType))
         .otherwise(F.col(c)).alias(c) if c in assign else F.col(c)
@@ -77,6 +79,26 @@ def update_matching(target: DataFrame, cursor: DataFrame, key: Sequence[str], or
     ])
 
 
+def updated_rows(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
+                 assign: Mapping[str, str], staging: Staging | None = None) -> DataFrame:
+    """Only the rows that ``update_matching`` sets, with their new values."""
+    joined = _with_last(target, cursor, key, order_by, assign, staging, "inner")
+    return joined.select(*[
+        F.col(f"__new_{c}").cast(target.schema[c].dataType).alias(c) if c in assign else F.col(c)
+        for c in target.columns
+    ])
+
+
+def _with_last(target: DataFrame, cursor: DataFrame, key: Sequence[str], order_by: Sequence[str],
+               assign: Mapping[str, str], staging: Staging | None, how: str) -> DataFrame:
+    staging = staging or Staging(cursor.sparkSession)
+    usable = cursor.where(_with_key(cursor, key))
+    last = staging.keep(last_per_key(usable, key, order_by), "last")
+    fresh = last.select(*key, F.lit(True).alias("__hit"),
+                        *[F.col(source).alias(f"__new_{column}") for column, source in assign.items()])
+    return target.join(fresh, list(key), how)
+
+
 def rows_affected(target: DataFrame, cursor: DataFrame, key: Sequence[str]) -> DataFrame:
     """``(updated, inserted)``: target rows an upsert replaces, and rows that are new to the target.
 
@@ -136,13 +158,18 @@ def update_where(df: DataFrame, assign: Mapping[str, Column], condition: Column
     ])
 
 
-def insert_rows(df: DataFrame, rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Append rows by position to the named columns (all by default); the others become NULL."""
-    names = list(columns) if columns is not None else df.columns
+def fitted_rows(schema: StructType, rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows by position in the named columns of a table (all by default); the others become NULL."""
+    names = list(columns) if columns is not None else schema.names
     if len(names) != len(rows.columns):
         raise ValueError(f"{len(rows.columns)} values for {len(names)} columns")
     named = rows.toDF(*names)
-    return df.unionByName(named.select(*[
+    return named.select(*[
         (F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in df.schema.fields
-    ]))
+        for f in schema.fields
+    ])
+
+
+def insert_rows(df: DataFrame, rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Append rows by position to the named columns (all by default); the others become NULL."""
+    return df.unionByName(fitted_rows(df.schema, rows, columns))

@@ -3,7 +3,8 @@
 A procedure is a list of blocks in order.  A statement names its table and carries Spark SQL for
 its query, condition or new values; ``#{name}`` binds a variable and ``${name}`` puts an identifier
 or a literal into the text.  Every statement is one distributed query over the tables of a
-``TableStore``; the tables a block changed are published together when the block commits.
+``TableStore``.  A statement writes only what it adds: new rows, or bitmaps of deleted ones; all that a
+block wrote becomes visible together when the block commits.
 
 Cursor blocks do not walk rows: the declared action runs as one set operation over all cursor rows,
 with a key and an order that say which row is the last one to touch a target row.
@@ -23,7 +24,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import merge
-from millrace.plans.tables import TableStore
+from millrace.plans.tables import AT, FILE, Affected, TableStore
 from millrace.staging import Staging
 
 # Outcome codes and their texts.
@@ -244,6 +245,7 @@ class Job:
     parameters: str = ""
     environment: str = ""
     timeout: float | None = None
+    run_id: str = ""  # names attempts at the same run; a later one goes on where the last one failed
 
 
 def parse_parameters(procedure: Procedure, text: str, separator: str = ",") -> Variables:
@@ -263,36 +265,35 @@ def out_string(procedure: Procedure, variables: Mapping[str, Value]) -> tuple[st
 
 
 class _Work:
-    """The uncommitted state of a block: changed tables as lazy frames."""
+    """The uncommitted statements of a block.  Each is run, and what it adds is written, once."""
 
-    def __init__(self, spark: SparkSession, store: TableStore, variables: Variables,
-                 written: dict[str, int]):
-        self.spark, self.store, self.variables, self.written = spark, store, variables, written
-        self.changed: dict[str, DataFrame] = {}
-
-    def table(self, name: str) -> DataFrame:
-        return self.changed[name] if name in self.changed else self.store.read(name)
+    def __init__(self, spark: SparkSession, store: TableStore, variables: Variables, affected: Affected):
+        self.spark, self.store, self.variables, self.affected = spark, store, variables, affected
+        self.change = store.begin()
 
     def query(self, sql: str) -> DataFrame:
         for name in self.store.names():
-            self.table(name).createOrReplaceTempView(name)
+            self.change.read(name).createOrReplaceTempView(name)
         text, arguments = bind(sql, self.variables)
         return run_sql(self.spark, text, arguments)
 
+    def matched(self, table: str, columns: str, where: str | None) -> DataFrame:
+        """A query over the rows of a table that may also take their places."""
+        self.change.placed(table).createOrReplaceTempView(f"__placed_{table}")
+        hit = f"coalesce({where}, false)" if where else "true"
+        return self.query(f"SELECT {columns} FROM __placed_{table} AS {table} WHERE {hit}")
+
     def run(self, statement: Statement) -> None:
         if isinstance(statement, Select):
             self._select(statement)
         elif isinstance(statement, Insert):
-            rows = self.query(statement.query)
-            self.changed[statement.table] = merge.insert_rows(
-                self.table(statement.table), rows, statement.columns)
+            schema = self.change.table(statement.table).schema
+            self.change.insert(statement.table, merge.fitted_rows(schema, self.query(statement.query), statement.columns))
         elif isinstance(statement, Delete):
-            target = self.table(statement.table)
             if statement.where is None:
-                self.changed[statement.table] = merge.delete_where(target)
+                self.change.clear(statement.table)
             else:
-                self.changed[statement.table] = self.query(
-                    f"SELECT * FROM {statement.table} WHERE NOT coalesce({statement.where}, false)")
+                self.change.delete(statement.table, self.matched(statement.table, f"{FILE}, {AT}", statement.where))
         elif isinstance(statement, Update):
             self._update(statement)
         else:
@@ -311,98 +312,135 @@ class _Work:
             self.variables[param.name] = param.convert(value)
 
     def _update(self, statement: Update) -> None:
-        schema = self.table(statement.table).schema
-        hit = f"coalesce({statement.where}, false)" if statement.where else "true"
+        schema = self.change.table(statement.table).schema
         unknown = set(statement.assign) - set(schema.names)
         if unknown:
             raise JobError(f"unknown columns {sorted(unknown)} in {statement.table}")
         columns = [
-            f"CASE WHEN {hit} THEN CAST({statement.assign[f.name]} AS {f.dataType.simpleString()}) "
-            f"ELSE `{f.name}` END AS `{f.name}`" if f.name in statement.assign else f"`{f.name}`"
-            for f in schema.fields
+            f"CAST({statement.assign[f.name]} AS {f.dataType.simpleString()}) AS `{f.name}`"
+            if f.name in statement.assign else f"`{f.name}`" for f in schema.fields
         ]
-        self.changed[statement.table] = self.query(
-            f"SELECT {', '.join(columns)} FROM {statement.table}")
+        self.change.update(statement.table, self.matched(statement.table, ", ".join([*columns, FILE, AT]), statement.where))
 
     def cursor(self, block: CursorBlock, staging: Staging) -> None:
         rows = self.query(block.query)
-        target = self.table(block.table)
+        schema = self.change.table(block.table).schema
         if block.action in ("delete", "replace", "update") and not block.key:
             raise JobError(f"a cursor {block.action} needs a key")
         if block.action in ("replace", "update") and not block.order_by:
             raise JobError(f"a cursor {block.action} needs an order that decides the last row")
+        placed = self.change.placed(block.table)
+        given = dict(block.assign or {})
         if block.action == "delete":
-            result = merge.delete_matching(target, rows, block.key, staging)
+            self.change.delete(block.table, merge.matching(placed, rows, block.key, staging))
         elif block.action in ("insert", "replace"):
-            if block.action == "insert":
-                kept, fresh = target, rows
-            else:
+            if block.action == "replace":
                 last = merge.last_per_key(rows, block.key, block.order_by, keep_loose=True)
-                fresh = staging.keep(last, "last")
-                kept = merge.delete_matching(target, fresh, block.key, staging)
-            given = dict(block.assign or {})
-            values = fresh.selectExpr(*[f"{given.get(c, c)} AS `{c}`" for c in target.columns])
-            result = merge.insert_rows(kept, values)
+                rows = staging.keep(last, "last")
+                self.change.delete(block.table, merge.matching(placed, rows, block.key, staging))
+            values = rows.selectExpr(*[f"{given.get(c, c)} AS `{c}`" for c in schema.names])
+            self.change.insert(block.table, merge.fitted_rows(schema, values))
         elif block.action == "update":
-            given = dict(block.assign or {})
             fresh = rows.selectExpr("*", *[f"{e} AS `__set_{c}`" for c, e in given.items()])
-            result = merge.update_matching(
-                target, fresh, block.key, block.order_by, {c: f"__set_{c}" for c in given}, staging)
+            self.change.update(block.table, merge.updated_rows(
+                placed, fresh, block.key, block.order_by, {c: f"__set_{c}" for c in given}, staging))
         else:
             raise JobError(f"unknown cursor action {block.action!r}")
-        self.changed[block.table] = result
 
-    def commit(self) -> None:
-        if self.changed:
-            self.written.update(self.store.publish(self.changed))
-            self.changed = {}
+    def commit(self, token: str = "") -> None:
+        self.affected.add(self.store.commit(self.change, token, self.variables if token else None))
+        self.change = self.store.begin()
+
+
+class _Journal:
+    """The commits of a run that may be started again: each is noted in the log of the store itself."""
+
+    def __init__(self, store: TableStore, path: str):
+        self.store, self.path = store, path
+
+    def token(self, step: object) -> str:
+        return f"{self.path}/{step}" if self.path else ""
+
+    def inner(self, step: object) -> _Journal:
+        return _Journal(self.store, self.token(step))
+
+    def done(self, step: object) -> Variables | None:
+        """The variables at the end of a step that is committed."""
+        return self.store.tokens.get(self.token(step)) if self.path else None
 
 
 def execute(spark: SparkSession, store: TableStore, procedure: Procedure, variables: Variables,
             known: Mapping[str, Procedure] | None = None, depth: int = 0,
-            written: dict[str, int] | None = None) -> Variables:
+            affected: Affected | None = None, run_id: str = "") -> Variables:
     """Run a procedure; returns its variables.  What was committed before a failure stays.
 
-    ``written`` collects the rows of each table in its last commit.
+    ``affected`` adds up the rows of the statements that were committed.  With a ``run_id`` every commit
+    is noted in the log of the store, in the same step as its rows: the same call after a failure goes on
+    behind the last commit, with the variables of that time, and no statement is applied twice.
     """
-    written = {} if written is None else written
+    affected = Affected() if affected is None else affected
+    variables = {name.lower(): value for name, value in variables.items()}
+    variables = _blocks(spark, store, procedure, variables, known or {}, depth, affected, _Journal(store, run_id))
+    if run_id:
+        store.finish(run_id)
+    return variables
+
+
+def _blocks(spark: SparkSession, store: TableStore, procedure: Procedure, variables: Variables,
+            known: Mapping[str, Procedure], depth: int, affected: Affected, journal: _Journal) -> Variables:
     if depth > MAX_CALL_DEPTH:
         raise JobError(f"procedures call each other more than {MAX_CALL_DEPTH} deep")
-    variables = {name.lower(): value for name, value in variables.items()}
     for block in _in_order(procedure.blocks, "block"):
-        work = _Work(spark, store, variables, written)
-        if isinstance(block, CommonBlock):
-            for statement in _in_order(block.statements, "statement"):
-                work.run(statement)
-            work.commit()
-        elif isinstance(block, LoopBlock):
-            statements = _in_order(block.statements, "statement")
-            for number, value in enumerate(block.values, start=1):
-                variables[block.variable.name] = block.variable.convert(value)
-                for statement in statements:
+        before = journal.done(block.order)
+        if before is not None:
+            variables = dict(before)
+            continue
+        work = _Work(spark, store, variables, affected)
+        try:
+            if isinstance(block, CommonBlock):
+                for statement in _in_order(block.statements, "statement"):
                     work.run(statement)
-                if number % block.commit_every == 0:
-                    work.commit()
-            work.commit()
-        elif isinstance(block, CursorBlock):
-            with Staging(spark) as staging:
-                work.cursor(block, staging)
-                work.commit()
-        elif isinstance(block, CallBlock):
-            if block.procedure not in (known or {}):
-                raise JobError(f"unknown procedure {block.procedure!r}")
-            called = known[block.procedure]
-            if len(block.parameters) != len(called.in_params):
-                raise JobError(f"procedure {called.name} takes {len(called.in_params)} parameters")
-            inner = {p.name: p.convert(_look_up(variables, given))
-                     for p, given in zip(called.in_params, block.parameters)}
-            result = execute(spark, store, called, inner, known, depth + 1, written)
-            variables.update({p.name: result[p.name] for p in called.out_params if p.name in result})
-        else:
-            raise JobError(f"unknown block {type(block).__name__}")
+                work.commit(journal.token(block.order))
+            elif isinstance(block, LoopBlock):
+                _loop(block, work, journal)
+            elif isinstance(block, CursorBlock):
+                with Staging(spark) as staging:
+                    work.cursor(block, staging)
+                    work.commit(journal.token(block.order))
+            elif isinstance(block, CallBlock):
+                if block.procedure not in known:
+                    raise JobError(f"unknown procedure {block.procedure!r}")
+                called = known[block.procedure]
+                if len(block.parameters) != len(called.in_params):
+                    raise JobError(f"procedure {called.name} takes {len(called.in_params)} parameters")
+                inner = {p.name: p.convert(_look_up(variables, given))
+                         for p, given in zip(called.in_params, block.parameters)}
+                result = _blocks(spark, store, called, inner, known, depth + 1, affected, journal.inner(block.order))
+                variables.update({p.name: result[p.name] for p in called.out_params if p.name in result})
+            else:
+                raise JobError(f"unknown block {type(block).__name__}")
+        except BaseException:
+            work.change.abandon()
+            raise
     return variables
 
 
+def _loop(block: LoopBlock, work: _Work, journal: _Journal) -> None:
+    statements = _in_order(block.statements, "statement")
+    inner = journal.inner(block.order)
+    for number, value in enumerate(block.values, start=1):
+        chunk = min(-(-number // block.commit_every) * block.commit_every, len(block.values))
+        before = inner.done(chunk)
+        if before is not None:
+            work.variables.update(before)
+            continue
+        work.variables[block.variable.name] = block.variable.convert(value)
+        for statement in statements:
+            work.run(statement)
+        if number == chunk:
+            work.commit(inner.token(chunk))
+
+
 class _Deadline:
     """Cancel the Spark jobs of this thread once the time is up, and again until the run has ended.
 
@@ -437,7 +475,8 @@ class _Deadline:
 
 RUN_LOG = (
     "environment string, procedure string, in_params string, out_params string, "
-    "result_code int, result_info string, error string, rows_written map<string,bigint>, seconds double"
+    "result_code int, result_info string, error string, rows_written map<string,bigint>, "
+    "rows_deleted map<string,bigint>, seconds double"
 )
 
 
@@ -454,7 +493,8 @@ def run_jobs(spark: SparkSession, store: TableStore, procedures: Sequence[Proced
         started = time.monotonic()
         row = {"environment": job.environment, "procedure": job.procedure, "in_params": job.parameters,
                "out_params": None, "result_code": OK, "result_info": SUCCESS_INFO, "error": None,
-               "rows_written": {}}
+               "rows_written": {}, "rows_deleted": {}}
+        affected = Affected(row["rows_written"], row["rows_deleted"])
         deadline = _Deadline(spark, job.timeout)
         try:
             if job.procedure not in known:
@@ -462,7 +502,7 @@ def run_jobs(spark: SparkSession, store: TableStore, procedures: Sequence[Proced
             procedure = known[job.procedure]
             variables = parse_parameters(procedure, job.parameters)
             with deadline:
-                variables = execute(spark, store, procedure, variables, known, written=row["rows_written"])
+                variables = execute(spark, store, procedure, variables, known, affected=affected, run_id=job.run_id)
             text, missing = out_string(procedure, variables)
             row["out_params"] = text
             if missing:
