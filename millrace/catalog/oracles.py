@@ -396,6 +396,24 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, o_custkey, CAST(CASE WHEN o_custkey % 11 = 0 THEN -p ELSE p END AS DECIMAL(18,2)) AS price
         FROM (SELECT o_orderkey, o_custkey, CAST(CASE WHEN o_orderkey % 40 BETWEEN 1 AND 10 THEN o_totalprice * 2
                      ELSE o_totalprice END AS DECIMAL(18,2)) AS p FROM orders)""",
+    "running_balance": """
+        WITH s AS (
+            SELECT *, sum(a) OVER w AS total FROM (
+                SELECT o_orderkey, o_orderpriority,
+                       CAST(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(18,2)) AS a FROM orders)
+            WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)
+        ), b AS (
+            SELECT *, CAST(total - least(0, min(total) OVER w) AS DECIMAL(20,2)) AS now FROM s
+            WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)
+        )
+        SELECT o_orderkey, o_orderpriority, CAST(coalesce(lag(now) OVER w, 0) AS DECIMAL(20,2)) AS was, now
+        FROM b WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)""",
+    "carried_value": """
+        WITH c AS (
+            SELECT *, last_value(CASE WHEN o_totalprice > 300000 THEN o_orderpriority END IGNORE NULLS) OVER w AS now FROM orders
+            WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)
+        )
+        SELECT o_orderkey, lag(now) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS was, now FROM c""",
     "resumed_run": """
         SELECT CAST(c_nationkey % 4 + 1 AS INTEGER) AS quarter, count(*) AS n, CAST(0 AS BIGINT) AS seen
         FROM customer GROUP BY 1""",

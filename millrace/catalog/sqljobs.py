@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import query, table
 from millrace.plans.jobs import (
-    CommonBlock, CursorBlock, Delete, Insert, Job, LoopBlock, Param, Procedure, Select, Update, bind, execute,
+    CommonBlock, CursorBlock, Delete, Insert, Job, LoopBlock, Param, Procedure, Running, Select, Update, bind, execute,
     run_jobs,
 )
 from millrace.plans.tables import TableStore
@@ -161,3 +161,33 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit(change)
     run_jobs(spark, store, [procedure], jobs)
     return store.read("counts")
+
+
+@query
+def running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor whose body depends on the row before: a balance per priority that never falls below zero."""
+    book = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.lit(None).cast("decimal(20,2)").alias("was"), F.lit(None).cast("decimal(20,2)").alias("now"))
+    store = _store(spark, sf_dir, "orders", book=book.where("false"))
+    amount = "case when o_orderstatus = 'F' then -o_totalprice else o_totalprice end"
+    procedure = Procedure("p_balance", (
+        CursorBlock(1, "select o_orderkey, o_orderpriority, o_orderstatus, o_totalprice from orders", "book", "insert",
+                    order_by=("o_orderkey",), within=("o_orderpriority",), running=Running("balance", add=amount, low="0", scale=2),
+                    assign={"was": "balance_before", "now": "balance"}),
+    ))
+    execute(spark, store, procedure, {})
+    return store.read("book")
+
+
+@query
+def carried_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clerk of the last large order before each order, as a cursor body that remembers it."""
+    book = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("was"), F.col("o_orderpriority").alias("now"))
+    store = _store(spark, sf_dir, "orders", book=book.where("false"))
+    procedure = Procedure("p_carry", (
+        CursorBlock(1, "select o_orderkey, o_orderpriority, o_orderstatus, o_totalprice from orders", "book", "insert", order_by=("o_orderkey",),
+                    within=("o_orderstatus",), running=Running("large", carry="if(o_totalprice > 300000, o_orderpriority, null)"),
+                    assign={"was": "large_before", "now": "large"}),
+    ))
+    execute(spark, store, procedure, {})
+    return store.read("book")

@@ -7,7 +7,8 @@ or a literal into the text.  Every statement is one distributed query over the t
 block wrote becomes visible together when the block commits.
 
 Cursor blocks do not walk rows: the declared action runs as one set operation over all cursor rows,
-with a key and an order that say which row is the last one to touch a target row.
+with a key and an order that say which row is the last one to touch a target row.  A value that every row
+changes is computed by a parallel scan (``operators.running``).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import merge
+from millrace.operators.running import Body, Carried, Clamped, run_along
 from millrace.plans.tables import AT, FILE, Affected, TableStore
 from millrace.staging import Staging
 
@@ -195,6 +197,28 @@ class LoopBlock:
     commit_every: int = 1
 
 
+@dataclass(frozen=True)
+class Running:
+    """A value that each cursor row changes: ``least(greatest(value + add, low), high)``, or, with ``carry``,
+    the last value of that expression that was not NULL.
+
+    The expressions are over the cursor columns.  The rows get it as ``name``, and as ``name_before``.
+    """
+
+    name: str
+    add: str | None = None
+    low: str | None = None
+    high: str | None = None
+    start: int = 0
+    scale: int = 0
+    carry: str | None = None
+
+    def body(self, rows: DataFrame) -> Body:
+        if self.carry is not None:
+            return Carried(self.carry, rows.selectExpr(self.carry).schema[0].dataType.simpleString())
+        return Clamped(self.add, self.low, self.high, self.start, self.scale)
+
+
 @dataclass(frozen=True)
 class CursorBlock:
     """One action over all rows of a query.
@@ -202,6 +226,9 @@ class CursorBlock:
     ``delete`` removes target rows with a cursor key; ``insert`` appends all cursor rows;
     ``replace`` is delete and insert, last row per key; ``update`` sets columns from the last row.
     ``assign`` maps target columns to expressions over the cursor columns.
+
+    A body that depends on the row before names the value it keeps (``running``), the order of the rows
+    (``order_by``) and the columns it starts anew for (``within``).
     """
 
     order: int
@@ -211,6 +238,8 @@ class CursorBlock:
     key: tuple[str, ...] = ()
     order_by: tuple[str, ...] = ()
     assign: Mapping[str, str] | None = None
+    running: Running | None = None
+    within: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -329,6 +358,11 @@ class _Work:
             raise JobError(f"a cursor {block.action} needs a key")
         if block.action in ("replace", "update") and not block.order_by:
             raise JobError(f"a cursor {block.action} needs an order that decides the last row")
+        if block.running is not None:
+            if not block.order_by:
+                raise JobError("a running value needs an order of the cursor rows")
+            rows = run_along(rows, block.within, block.order_by, block.running.body(rows), block.running.name,
+                             f"{block.running.name}_before", staging=staging)
         placed = self.change.placed(block.table)
         given = dict(block.assign or {})
         if block.action == "delete":
