@@ -9,6 +9,7 @@ import pytest
 
 from millrace.llm import components, decontaminate, jaccard_join, pii
 from millrace.llm.common import ROW, with_row
+from millrace.session import ship
 
 
 def words(text):
@@ -94,15 +95,47 @@ def test_similar_sets_share_a_prefix_token_under_any_order():
             assert firsts[0] & firsts[1]
 
 
-def test_components_of_paths_stars_and_loops(spark, staging):
+@pytest.mark.parametrize("run", [1 << 20, 9])
+def test_components_of_paths_stars_and_loops(spark, staging, monkeypatch, run):
+    """In one run, and in several that meet in rounds of stars."""
+    ship(spark)
+    monkeypatch.setattr(components, "LOCAL_EDGES", run)
     edges = [(i, i + 1) for i in range(30)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300), (302, 301)]
     rng = random.Random(1)
     edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges]
+    rng.shuffle(edges)
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint"), staging).collect()
     want = {i: 0 for i in range(31)} | {100: 100} | {200 + i: 100 for i in range(50)} | {300: 300, 301: 300, 302: 300}
     assert {r["node"]: r["label"] for r in got} == want and len(got) == len(want)
 
 
+def test_stars_of_random_edges():
+    import numpy as np
+
+    rng = random.Random(4)
+    for n in (0, 1, 5, 300):
+        edges = [(rng.randrange(-n, n + 1), rng.randrange(-n, n + 1)) for _ in range(n)]
+        nodes, roots = components.local_stars(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64))
+        label = {x: x for e in edges for x in e}
+        for _ in range(len(edges) + 1):
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        assert dict(zip(nodes.tolist(), roots.tolist())) == label
+
+
+def test_jobs_do_not_follow_the_links(spark, staging):
+    """The number of jobs is that of the steps: components in one run take one each."""
+    ship(spark)
+    df = spark.createDataFrame(list(enumerate(near_copies())), "doc_id bigint, text string")
+    spark.sparkContext.setJobGroup("count-jobs", "count-jobs")
+    try:
+        jaccard_join.similar_documents(df, staging=staging).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("count-jobs"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert jobs < 100, jobs
+
+
 def leaks(texts, items):
     held = Counter(s for t in items.values() for s in shingles(t))
     import math
