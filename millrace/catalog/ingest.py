@@ -176,6 +176,22 @@ def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.read_dead_letters(spark, path)
 
 
+@query
+def rolled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected lines with their event as origin, in files of three letters or 50,000 seconds; read back per file."""
+    staging = Staging(spark)
+    clocks = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("clock"))
+    _, rejected = records.split_rejects(records.parse_lines(event_lines(spark, sf_dir), records.PERSON))
+    letters = outputs.dead_letters(rejected.join(clocks, "event_id"), "value", origin=["event_type", "event_id", "clock"])
+    rolled = outputs.roll_letters(letters, ["event_type"], "clock", "event_id", 3, 50_000, staging)
+    path = staging.folder("letters")
+    outputs.write_rolled_letters(rolled, path, ["event_type"], "event_id")
+    kinds = "fail_class string, value string, event_id bigint, clock bigint, event_type string, roll bigint"
+    return spark.read.schema(kinds).json(path).groupBy("event_type", "roll").agg(
+        F.count(F.lit(1)).alias("n_letters"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"),
+        F.sum(F.length("value")).alias("n_chars"))
+
+
 @query
 def roll_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and files per roll interval of the dead-letter output."""

@@ -107,6 +107,10 @@ BATCHES = """
             WHERE s.ending + 1 < s.total
         )"""
 
+# the same for rejected lines per event type, with 3 letters or 50,000 seconds
+ROLLS = BATCHES.replace("user_id % 4", "0").replace("FROM events", "FROM events WHERE event_id % 7 = 0").replace(
+    "100000 FOLLOWING", "50000 FOLLOWING").replace("least(19,", "least(2,").replace("s.ending + 20,", "s.ending + 3,")
+
 ORACLES: dict[str, str] = {
     "spool_ingest": f"""
         SELECT record_type, reject_reason, count(*) AS n_lines, CAST(sum(age) AS BIGINT) AS sum_age,
@@ -176,6 +180,12 @@ ORACLES: dict[str, str] = {
     "roll_buckets": """
         SELECT bucket_start, count(*) AS n_rows, CAST(ceil(count(*) / 2.0) AS BIGINT) AS n_files
         FROM (SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS bucket_start FROM events) GROUP BY 1""",
+    "rolled_letters": f"""{ROLLS}
+        SELECT s.topic AS event_type, s.batch AS roll, count(*) AS n_letters, min(p.o) AS first_event, max(p.o) AS last_event,
+               CAST(sum(length(l.value)) AS BIGINT) AS n_chars
+        FROM s JOIN p ON p.topic = s.topic AND p.partition = s.partition AND p.pos BETWEEN s.start AND s.ending
+        JOIN ({LINES}) AS l ON l.event_id = p.o
+        GROUP BY ALL""",
     "commit_chunks": """
         SELECT chunk, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
         FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS chunk FROM orders)

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.days import HOME_ZONE
+from millrace.operators.batching import count_or_time, null_safe_join
 from millrace.operators.deal import split_outcomes
 from millrace.sources.spool import list_files, route
+from millrace.staging import Staging
 
 # A dead-letter file rolls after this many rows or seconds.
 ROLL_ROWS, ROLL_SECONDS = 3000, 60
@@ -38,11 +40,15 @@ def write_queue(df: DataFrame, options: dict[str, str] | None, fallback: str | N
         raise ValueError("neither a queue nor a fallback table is given")
 
 
-def dead_letters(rejected: DataFrame, line: str | Column, fail_class: str | Column = PARSE) -> DataFrame:
-    """``(fail_class, value)`` rows of what could not be parsed or sent."""
+def dead_letters(rejected: DataFrame, line: str | Column, fail_class: str | Column = PARSE,
+                 origin: Sequence[str] = ()) -> DataFrame:
+    """``(fail_class, value)`` rows of what could not be parsed or sent, and where it came from.
+
+    ``origin`` names columns to keep, like the file name and line number; a text file has no room for them.
+    """
     line = F.col(line) if isinstance(line, str) else line
     kind = F.lit(fail_class) if isinstance(fail_class, str) else fail_class
-    return rejected.select(kind.alias("fail_class"), line.alias("value"))
+    return rejected.select(kind.alias("fail_class"), line.alias("value"), *origin)
 
 
 def _stamp() -> str:
@@ -74,6 +80,28 @@ def write_batch_letters(letters: DataFrame, path: str, channel: str, fail_class:
     _letter_writer(letters.select("value"), channel, roll_rows, "overwrite").text(folder)
 
 
+def roll_letters(letters: DataFrame, channel: Sequence[str], clock: str, order: str, roll_rows: int = ROLL_ROWS,
+                 seconds: int = ROLL_SECONDS, staging: Staging | None = None) -> DataFrame:
+    """Add the number of the file each letter belongs to, counted from one roll to the next, per channel.
+
+    A file is full with the letter that makes it ``roll_rows`` long, or that comes at least ``seconds`` after
+    the file before it was full; the clock of the first starts with the first letter.  ``order`` must have no ties
+    within a channel.
+    """
+    rolls = count_or_time(letters, channel, clock, order, roll_rows, seconds, staging=staging)
+    rolls = rolls.select(*channel, order, F.col("batch").alias("roll"))
+    return null_safe_join(letters, rolls, [*channel, order])
+
+
+def write_rolled_letters(letters: DataFrame, path: str, channel: Sequence[str], order: str) -> None:
+    """One JSON file per channel and roll, lines in order; every column of a letter is kept.
+
+    A channel with a third of all letters is many rolls, which spread over the tasks.
+    """
+    group = [*channel, "roll"]
+    letters.repartition(*group).sortWithinPartitions(*group, order).write.mode("append").partitionBy(*group).json(path)
+
+
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select("fail_class", "value")
 

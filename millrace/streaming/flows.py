@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +25,9 @@ from millrace.staging import Staging, batch_folders, delete, exists, move_file
 
 Writer = Callable[[DataFrame, int], None]
 
+# faults of the program, not of a queue that can't be reached: they stop the stream
+FAULTS = (AnalysisException, AttributeError, NameError, TypeError)
+
 
 def batch_table(path: str) -> Writer:
     """Append-only table with one folder per micro-batch; a replay overwrites its own folder."""
@@ -127,7 +131,7 @@ def ingest_writer(channel: Channel, send: Writer | None = None, files: IngestedF
     """Send good records as payloads and write the two classes of dead letters.
 
     When sending fails, the records of the micro-batch go to the ``send`` dead letters as delimited
-    lines.
+    lines.  Faults of the sender's own code are raised.
     """
     sink, source = channel.sink, channel.source
     send = send or channel_sender(sink)
@@ -143,8 +147,11 @@ def ingest_writer(channel: Channel, send: Writer | None = None, files: IngestedF
             if sink.fail_path:
                 write_batch_letters(dead_letters(rejected, "value", PARSE), sink.fail_path,
                                     channel.name, PARSE, batch_id)
+            payloads = good.select(*columns, to_payload(columns).alias("value"))
             try:
-                send(good.select(*columns, to_payload(columns).alias("value")), batch_id)
+                send(payloads, batch_id)
+            except FAULTS:
+                raise
             except Exception:
                 if not sink.fail_path:
                     raise

@@ -201,3 +201,30 @@ def test_staging(spark, tmp_path):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         assert shared_root(spark) == configured.rstrip("/")
+
+
+def test_rolls_count_from_the_last_roll(spark, tmp_path, staging):
+    """Against a writer that takes letter by letter; one file per roll, and letters keep their origin."""
+    import json
+    import random
+
+    rng, clock, rows = random.Random(2), 0, []
+    for n in range(120):
+        clock += rng.choice([0, 1, 1, 5, 40])
+        rows.append((rng.choice(["a", "a", "b", None]), n, clock, f"file{n % 3}", f"line {n}"))
+    letters = spark.createDataFrame(rows, "channel string, line_num int, clock int, file_name string, value string")
+    kept = outputs.dead_letters(letters, "value", origin=["channel", "file_name", "line_num", "clock"])
+    rolled = outputs.roll_letters(kept, ["channel"], "clock", "line_num", 4, 30, staging)
+    want, state = [], {}
+    for channel, n, at, file, _ in rows:
+        number, size, closed = state.get(channel, (0, 0, at))
+        want.append((channel, number, n, file))
+        full = size + 1 >= 4 or at - closed >= 30
+        state[channel] = (number + 1, 0, at) if full else (number, size + 1, closed)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in rolled.select("channel", "roll", "line_num", "file_name").collect())
+    outputs.write_rolled_letters(rolled, str(tmp_path / "letters"), ["channel"], "line_num")
+    files = list((tmp_path / "letters").rglob("*.json"))
+    assert len(files) == len({(c, r) for c, r, _, _ in want})
+    lines = [[json.loads(x) for x in f.read_text().splitlines()] for f in files]
+    assert all([x["line_num"] for x in file] == sorted(x["line_num"] for x in file) for file in lines)
+    assert sorted((x["file_name"], x["line_num"], x["value"]) for file in lines for x in file) == sorted((r[3], r[1], r[4]) for r in rows)

@@ -76,6 +76,18 @@ def test_failed_send_becomes_dead_letters(spark, tmp_path):
     assert list(Path(tmp_path, "fail").glob("fail_class=parse/batch=0/err_c1_*"))
 
 
+def test_faults_of_a_sender_are_no_dead_letters(spark, tmp_path):
+    ch = channel(tmp_path)
+    land(tmp_path / "in", "sms1", ["nora,31,female"])
+
+    def wrong(frame, batch_id):
+        frame.select("no_such_column").count()
+
+    with pytest.raises(Exception, match="no_such_column"):
+        ingest(spark, ch, tmp_path, wrong)
+    assert not list(Path(tmp_path).glob("fail/fail_class=send/*/err*"))
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     ch = channel(tmp_path)
     land(tmp_path / "in", "sms1", ["nora,31,female", "broken"])
