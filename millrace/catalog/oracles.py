@@ -424,6 +424,13 @@ ORACLES: dict[str, str] = {
             WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)
         )
         SELECT o_orderkey, lag(now) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS was, now FROM c""",
+    "call_block": """
+        WITH m AS (SELECT CAST(floor(avg(o_totalprice)) AS BIGINT) AS mean FROM orders WHERE o_orderstatus = 'O')
+        SELECT o_orderkey, o_totalprice, mean FROM orders, m WHERE o_orderstatus = 'O' AND o_totalprice > mean""",
+    "positional_binds": """
+        SELECT o_orderkey, CAST(7 AS INTEGER) AS tag, '?' AS mark FROM orders
+        WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 50000.50 AND 250000.25
+          AND o_orderdate >= DATE '1993-06-01' AND o_orderpriority <> '5-LOW'""",
     "resumed_run": """
         SELECT CAST(c_nationkey % 4 + 1 AS INTEGER) AS quarter, count(*) AS n, CAST(0 AS BIGINT) AS seen
         FROM customer GROUP BY 1""",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import query, table
 from millrace.plans.jobs import (
-    CommonBlock, CursorBlock, Delete, Insert, Job, LoopBlock, Param, Procedure, Running, Select, Update, bind, execute,
-    run_jobs,
+    CallBlock, CommonBlock, CursorBlock, Delete, Insert, Job, LoopBlock, Param, Procedure, Running, Select, Update, bind, execute,
+    run_jobs, run_sql,
 )
 from millrace.plans.tables import TableStore
 from millrace.staging import Staging
@@ -191,3 +194,30 @@ def carried_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     execute(spark, store, procedure, {})
     return store.read("book")
+
+
+@query
+def call_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A procedure that another one calls gives it a mean, by segment status, for its own statements."""
+    rich = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit(0).cast("bigint").alias("mean"))
+    store = _store(spark, sf_dir, "orders", rich=rich.where("false"))
+    mean = Procedure("p_mean", (CommonBlock(1, (
+        Select(1, "select floor(avg(o_totalprice)) from orders where o_orderstatus = #{status}", (Param("mean", "int"),)),)),),
+        (Param("status", "string"),), (Param("mean", "int"),))
+    outer = Procedure("p_outer", (
+        CallBlock(1, "p_mean", ("wanted",)),
+        CommonBlock(2, (Insert(1, "rich", "select o_orderkey, o_totalprice, #{mean} from orders "
+                                         "where o_orderstatus = #{wanted} and o_totalprice > #{mean}"),)),
+    ), (Param("wanted", "string"),))
+    execute(spark, store, outer, {"wanted": "O"}, {p.name: p for p in (mean, outer)})
+    return store.read("rich")
+
+
+@query
+def positional_binds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven typed values bound by position; marks in literals, names and comments are no placeholders."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("bound_orders")
+    sql = ("select o_orderkey, ? as `tag?`, '?' as mark from bound_orders -- why?\n"
+           "where o_orderstatus = ? and o_totalprice between ? and ? and o_orderdate >= ? and o_orderpriority <> ? and (? or o_custkey = 1)")
+    values = [7, "F", Decimal("50000.50"), 250000.25, datetime.date(1993, 6, 1), "5-LOW", True]
+    return run_sql(spark, sql, values).withColumnRenamed("tag?", "tag")
