@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from hashlib import md5
 from math import ceil, log2
 
@@ -34,6 +35,8 @@ def id_crc(doc_id: str | Column = "doc_id") -> Column:
 
 _MADE_HERE = {"LogicalRDD", "LocalRelation", "Range", "OneRowRelation"}
 _KEEPS_ROWS = {"Project", "Filter", "SubqueryAlias", "View"}
+_HASH_DIGITS = 15  # hex digits of the MD5 of a file's name, 60 bits
+_MIN_BITS = 24  # of the number of a file
 
 
 def _nodes(plan) -> list:
@@ -51,39 +54,84 @@ def _is_parquet(node) -> bool:
     return relation.getClass().getName().endswith(".HadoopFsRelation") and relation.fileFormat().toString() == "Parquet"
 
 
+def _made_in_driver(node) -> bool:
+    """Rows that the driver made; an RDD behind a shuffle or a scan may come in another order when read again."""
+    if node.nodeName() not in _MADE_HERE:
+        return False
+    if node.nodeName() != "LogicalRDD":
+        return True
+    lineage = node.rdd().toDebugString()
+    return "+-(" not in lineage and "FileScanRDD" not in lineage and (
+        "ParallelCollectionRDD" in lineage or "EmptyRDD" in lineage)
+
+
 def _file_path(uri: str) -> str:
     """A listed file as ``_metadata.file_path`` writes it."""
     return uri.replace(":///", ":/", 1)
 
 
-def _file_numbers(paths: list[str]) -> tuple[int, int]:
-    """``(seed, digits)``: so many hex digits of the MD5 of seed and path tell all files apart."""
-    digits = max(6, ceil(log2(max(2, len(paths))) / 2) + 1)
-    while digits <= 10:
-        for seed in range(20):
-            if len({md5(f"{seed}{p}".encode()).hexdigest()[:digits] for p in paths}) == len(paths):
-                return seed, digits
-        digits += 1
-    raise ValueError(f"{len(paths)} files are too many to number rows by file and position")
+def _inside(paths: list[str]) -> int:
+    """How many characters of every path lead to the folder that holds all of them."""
+    low, high = min(paths), max(paths)
+    same = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return low.rfind("/", 0, same) + 1
+
+
+def _file_hash(name: str, bits: int) -> int:
+    return int(md5(name.encode()).hexdigest()[:_HASH_DIGITS], 16) >> (4 * _HASH_DIGITS - bits)
+
+
+def _file_numbers(names: list[str]) -> tuple[int, dict[str, int]]:
+    """``(bits, others)``: so many bits of the hash of its name number a file, but for the ``others``.
+
+    The bits grow with the number of files so that some 64 names at most share their hash with one
+    before; those get the next free number.
+    """
+    bits = max(_MIN_BITS, ceil(2 * log2(max(2, len(names)))) - 7)
+    used: set[int] = set()
+    late = []
+    for name in sorted(names):
+        number = _file_hash(name, bits)
+        late.append(name) if number in used else used.add(number)
+    others = {}
+    for name in late:
+        number = _file_hash(name, bits)
+        while number in used:
+            number = (number + 1) % (1 << bits)
+        used.add(number)
+        others[name] = number
+    return bits, others
 
 
 def with_row(df: DataFrame) -> DataFrame:
     """Number the rows by their file and their position in it, which no layout of a scan changes.
 
+    A file goes by its path below the folder that holds all files of the table, so a copy of the table
+    in another place has the same numbers.  There may be any number of files; the more there are, the
+    fewer rows each may have (2^39 up to 40,000 files, 2^30 at 800,000), and one with more is an error.
+
     The frame has to be columns and rows of one Parquet table, or made in the driver (those keep
     their order); anything else has to be written first.
     """
     nodes = _nodes(df._jdf.queryExecution().analyzed())
     leaves = [n for n in nodes if not n.children().size()]
-    if all(n.nodeName() in _MADE_HERE for n in leaves):
+    if all(_made_in_driver(n) for n in leaves):
         return df.withColumn(ROW, F.monotonically_increasing_id())
     if len(leaves) != 1 or not _is_parquet(leaves[0]) or any(n.nodeName() not in _KEEPS_ROWS for n in nodes if n not in leaves):
         raise ValueError("rows can be numbered in a Parquet table only; write the frame first")
-    paths = sorted({_file_path(uri) for uri in df.inputFiles()})
-    seed, digits = _file_numbers(paths)
+    # all files of the table, also when the frame reads some of its partitions only
+    mapper = df.sparkSession._jvm.com.fasterxml.jackson.databind.ObjectMapper()  # one call, not one a file
+    paths = [_file_path(uri) for uri in json.loads(mapper.writeValueAsString(leaves[0].relation().location().inputFiles()))]
+    start = _inside(paths) if paths else 0
+    bits, others = _file_numbers([p[start:] for p in paths])
     place = df.metadataColumn("_metadata")
-    file = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), place["file_path"]).cast("binary")), 1, digits), 16, 10).cast("bigint")
-    room = 63 - 4 * digits
+    name = F.substring(place["file_path"], start + 1, 1 << 30)
+    digits = F.conv(F.substring(F.md5(name.cast("binary")), 1, _HASH_DIGITS), 16, 10).cast("bigint")
+    file = F.shiftright(digits, 4 * _HASH_DIGITS - bits)
+    if others:
+        listed = F.create_map(*[F.lit(x) for name_number in others.items() for x in name_number])
+        file = F.coalesce(F.try_element_at(listed, name).cast("bigint"), file)
+    room = 63 - bits
     at = F.when(place["row_index"] < F.lit(1 << room), place["row_index"]).otherwise(
         F.raise_error(F.lit(f"a file has more than 2^{room} rows")).cast("bigint"))
     return df.withColumn(ROW, F.shiftleft(file, room) + at)

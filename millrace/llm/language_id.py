@@ -7,7 +7,8 @@ The regression is fitted on a sample of labelled training documents of bounded,
 sample that it does not see sets the temperature of the softmax.
 
 Defined results: texts that are NULL or have no letter are ``und`` with score 0, as is every text
-when nothing could be learnt; NULL and empty ``lang`` values are not learnt; repeated rows count each.
+when nothing could be learnt; NULL ``lang`` values are not learnt, the empty one is a label like others;
+repeated rows count each.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def _chosen(shares: dict[str, float]):
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows ``(row, text, lang)``, all of them training rows."""
-    labelled = docs.where("lang is not null and lang <> '' and text is not null")
+    labelled = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,3 +139,57 @@ def test_row_numbers_hold_under_any_layout(spark, tmp_path):
     assert all(s == seen[0] for s in seen) and len(set(seen[0].values())) == 4000
     with pytest.raises(ValueError):
         with_row(table.union(table))
+
+
+def test_row_numbers_go_with_the_table(spark, tmp_path):
+    """A copy in another folder has the same numbers, a single file and a pruned partition too."""
+    from millrace.llm.common import ROW, with_row
+
+    def numbers(path, where="true"):
+        return {(r["id"], r["k"]): r[ROW] for r in with_row(spark.read.parquet(str(path)).where(where)).collect()}
+
+    spark.range(900).selectExpr("id", "id % 3 as k").repartition(4).write.partitionBy("k").parquet(f"{tmp_path}/one/t")
+    shutil.copytree(tmp_path / "one" / "t", tmp_path / "a ü%" / "deeper")
+    first = numbers(tmp_path / "one" / "t")
+    assert len(set(first.values())) == 900
+    assert numbers(tmp_path / "a ü%" / "deeper") == first
+    assert numbers(tmp_path / "one" / "t", "k = 1") == {i: n for i, n in first.items() if i[1] == 1}
+    spark.range(50).selectExpr("id", "id as k").coalesce(1).write.parquet(f"{tmp_path}/single")
+    file = next((tmp_path / "single").glob("part-*"))
+    (tmp_path / "moved").mkdir()
+    shutil.copy(file, tmp_path / "moved" / file.name)
+    assert numbers(file) == numbers(tmp_path / "moved" / file.name) == numbers(tmp_path / "single")
+
+
+def test_names_with_one_hash_get_numbers_of_their_own(spark, tmp_path, monkeypatch):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "_MIN_BITS", 3)
+    spark.range(160).repartition(8).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    bits, others = common._file_numbers([f"{i}" for i in range(8)])
+    assert bits == 3 and others  # eight names, eight numbers
+    rows = common.with_row(table).select(common.ROW).collect()
+    assert len({r[0] for r in rows}) == 160 and len({r[0] >> 60 for r in rows}) == len(table.inputFiles())
+
+
+def test_any_number_of_files():
+    from millrace.llm import common
+
+    names = [f"day={i % 365}/part-{i:07d}.parquet" for i in range(800_000)]
+    bits, others = common._file_numbers(names)
+    assert bits <= 33 and len(others) < 500
+    assert len({others.get(n, common._file_hash(n, bits)) for n in names}) == len(names)
+    assert common._file_numbers(names[::-1]) == (bits, others)
+
+
+def test_rows_behind_an_rdd_are_refused(spark, tmp_path):
+    from millrace.llm.common import with_row
+
+    spark.range(20).write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    for rdd in (read.rdd, spark.range(20).repartition(3).rdd, spark.sparkContext.parallelize([(1,)]).repartition(2)):
+        with pytest.raises(ValueError):
+            with_row(spark.createDataFrame(rdd, "id bigint"))
+    assert with_row(spark.createDataFrame([(1,), (2,)], "id bigint")).count() == 2
+    assert with_row(spark.createDataFrame([], "id bigint")).count() == 0

@@ -2,6 +2,7 @@
 
 import math
 import random
+import shutil
 import struct
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, hashing, language_id, lm_scoring, quality_model
 
@@ -148,10 +150,23 @@ def test_language_edges(spark):
     got = language_id.identify(df).collect()
     assert len(got) == len(rows)
     assert sum(r["lang_pred"] == "und" and r["score"] == 0 for r in got) == 5
-    assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", df.lang.substr(1, 0))).collect()} == {"und"}
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language_id.identify(nothing).collect()} == {"und"}
+    # the empty label is not NULL, so it is learnt
+    empty = language_id.identify(df.withColumn("lang", F.when(df.lang.isNotNull(), ""))).collect()
+    assert {r["lang_pred"] for r in empty} == {"", "und"}
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_does_not_depend_on_the_folder(spark, data_dir, tmp_path):
+    spark.read.parquet(f"{data_dir}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/a/docs")
+    shutil.copytree(tmp_path / "a", tmp_path / "some where else")
+    here, there = (
+        {(r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(spark.read.parquet(str(p))).collect()}
+        for p in (tmp_path / "a" / "docs", tmp_path / "some where else" / "docs"))
+    assert here == there
+
+
 def test_quality_is_learnt_and_held_out(spark, staging, data_dir):
     docs, labels = (spark.read.parquet(f"{data_dir}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.quality_scores(docs, labels, staging=staging).join(labels, "doc_id").where("held_out").collect()
