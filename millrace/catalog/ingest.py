@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from millrace.catalog.inputs import (
 )
 from millrace.functions import coerce, normalise
 from millrace.operators import numbering, records
-from millrace.sinks import outputs
+from millrace.sinks import chunks, outputs
 from millrace.sources import queue, shapes, spool
 from millrace.staging import Staging
 
@@ -210,6 +211,23 @@ def commit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _picky_receiver(run: str, chunk: int, rows: pa.Table) -> list[str | None]:
+    """Refuses dear orders, and breaks down over a chunk with certain keys."""
+    for key in rows.column("o_orderkey").to_pylist():
+        if key % 3001 == 0:
+            raise ValueError(f"order {key}")
+    return ["too dear" if price > 250_000 else None for price in rows.column("o_totalprice").to_pylist()]
+
+
+@query
+def chunk_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders sent in chunks of 500 with a commit each: what became of every order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    path = Staging(spark).folder("sent")
+    chunks.write_chunks(orders, path, "orders", ["o_orderkey"], 500, _picky_receiver, "go_on")
+    return chunks.read_outcomes(spark, path, orders.schema).select("o_orderkey", "chunk", "state", "error")
+
+
 @query
 def sequence_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense sequence over customers, starting at 10 in steps of 5."""

@@ -190,6 +190,14 @@ ORACLES: dict[str, str] = {
         SELECT chunk, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
         FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS chunk FROM orders)
         GROUP BY 1""",
+    "chunk_outcomes": """
+        WITH numbered AS (
+          SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS chunk FROM orders),
+        broken AS (SELECT chunk, min(o_orderkey) AS k FROM numbered WHERE o_orderkey % 3001 = 0 GROUP BY 1)
+        SELECT o_orderkey, n.chunk,
+               CASE WHEN k IS NOT NULL THEN 'rolled_back' WHEN o_totalprice > 250000 THEN 'refused' ELSE 'sent' END AS state,
+               CASE WHEN k IS NOT NULL THEN 'ValueError: order ' || k WHEN o_totalprice > 250000 THEN 'too dear' END AS error
+        FROM numbered AS n LEFT JOIN broken AS b ON n.chunk = b.chunk""",
     "sequence_assign": """
         SELECT c_custkey, c_acctbal, 5 + 5 * row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS seq
         FROM customer""",
