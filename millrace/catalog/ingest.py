@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from millrace.catalog.inputs import (
     SPOOL_RULE, as_messages, event_lines, file_type, land_spool, query, record_type_of_event, table,
 )
-from millrace.functions import coerce, normalise
+from millrace.functions import coerce, normalise, wire
 from millrace.operators import numbering, records
 from millrace.sinks import chunks, outputs
 from millrace.sources import queue, shapes, spool
@@ -166,6 +166,41 @@ def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select(records.from_payload(F.col("payload"), events.schema).alias("r")).select("r.*")
 
 
+EVENT_PAYLOAD = T.StructType([T.StructField(n, k) for n, k in (
+    ("event_id", T.LongType()), ("user_id", T.LongType()), ("value", T.DoubleType()), ("event_type", T.StringType()))])
+KEYS_ONLY = T.StructType([f for f in EVENT_PAYLOAD.fields if f.name != "value"])
+
+
+def _payload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT_PAYLOAD.fields])
+
+
+@query
+def binary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as protobuf and MessagePack bytes and back; the bytes of all but the float, as hex digits."""
+    events = _payload_events(spark, sf_dir)
+    sent = events.select(
+        wire.to_protobuf_bytes(EVENT_PAYLOAD).alias("p"), wire.to_msgpack_bytes(EVENT_PAYLOAD).alias("m"),
+        F.hex(wire.to_protobuf_bytes(KEYS_ONLY)).alias("protobuf_hex"), F.hex(wire.to_msgpack_bytes(KEYS_ONLY)).alias("msgpack_hex"))
+    read = sent.select(
+        wire.from_protobuf_bytes(F.col("p"), EVENT_PAYLOAD).alias("p"), wire.from_msgpack_bytes(F.col("m"), EVENT_PAYLOAD).alias("m"),
+        "protobuf_hex", "msgpack_hex")
+    return read.select("p.record.*", F.col("m.record.value").alias("packed_value"), F.col("m.record.event_id").alias("packed_id"),
+                       "protobuf_hex", "msgpack_hex")
+
+
+@query
+def payload_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third payload loses its last byte, every third gets a byte that starts no field: the reject classes."""
+    events = _payload_events(spark, sf_dir)
+    whole, at = wire.to_protobuf_bytes(EVENT_PAYLOAD), F.col("event_id") % 3
+    harmed = F.when(at == 0, F.substring("p", F.lit(1), F.octet_length("p") - 1)).when(
+        at == 1, F.concat("p", F.lit(b"\x07"))).otherwise(F.col("p"))
+    read = events.select("event_id", whole.alias("p")).select("event_id", wire.from_protobuf_bytes(harmed, EVENT_PAYLOAD).alias("r"))
+    return read.select("event_id", F.col("r.error").alias("error"), F.col("r.record.event_type").alias("event_type"))
+
+
 @query
 def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected lines written as dead-letter files and read back, with their class."""

@@ -111,6 +111,15 @@ BATCHES = """
 ROLLS = BATCHES.replace("user_id % 4", "0").replace("FROM events", "FROM events WHERE event_id % 7 = 0").replace(
     "100000 FOLLOWING", "50000 FOLLOWING").replace("least(19,", "least(2,").replace("s.ending + 20,", "s.ending + 3,")
 
+# hex digits of non-negative numbers below 2^32 and of short names, in the two binary formats
+PROTOBUF_ID = """CASE WHEN {n} = 0 THEN '' ELSE '{tag}' || array_to_string(list_transform(
+  list_filter(range(10), lambda k: k = 0 OR {n} // CAST(pow(128, k) AS HUGEINT) > 0),
+  lambda k: printf('%02X', CAST({n} // CAST(pow(128, k) AS HUGEINT) % 128
+    + CASE WHEN {n} // CAST(pow(128, k + 1) AS HUGEINT) > 0 THEN 128 ELSE 0 END AS INTEGER))), '') END"""
+MSGPACK_ID = """CASE WHEN {n} < 128 THEN printf('%02X', {n}) WHEN {n} < 256 THEN 'CC' || printf('%02X', {n})
+  WHEN {n} < 65536 THEN 'CD' || printf('%04X', {n}) ELSE 'CE' || printf('%08X', {n}) END"""
+MSGPACK_KEY = "printf('%02X', 160 + strlen('{0}')) || hex('{0}')"
+
 ORACLES: dict[str, str] = {
     "spool_ingest": f"""
         SELECT record_type, reject_reason, count(*) AS n_lines, CAST(sum(age) AS BIGINT) AS sum_age,
@@ -174,6 +183,18 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, concat_ws('|', o_orderstatus, o_orderkey, o_custkey, o_orderpriority) AS line
         FROM orders""",
     "payload_roundtrip": "SELECT event_id, user_id, event_type, value FROM events",
+    "binary_payloads": f"""
+        SELECT event_id, user_id, value, event_type, value AS packed_value, event_id AS packed_id,
+               {PROTOBUF_ID.format(tag="08", n="event_id")} || {PROTOBUF_ID.format(tag="10", n="user_id")}
+               || CASE WHEN event_type = '' THEN '' ELSE '1A' || printf('%02X', strlen(event_type)) || hex(event_type) END AS protobuf_hex,
+               '83' || {MSGPACK_KEY.format("event_id")} || {MSGPACK_ID.format(n="event_id")}
+               || {MSGPACK_KEY.format("user_id")} || {MSGPACK_ID.format(n="user_id")}
+               || {MSGPACK_KEY.format("event_type")} || printf('%02X', 160 + strlen(event_type)) || hex(event_type) AS msgpack_hex
+        FROM events""",
+    "payload_rejects": """
+        SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'cut' WHEN 1 THEN 'damaged' END AS error,
+               CASE WHEN event_id % 3 = 2 THEN event_type END AS event_type
+        FROM events""",
     "dead_letter": f"""
         SELECT CASE WHEN event_id % 2 = 0 THEN 'parse' ELSE 'send' END AS fail_class, value
         FROM ({LINES}) WHERE {DAMAGED}""",
