@@ -4,25 +4,25 @@ States are the n-grams seen in training (up to ``order - 1`` words); a state has
 after it, with a smoothed weight, and a failure arc to its longest proper suffix.  Smoothing is by
 Dirichlet priors, level by level: ``p(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu)``, so the failure
 arc of ``h`` weighs ``mu / (c(h) + mu)``, the weights out of a state sum to one, and the lowest level
-is the add-one unigram.  A text is walked once from left to right; the state after a word is the
-longest suffix that was seen.  As that depends on the last words only, the walk is laid out over all
-positions of a batch: arcs where they exist, failure weights where they do not.
+is the add-one unigram.  A text is walked once from left to right, carrying its state: failure arcs
+until the state has an arc for the next word, then that arc, adding up their weights.
 
 The model is never gathered.  Documents are dealt to units of bounded size by row; each unit asks
 for the n-grams it holds and tells how often its training documents have them, range by range of the
-hashed key space; a range adds up and answers every unit.  An n-gram that every document holds is one
-entry per unit.  Two passes over the text are needed: one for the number of tokens and distinct ones.
+hashed key space; a range adds up and answers every unit, which builds the states and arcs that its
+texts can reach.  An n-gram that every document holds is one entry per unit.  Two passes over the text
+are needed: one for the number of tokens and distinct ones.
 
 Defined results: NULL and empty texts have the end token only; a NULL id counts as the empty text in
 the choice of training documents; repeated rows are counted and scored each; without training
-documents all counts are zero.  Words are told apart by 64-bit hashes, longer n-grams by a hash with
-ten bits more than the corpus needs to number its bytes.
+documents all counts are zero.  Words are told apart by 64-bit hashes, longer n-grams by 56 bits of
+theirs, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from millrace.staging import Staging
 ORDER = 3
 PRIORS = (0.0, 0.0, 2000.0, 20.0)  # by order of the n-gram
 UNIT_BYTES = 4 << 20
+KEY_BITS = 56  # of the hash of two words and more
+RUN = 1024  # words of a text that are walked in a row
 MODULUS, HELD_OUT = 7, 2
 END = hashing._stream(97, 1)[0]
 FLUSH = 1 << 20
@@ -77,40 +79,43 @@ def _unigrams(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Grams:
-    """The n-grams of a unit: per order the key at every position that ends one, and their table."""
+    """The n-grams of a unit, order by order: a table of distinct keys, and the entry at every position."""
 
-    def __init__(self, column: pa.Array, order: int, key_bits: int):
+    def __init__(self, column: pa.Array, order: int):
         self.tokens, self.bounds = tokens_of(column)
+        self.order = order
         n = len(self.tokens)
-        self.place = np.arange(n) - np.repeat(self.bounds[:-1], np.diff(self.bounds))  # in its text
-        spare = _U(64 - key_bits)
-        self.keys = {1: hashing.mix(self.tokens + _U(1))}
-        for k in range(2, order + 1):
-            ended = hashing.ngram_hashes(self.tokens, k)[:max(0, n - k + 1)] >> spare << spare
-            self.keys[k] = np.concatenate([np.zeros(min(n, k - 1), _U), ended])
-
-    def valid(self, k: int) -> np.ndarray:
-        return self.place >= k - 1
+        place = np.arange(n) - np.repeat(self.bounds[:-1], np.diff(self.bounds))  # in its text
+        self.keys: dict[int, np.ndarray] = {}  # distinct, rising
+        self.ends: dict[int, np.ndarray] = {}  # where each of them ends for the first time
+        self.at: dict[int, np.ndarray] = {}  # its entry at the position where it ends, -1 without one
+        for k in range(1, order + 1):
+            ended = np.flatnonzero(place >= k - 1)
+            hashed = hashing.mix(self.tokens + _U(1)) if k == 1 else hashing.ngram_hashes(self.tokens, k)
+            self.keys[k], first, entry = np.unique(
+                hashed[ended - (k - 1)] >> _U(64 - _key_bits(k)), return_index=True, return_inverse=True)
+            self.ends[k] = ended[first]
+            self.at[k] = np.full(n, -1)
+            self.at[k][ended] = entry
 
 
-def _key_bits(k: int, key_bits: int) -> int:
-    return 64 if k == 1 else key_bits
+def _key_bits(k: int) -> int:
+    return 64 if k == 1 else KEY_BITS
 
 
-def _request(order: int, key_bits: int, bits: int) -> Callable:
+def _request(order: int, bits: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         out = {"unit": [], "part": [], "k": [], "keys": [], "counts": []}
         unit = table.column("unit")[0].as_py()
         column = table.column("text").chunk(0)
-        grams = Grams(column, order, key_bits)
+        grams = Grams(column, order)
         train = np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(grams.bounds))
         for k in range(1, order + 1):
-            ok = grams.valid(k)
-            keys, at = np.unique(grams.keys[k][ok], return_inverse=True)
-            counts = np.bincount(at, train[ok], len(keys)).astype("<u8")
+            ok = grams.at[k] >= 0
+            counts = np.bincount(grams.at[k][ok], train[ok], len(grams.keys[k])).astype("<u8")
             done = 0
-            for part, own in key_counts.cut(keys >> _U(64 - _key_bits(k, key_bits)), _key_bits(k, key_bits), bits):
+            for part, own in key_counts.cut(grams.keys[k], _key_bits(k), bits):
                 out["unit"].append(unit)
                 out["part"].append(part)
                 out["k"].append(k)
@@ -139,41 +144,108 @@ def _answer(table: pa.Table) -> pa.Table:
     }, pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("counts", pa.binary())]))
 
 
-def walk(grams: Grams, counts: dict[int, np.ndarray], total: int, distinct: int, priors) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the unigram and of the model's probability at every position.
+class Automaton:
+    """The part of the weighted backoff automaton that the texts of a unit can reach.
+
+    A state is a seen n-gram of up to ``order - 1`` words; state 0 is the empty one.  Each state but that
+    has a failure arc to its longest proper suffix (``fail``, ``fail_weight``).  There is an arc for every
+    seen n-gram, out of the state of its first words, and one out of state 0 for every word of the unit.
+    Arcs are sorted by ``state * words + word`` (``arcs``), with ``weight`` and ``target`` beside them.
 
-    ``counts[k]`` holds, at each position, the count of the n-gram of ``k`` words that ends there.
+    ``counts[k]`` belongs to ``grams.keys[k]``.
     """
-    base = np.log10((counts[1] + 1.0) / (total + 1.0 * (distinct + 1)))
-    score = base
-    for k in range(2, max(counts) + 1):
-        mu = priors[k]
-        state = np.concatenate([[0], counts[k - 1][:-1]])  # c(h), h ends one position before
-        there = grams.valid(k) & (state > 0)
-        fail = np.log10(mu / (state + mu))
-        arc = np.log10((counts[k] + mu * 10.0 ** score) / (state + mu))
-        seen = there & (counts[k] > 0)
-        score = np.where(seen, arc, np.where(there, fail + score, score))
-    return base, score
-
-
-def _score(order: int, key_bits: int, total: int, distinct: int, priors) -> Callable:
+
+    def __init__(self, grams: Grams, counts: dict[int, np.ndarray], total: int, distinct: int, priors):
+        self.words, self.reach = len(grams.keys[1]), grams.order - 1
+        seen = counts[1] > 0
+        state = self._states(seen, 1, 1)
+        chance = (counts[1] + 1.0) / (total + 1.0 * (distinct + 1))
+        self.base = np.log10(chance)
+        fail, held = [np.zeros(1 + int(state.max(initial=0)), np.int64)], [np.zeros(1, np.int64), counts[1][seen & (state > 0)]]
+        fail_weight = [np.zeros(1)]
+        arcs, weight, target = [np.arange(self.words)], [self.base], [state]
+        made = len(fail[0])
+        for k in range(2, grams.order + 1):
+            mu, end = priors[k], grams.ends[k]
+            source, suffix = state[grams.at[k - 1][end - 1]], grams.at[k - 1][end]
+            seen = (counts[k] > 0) & (source > 0) & seen[suffix]
+            size = np.concatenate(held)
+            chance = (counts[k] + mu * chance[suffix]) / (size[source] + mu)
+            fail_weight.append(np.log10(mu / (held[-1] + mu)))
+            own = self._states(seen, made, k)
+            arcs.append((source * self.words + grams.at[1][end])[seen])
+            weight.append(np.log10(chance[seen]))
+            target.append((own if k <= self.reach else state[suffix])[seen])
+            if k <= self.reach:
+                fail.append(state[suffix][seen])
+                held.append(counts[k][seen])
+                made += int(seen.sum())
+            state = own
+        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+        arcs = np.concatenate(arcs)
+        rising = np.argsort(arcs)
+        self.arcs, self.weight, self.target = arcs[rising], np.concatenate(weight)[rising], np.concatenate(target)[rising]
+
+    def _states(self, seen: np.ndarray, made: int, k: int) -> np.ndarray:
+        """Numbers from ``made`` on for the seen n-grams that are states, 0 for the others."""
+        return np.where(seen, made - 1 + np.cumsum(seen), 0) if k <= self.reach else np.zeros(len(seen), np.int64)
+
+    def _arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The arc out of a state for a word, -1 without one."""
+        wanted = state * self.words + word
+        arc = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
+        return np.where(self.arcs[arc] == wanted, arc, -1)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read a word in each state: failure arcs until the state has an arc for it, then that arc."""
+        state, gain = state.copy(), np.zeros(len(state))
+        arc = self._arc(state, word)
+        stuck = np.flatnonzero(arc < 0)
+        while len(stuck):
+            gain[stuck] += self.fail_weight[state[stuck]]
+            state[stuck] = self.fail[state[stuck]]
+            arc[stuck] = self._arc(state[stuck], word[stuck])
+            stuck = stuck[arc[stuck] < 0]
+        return self.target[arc], gain + self.weight[arc]
+
+    def walk(self, words: np.ndarray, bounds: np.ndarray, run: int = RUN) -> np.ndarray:
+        """log10 of the probability of every text, read once from left to right.
+
+        All texts of the unit advance together, a word a step.  A longer text is cut into runs; a run
+        starts ``order - 1`` words early in state 0, which is the state that the run before hands on,
+        as no state holds more words.
+        """
+        length = np.diff(bounds)
+        pieces = -(-length // run)
+        text = np.repeat(np.arange(len(length)), pieces)
+        start = bounds[text] + run * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        stop = np.minimum(start + run, bounds[text + 1])
+        begin = np.maximum(start - self.reach, bounds[text])
+        longest = np.argsort(begin - stop, kind="stable")
+        text, start, stop, begin = text[longest], start[longest], stop[longest], begin[longest]
+        todo = stop - begin
+        state, score = np.zeros(len(text), np.int64), np.zeros(len(text))
+        for step in range(int(todo[0]) if len(todo) else 0):
+            live = int(np.searchsorted(-todo, -step))
+            at = begin[:live] + step
+            state[:live], gain = self.step(state[:live], words[at])
+            score[:live] += np.where(at >= start[:live], gain, 0.0)
+        return np.bincount(text, score, len(length))
+
+
+def _score(order: int, total: int, distinct: int, priors) -> Callable:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        grams = Grams(docs.column("text").chunk(0), order, key_bits)
+        grams = Grams(docs.column("text").chunk(0), order)
         told = sorted(zip(*(answers.column(c).to_pylist() for c in ("k", "part", "counts"))), key=lambda r: r[:2])
-        counts = {}
-        for k in range(1, order + 1):
-            ok = grams.valid(k)
-            _, at = np.unique(grams.keys[k][ok], return_inverse=True)
-            known = np.concatenate([np.zeros(0, "<u8"), *[hashing.unpack_numbers(c) for o, _, c in told if o == k]])
-            counts[k] = np.zeros(len(ok), np.int64)
-            counts[k][ok] = known[at]
-        base, score = walk(grams, counts, total, distinct, priors)
+        counts = {k: np.concatenate([hashing.unpack_numbers(c) for o, _, c in told if o == k] or [np.zeros(0, "<u8")]).astype(np.int64)
+                  for k in range(1, order + 1)}
+        automaton = Automaton(grams, counts, total, distinct, priors)
+        words = grams.at[1]
         sums = lambda x: np.add.reduceat(x, grams.bounds[:-1])  # noqa: E731  every text has its end token
         return pa.table({
-            ROW: docs.column(ROW), "n_tokens": np.diff(grams.bounds), "n_known": sums((counts[1] > 0).astype(np.int64)),
-            "base_score": sums(base), "score": sums(score)})
+            ROW: docs.column(ROW), "n_tokens": np.diff(grams.bounds), "n_known": sums((counts[1] > 0).astype(np.int64)[words]),
+            "base_score": sums(automaton.base[words]), "score": automaton.walk(words, grams.bounds)})
 
     return run
 
@@ -193,15 +265,14 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     total, distinct = sums["total"] or 0, sums["distinct"]
 
     units = max(1, ceil(size / UNIT_BYTES))
-    key_bits = min(64, max(40, ceil(log2(max(2, size))) + 10))
     bits = key_counts.range_bits(size)
     dealt = docs.select(
         ROW, F.pmod(F.xxhash64(ROW), F.lit(units)).alias("unit"), (~F.col("held_out")).alias("train"), "text")
     requests = dealt.groupBy("unit").applyInArrow(
-        _request(order, key_bits, bits), "unit bigint, part int, k int, keys binary, counts binary")
+        _request(order, bits), "unit bigint, part int, k int, keys binary, counts binary")
     answers = requests.groupBy("part", "k").applyInArrow(_answer, "unit bigint, part int, k int, counts binary")
     scored = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
-        _score(order, key_bits, total, distinct, priors),
+        _score(order, total, distinct, priors),
         f"{ROW} bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     scored = staging.keep(scored.withColumnRenamed(ROW, "r"), "scores")
     return docs.drop("text").join(scored, F.col(ROW) == F.col("r")).select(

@@ -95,9 +95,10 @@ def test_words_and_shingles(monkeypatch):
 def brute_scores(rows, priors):
     words = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in words]
-    counts = [None, Counter(), Counter(), Counter()]
+    orders = range(1, len(priors))
+    counts = [None, *(Counter() for _ in orders)]
     for (_, w), out in zip(words, held):
-        for k in (1, 2, 3):
+        for k in orders:
             counts[k].update(() if out else [tuple(w[i:i + k]) for i in range(len(w) - k + 1)])
     total, distinct = sum(counts[1].values()), len(counts[1])
     for (i, w), out in zip(words, held):
@@ -105,7 +106,7 @@ def brute_scores(rows, priors):
         for at in range(len(w)):
             p = (counts[1][(w[at],)] + 1) / (total + distinct + 1)
             base += math.log10(p)
-            for k in (2, 3):
+            for k in orders[1:]:
                 history = counts[k - 1][tuple(w[at - k + 1:at])] if at >= k - 1 else 0
                 if history:
                     p = (counts[k][tuple(w[at - k + 1:at + 1])] + priors[k] * p) / (history + priors[k])
@@ -124,16 +125,71 @@ def test_language_model(spark, staging, texts):
     assert sorted(g[2] for g in got) == pytest.approx(sorted(w[2] for w in want))
 
 
+@pytest.mark.parametrize("priors", [(0, 0), (0, 0, 3.0), (0, 0, 9.0, 5.0, 2.0, 1.0)])
+def test_language_model_of_other_orders(spark, staging, priors):
+    words = "a b c a b d a b c e".split()
+    texts = [" ".join(words[i % 7:] + words[:i % 5]) for i in range(40)] + ["a b c " * 3000, None, "q"]
+    df = frame(spark, texts)
+    want = sorted((w[0], *w[1:]) for w in brute_scores([(r["doc_id"], r["text"]) for r in df.collect()], priors) if w[0][0] is not None)
+    got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]), r["base_score"], r["score"])
+                 for r in lm_scoring.score_texts(df, order=len(priors) - 1, priors=priors, staging=staging).collect()
+                 if r["doc_id"] is not None)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def automaton(texts, asked, order, priors):
+    """The automaton of the n-grams of ``texts``, as far as ``asked`` can reach it."""
+    grams = lm_scoring.Grams(pa.array([t.encode() for t in asked], pa.binary()), order)
+    trained = lm_scoring.Grams(pa.array([t.encode() for t in texts], pa.binary()), order)
+    counts = {}
+    for k in range(1, order + 1):
+        found = Counter(trained.keys[k][trained.at[k][trained.at[k] >= 0]].tolist())
+        counts[k] = np.array([found[x] for x in grams.keys[k].tolist()])
+    return grams, lm_scoring.Automaton(grams, counts, len(trained.tokens), len(trained.keys[1]), priors)
+
+
 def test_weights_out_of_a_state_sum_to_one():
-    """Over all words of the vocabulary and the unknown one, after "the"."""
-    text = "the cat sat the cat ran the dog sat".split()
-    uni, bi = Counter(text), Counter(zip(text, text[1:]))
-    vocabulary = [*uni, "zebra"]
-    grams = lm_scoring.Grams(pa.array([f"the {w}".encode() for w in vocabulary], pa.binary()), 2, 64)
-    tokens = [t for w in vocabulary for t in ("the", w, None)]
-    counts = {1: np.array([uni[t] for t in tokens]), 2: np.array([bi[(a, b)] for a, b in zip([None, *tokens], tokens)])}
-    _, score = lm_scoring.walk(grams, counts, len(text), len(uni), (0, 0, 3.0))
-    assert (10 ** score[1::3]).sum() == pytest.approx(1)
+    """Over all words of the vocabulary and the unknown one, after "the" and after "the cat"."""
+    text = "the cat sat the cat ran the dog sat"
+    for before in ("the", "the cat"):
+        asked = [f"{before} {w}" for w in ["zebra", *sorted(set(text.split()))]]
+        grams, model = automaton([text], [*asked, before], 3, (0, 0, 3.0, 2.0))
+        ends = {before: model.walk(grams.at[1][grams.bounds[-2]:grams.bounds[-1] - 1], np.array([0, len(before.split())]))[0]}
+        chances = []
+        for i in range(len(asked)):
+            a, b = grams.bounds[i], grams.bounds[i + 1]
+            chances.append(10 ** (model.walk(grams.at[1][a:b - 1], np.array([0, b - 1 - a]))[0] - ends[before]))
+        a, b = grams.bounds[-2], grams.bounds[-1]  # the end token is a word of the vocabulary, too
+        chances.append(10 ** (model.walk(grams.at[1][a:b], np.array([0, b - a]))[0] - ends[before]))
+        assert sum(chances) == pytest.approx(1)
+
+
+def test_states_arcs_and_failure_arcs():
+    grams, model = automaton(["a b c"], ["a b c", "a b x", "b c"], 3, (0, 0, 3.0, 2.0))
+    name = {w: grams.at[1][i] for w, i in {"a": 0, "b": 1, "c": 2, "x": 6}.items()}
+    read = lambda state, w: tuple(x[0] for x in model.step(np.array([state]), np.array([name[w]])))
+    a, _ = read(0, "a")
+    ab, _ = read(a, "b")
+    b, _ = read(0, "b")
+    assert len({0, a, b, ab}) == 4
+    assert model.fail[ab] == b and model.fail[a] == model.fail[b] == 0
+    bc, weight = read(ab, "c")
+    c, _ = read(0, "c")
+    assert model.fail[bc] == c and 10 ** weight == pytest.approx((1 + 2 * (1 + 3 * (2 / 9)) / 4) / 3)
+    # an unseen word falls through every state to the start and stays there
+    state, weight = read(ab, "x")
+    assert state == 0 and weight == pytest.approx(
+        model.fail_weight[ab] + model.fail_weight[b] + model.base[name["x"]])
+
+
+def test_runs_of_a_long_text_hand_their_state_on():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefg"), n)) for n in (500, 1, 37, 64, 0)]
+    grams, model = automaton(texts[:3], texts, 4, (0, 0, 9.0, 4.0, 2.0))
+    whole = model.walk(grams.at[1], grams.bounds, 10**6)
+    for run in (1, 2, 7, 64):
+        assert model.walk(grams.at[1], grams.bounds, run) == pytest.approx(whole)
 
 
 def test_language_is_learnt_and_held_out(spark, data_dir):
