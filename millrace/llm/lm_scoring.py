@@ -10,8 +10,8 @@ until the state has an arc for the next word, then that arc, adding up their wei
 The model is never gathered.  Documents are dealt to units of bounded size by row; each unit asks
 for the n-grams it holds and tells how often its training documents have them, range by range of the
 hashed key space; a range adds up and answers every unit, which builds the states and arcs that its
-texts can reach.  An n-gram that every document holds is one entry per unit.  Two passes over the text
-are needed: one for the number of tokens and distinct ones.
+texts can reach.  An n-gram that every document holds is one entry per unit.  The ranges also tell
+their shares of all tokens and distinct words, so the text is read once, after a pass for its size.
 
 Defined results: NULL and empty texts have the end token only; a NULL id counts as the empty text in
 the choice of training documents; repeated rows are counted and scored each; without training
@@ -21,11 +21,12 @@ theirs, whatever the size of the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,6 @@ KEY_BITS = 56  # of the hash of two words and more
 RUN = 1024  # words of a text that are walked in a row
 MODULUS, HELD_OUT = 7, 2
 END = hashing._stream(97, 1)[0]
-FLUSH = 1 << 20
 
 _U = np.uint64
 
@@ -58,26 +58,6 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends + 1])
 
 
-def _unigrams(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the training tokens of a task, merged until they get many."""
-    keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
-
-    def rows():
-        return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": counts})
-
-    for batch in stream:
-        for piece in hashing.slices(batch, "text", UNIT_BYTES):
-            tokens, _ = tokens_of(piece.column("text"))
-            new, n = np.unique(tokens, return_counts=True)
-            both = np.concatenate([keys, new])
-            keys, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > FLUSH:
-                yield rows()
-                keys, counts = keys[:0], counts[:0]
-    yield rows()
-
-
 class Grams:
     """The n-grams of a unit, order by order: a table of distinct keys, and the entry at every position."""
 
@@ -115,7 +95,10 @@ def _request(order: int, bits: int) -> Callable:
             ok = grams.at[k] >= 0
             counts = np.bincount(grams.at[k][ok], train[ok], len(grams.keys[k])).astype("<u8")
             done = 0
-            for part, own in key_counts.cut(grams.keys[k], _key_bits(k), bits):
+            cut = dict(key_counts.cut(grams.keys[k], _key_bits(k), bits))
+            # every range is asked about words, as it tells its share of all tokens and distinct ones, too
+            for part in range(1 << bits) if k == 1 else cut:
+                own = cut.get(part, grams.keys[k][:0])
                 out["unit"].append(unit)
                 out["part"].append(part)
                 out["k"].append(k)
@@ -130,18 +113,27 @@ def _request(order: int, bits: int) -> Callable:
 _REQUEST = pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+_ANSWER = pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("counts", pa.binary()),
+                     ("total", pa.int64()), ("distinct", pa.int64())])
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    """Add up the counts of one range and order; answer every unit in the order of its keys."""
+    """Add up the counts of one range and order; answer every unit in the order of its keys.
+
+    With the answer goes how many n-grams of training the range holds, and how many distinct ones.
+    """
     units = table.column("unit").to_pylist()
     keys = [hashing.unpack_sorted(b) for b in table.column("keys").to_pylist()]
     counts = np.concatenate([hashing.unpack_numbers(b) for b in table.column("counts").to_pylist()])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, counts)[at].astype("<u8")
+    sums = np.bincount(at, counts)
+    told = sums[at].astype("<u8")
     edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).tolist()
     return pa.table({
         "unit": units, "part": table.column("part"), "k": table.column("k"),
-        "counts": [hashing.pack_numbers(total[a:b]) for a, b in zip(edges[:-1], edges[1:])],
-    }, pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("counts", pa.binary())]))
+        "counts": [hashing.pack_numbers(told[a:b]) for a, b in zip(edges[:-1], edges[1:])],
+        "total": [int(sums.sum())] * len(units), "distinct": [int((sums > 0).sum())] * len(units),
+    }, _ANSWER)
 
 
 class Automaton:
@@ -233,19 +225,21 @@ class Automaton:
         return np.bincount(text, score, len(length))
 
 
-def _score(order: int, total: int, distinct: int, priors) -> Callable:
+def _score(order: int, priors) -> Callable:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         grams = Grams(docs.column("text").chunk(0), order)
         told = sorted(zip(*(answers.column(c).to_pylist() for c in ("k", "part", "counts"))), key=lambda r: r[:2])
         counts = {k: np.concatenate([hashing.unpack_numbers(c) for o, _, c in told if o == k] or [np.zeros(0, "<u8")]).astype(np.int64)
                   for k in range(1, order + 1)}
+        of_words = answers.filter(pc.equal(answers.column("k"), 1))
+        total, distinct = (pc.sum(of_words.column(c)).as_py() for c in ("total", "distinct"))
         automaton = Automaton(grams, counts, total, distinct, priors)
         words = grams.at[1]
         sums = lambda x: np.add.reduceat(x, grams.bounds[:-1])  # noqa: E731  every text has its end token
         return pa.table({
             ROW: docs.column(ROW), "n_tokens": np.diff(grams.bounds), "n_known": sums((counts[1] > 0).astype(np.int64)[words]),
-            "base_score": sums(automaton.base[words]), "score": automaton.walk(words, grams.bounds)})
+            "train_tokens": np.full(docs.num_rows, total), "base_score": sums(automaton.base[words]), "score": automaton.walk(words, grams.bounds)})
 
     return run
 
@@ -260,20 +254,17 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     docs = with_row(df).select(
         ROW, own.alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    unigrams = docs.where(~F.col("held_out")).select("text").mapInArrow(_unigrams, "key bigint, n bigint")
-    sums = unigrams.groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("total"), F.count("n").alias("distinct")).first()
-    total, distinct = sums["total"] or 0, sums["distinct"]
-
     units = max(1, ceil(size / UNIT_BYTES))
     bits = key_counts.range_bits(size)
     dealt = docs.select(
         ROW, F.pmod(F.xxhash64(ROW), F.lit(units)).alias("unit"), (~F.col("held_out")).alias("train"), "text")
     requests = dealt.groupBy("unit").applyInArrow(
         _request(order, bits), "unit bigint, part int, k int, keys binary, counts binary")
-    answers = requests.groupBy("part", "k").applyInArrow(_answer, "unit bigint, part int, k int, counts binary")
+    answers = requests.groupBy("part", "k").applyInArrow(
+        _answer, "unit bigint, part int, k int, counts binary, total bigint, distinct bigint")
     scored = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
-        _score(order, total, distinct, priors),
-        f"{ROW} bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+        _score(order, priors),
+        f"{ROW} bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     scored = staging.keep(scored.withColumnRenamed(ROW, "r"), "scores")
     return docs.drop("text").join(scored, F.col(ROW) == F.col("r")).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
