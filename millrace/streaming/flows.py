@@ -128,40 +128,44 @@ def ingest(spark: SparkSession, channel: Channel, checkpoint: str, max_files: in
 
 
 def ingest_writer(channel: Channel, send: Writer | None = None, files: IngestedFiles | None = None) -> Writer:
-    """Send good records as payloads and write the two classes of dead letters.
-
-    When sending fails, the records of the micro-batch go to the ``send`` dead letters as delimited
-    lines.  Faults of the sender's own code are raised.
-    """
-    sink, source = channel.sink, channel.source
-    send = send or channel_sender(sink)
+    """Number the parsed lines of a micro-batch and write the outputs of its channel."""
+    send = send or channel_sender(channel.sink)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if files:
             files.settle(before=batch_id)
             files.note(batch, batch_id)
         with Staging(batch.sparkSession) as staging:
-            # numbering writes the parsed lines once, so all outputs below read that table
-            good, rejected = split_rejects(number_lines(batch, staging))
-            columns = ["file_name", "line_num", *source.schema().names]
-            if sink.fail_path:
-                write_batch_letters(dead_letters(rejected, "value", PARSE), sink.fail_path,
-                                    channel.name, PARSE, batch_id)
-            payloads = good.select(*columns, to_payload(columns).alias("value"))
-            try:
-                send(payloads, batch_id)
-            except FAULTS:
-                raise
-            except Exception:
-                if not sink.fail_path:
-                    raise
-                line = record_line(source.schema().names, source.separator)
-                write_batch_letters(dead_letters(good, line, SEND), sink.fail_path,
-                                    channel.name, SEND, batch_id)
+            # numbering writes the parsed lines once, so all outputs read that table
+            write_outcomes(channel, number_lines(batch, staging), batch_id, send)
 
     return handle
 
 
+def write_outcomes(channel: Channel, parsed: DataFrame, batch_id: int, send: Writer | None = None) -> None:
+    """Send the good records of numbered lines as payloads and write the two classes of dead letters.
+
+    When sending fails, the records of the micro-batch go to the ``send`` dead letters as delimited
+    lines.  Faults of the sender's own code are raised.
+    """
+    sink, source = channel.sink, channel.source
+    send = send or channel_sender(sink)
+    good, rejected = split_rejects(parsed)
+    columns = ["file_name", "line_num", *source.schema().names]
+    if sink.fail_path:
+        write_batch_letters(dead_letters(rejected, "value", PARSE), sink.fail_path, channel.name, PARSE, batch_id)
+    payloads = good.select(*columns, to_payload(columns).alias("value"))
+    try:
+        send(payloads, batch_id)
+    except FAULTS:
+        raise
+    except Exception:
+        if not sink.fail_path:
+            raise
+        line = record_line(source.schema().names, source.separator)
+        write_batch_letters(dead_letters(good, line, SEND), sink.fail_path, channel.name, SEND, batch_id)
+
+
 def offset_progress(messages: DataFrame, ok: Column) -> DataFrame:
     """Running last-ok and newest offset per partition.
 
