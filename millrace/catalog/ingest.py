@@ -13,7 +13,7 @@ from millrace.catalog.inputs import (
 from millrace.functions import coerce, normalise, wire
 from millrace.operators import numbering, records
 from millrace.sinks import chunks, outputs
-from millrace.sources import queue, shapes, spool
+from millrace.sources import queue, shapes, slices, spool
 from millrace.staging import Staging
 
 CUSTOMER = records.RecordSchema((
@@ -346,3 +346,24 @@ def row_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = orders.where("o_orderstatus <> 'P'").union(orders.where("o_orderstatus = 'F'"))
     odd = normalise.odd_rows(orders, copy)
     return odd.groupBy("o_orderstatus").agg(F.sum("surplus").alias("surplus"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def balanced_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicates for a read in 16 slices, where one key holds a third of the rows and many have none.
+
+    How many rows the slices read together, how many rows some slice reads, and whether the largest
+    slice has less than a fifth more rows than the smallest.
+    """
+    order = F.col("l_orderkey")
+    key = F.when(order % 3 == 0, 7).when(order % 11 == 0, None).otherwise(F.col("l_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select(key.cast("bigint").alias("part"), order.alias("line_order"))
+    predicates = slices.slice_predicates(lines, "part", "line_order", 16)
+    some = " OR ".join(f"({p})" for p in predicates)  # counted beside the slices, in the same pass
+    sizes = slices.slice_sizes(lines, [*predicates, some])
+    of_slice = F.col("slice") < len(predicates)
+    return sizes.agg(
+        F.count_if(of_slice).alias("n_slices"),
+        F.sum(F.when(of_slice, F.col("n_rows"))).alias("n_read"),
+        F.max(F.when(~of_slice, F.col("n_rows"))).alias("n_reached"),
+        (F.max(F.when(of_slice, F.col("n_rows"))) < F.min(F.when(of_slice, F.col("n_rows"))) * 1.2).alias("even"))

@@ -467,6 +467,14 @@ ORACLES: dict[str, str] = {
     "stream_batch_deal": SQUARES,
     "stream_offset_progress": OFFSETS,
     "stream_reallot": f"SELECT worker, topic, partition FROM ({REALLOT})",
+    "stream_folder": f"""
+        SELECT channel, CASE WHEN {DAMAGED} THEN 'parse' ELSE 'sent' END AS outcome, CAST(sum(landings) AS BIGINT) AS n_lines,
+               CAST(sum(CASE WHEN NOT {DAMAGED} THEN landings * {AGE} END) AS BIGINT) AS sum_age
+        FROM ({LINES}) JOIN (VALUES ('sms', 'sms', 2), ('gsm', 'gsm', 2), ('mobile', 'sms', 2), ('mobile', 'gsm', 2),
+                                    ('gprs', 'gprs', 1)) v(channel, record_type, landings) USING (record_type)
+        GROUP BY 1, 2""",
+    "balanced_slices": """
+        SELECT CAST(16 AS BIGINT) AS n_slices, count(*) AS n_read, count(*) AS n_reached, true AS even FROM lineitem""",
     "stream_ingest": f"""
         SELECT record_type, CASE WHEN {DAMAGED} THEN 'parse' ELSE 'sent' END AS outcome, count(*) AS n_lines,
                CAST(sum(CASE WHEN NOT {DAMAGED} THEN {AGE} END) AS BIGINT) AS sum_age

@@ -15,7 +15,7 @@ from millrace.plans.channels import resolve
 from millrace.sinks.outputs import outcome_handlers
 from millrace.sources import queue
 from millrace.staging import Staging
-from millrace.streaming import batches, flows
+from millrace.streaming import batches, flows, folders
 
 
 def _deal_stream(spark: SparkSession, dealt: DataFrame, staging: Staging) -> DataFrame:
@@ -115,6 +115,31 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"), F.sum("age").alias("sum_age"))
 
 
+@query
+def stream_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of one folder in one stream, counted by outcome; the last joins later and gets what lands then."""
+    staging = Staging(spark)
+    spool_dir, checkpoint = staging.folder("spool"), staging.folder("checkpoint")
+    table_dir, fail_dir = staging.folder("sent"), staging.folder("fail")
+    rules = {"sms": "^sms[[:alnum:]]+", "gsm": "^gsm[[:alnum:]]+", "mobile": "^(sms|gsm)[[:alnum:]]+", "gprs": "^gprs[[:alnum:]]+"}
+    channels = list(resolve({
+        "sources": {name: {
+            "record_type": "sms", "directory": spool_dir, "delete_policy": "off",
+            "name_rule": rule, "separator": ",", "columns": "name,age,sex",
+        } for name, rule in rules.items()},
+        "sinks": {name: {"table": f"{table_dir}/channel={name}", "fail_path": f"{fail_dir}/channel={name}"} for name in rules},
+        "channels": {name: {"source": name, "sink": name} for name in rules},
+    }).values())
+    for taken in (channels[:-1], channels):
+        land_spool(spark, sf_dir, spool_dir)
+        folders.ingest_folder(spark, taken, checkpoint)
+    record = from_payload(F.col("value"), PERSON.struct())
+    good = spark.read.parquet(table_dir).select("channel", F.lit("sent").alias("outcome"), record["age"].alias("age"))
+    bad = spark.read.text(fail_dir).select("channel", F.col("fail_class").alias("outcome"), F.lit(None).cast("int").alias("age"))
+    return good.unionByName(bad).groupBy("channel", "outcome").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("age").alias("sum_age"))
+
+
 @query
 def stream_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the files that neither of two channels on one folder wants, recorded once."""

@@ -8,6 +8,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.functions.normalise import normalise_numbers, to_instant
 
 # URL patterns by driver, and the isolation names the driver options may carry.
 URL_PATTERNS = {
@@ -71,10 +75,20 @@ def driver_options(given: Mapping[str, str]) -> dict[str, str]:
 
 def read_table(spark: SparkSession, environment: Environment, table: str,
                partition_column: str | None = None, bounds: Sequence[int] | None = None,
-               partitions: int = 8) -> DataFrame:
-    """Read a table; with a numeric column and its bounds the read runs in parallel."""
+               partitions: int = 8, predicates: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
+    """Read a table; with a numeric column and its bounds, or with predicates, the read runs in parallel.
+
+    ``slice_predicates`` makes predicates for slices of like size.  Numbers are widened and times get
+    the zone of the environment, as ``database_rows`` does.
+    """
     options = environment.options()
-    options.pop("loc", None)
+    zone = options.pop("loc", None)
+    if zone:
+        options["preferTimestampNTZ"] = "true"  # the wall clock as it is stored
+    if predicates is not None:
+        url = options.pop("url")
+        rows = spark.read.jdbc(url, table, predicates=list(predicates), properties=options)
+        return database_rows(rows, zone, strict)
     options["dbtable"] = table
     if partition_column:
         if bounds is None:
@@ -85,7 +99,23 @@ def read_table(spark: SparkSession, environment: Environment, table: str,
             "upperBound": str(bounds[1]),
             "numPartitions": str(partitions),
         }
-    return spark.read.format("jdbc").options(**options).load()
+    return database_rows(spark.read.format("jdbc").options(**options).load(), zone, strict)
+
+
+def database_rows(rows: DataFrame, zone: str | None = None, strict: bool = False) -> DataFrame:
+    """Rows of a database as the pipelines want them.
+
+    Numbers are widened (``strict`` leaves decimals as they are).  With a zone, times without one are
+    read in it and become instants.
+    """
+    rows = normalise_numbers(rows, strict)
+    if zone is None:
+        return rows
+    return rows.select(*[
+        to_instant(F.col(f"`{f.name}`").cast("timestamp_ntz"), zone).alias(f.name)
+        if isinstance(f.dataType, T.TimestampNTZType) else F.col(f"`{f.name}`")
+        for f in rows.schema.fields
+    ])
 
 
 def write_table(df: DataFrame, environment: Environment, table: str, commit_rows: int = 500,

@@ -1,5 +1,6 @@
 """Spool files, queue and database options, channels, and what sinks write."""
 
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -228,3 +229,16 @@ def test_rolls_count_from_the_last_roll(spark, tmp_path, staging):
     lines = [[json.loads(x) for x in f.read_text().splitlines()] for f in files]
     assert all([x["line_num"] for x in file] == sorted(x["line_num"] for x in file) for file in lines)
     assert sorted((x["file_name"], x["line_num"], x["value"]) for file in lines for x in file) == sorted((r[3], r[1], r[4]) for r in rows)
+
+
+def test_database_rows_get_zone_and_wide_numbers(spark):
+    rows = spark.sql("select timestamp_ntz'2024-07-01 12:00:00' t, 1.5bd d, 3 i, 'x' s")
+    got = database.database_rows(rows, "Asia/Shanghai")
+    assert [f.dataType.simpleString() for f in got.schema] == ["timestamp", "double", "bigint", "string"]
+    assert got.selectExpr("unix_seconds(t)").first()[0] == unix_of(2024, 7, 1, 4)
+    assert [f.dataType.simpleString() for f in database.database_rows(rows, strict=True).schema] == [
+        "timestamp_ntz", "decimal(2,1)", "bigint", "string"]
+
+
+def unix_of(*utc):
+    return int(datetime(*utc, tzinfo=timezone.utc).timestamp())
