@@ -222,8 +222,8 @@ def rolled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = outputs.roll_letters(letters, ["event_type"], "clock", "event_id", 3, 50_000, staging)
     path = staging.folder("letters")
     outputs.write_rolled_letters(rolled, path, ["event_type"], "event_id")
-    kinds = "fail_class string, value string, event_id bigint, clock bigint, event_type string, roll bigint"
-    return spark.read.schema(kinds).json(path).groupBy("event_type", "roll").agg(
+    kinds = T.StructType.fromDDL("fail_class string, value string, event_id bigint, clock bigint, event_type string, roll bigint")
+    return outputs.read_rolled_letters(spark, path, kinds, ["event_type"]).groupBy("event_type", "roll").agg(
         F.count(F.lit(1)).alias("n_letters"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"),
         F.sum(F.length("value")).alias("n_chars"))
 

@@ -7,10 +7,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.days import HOME_ZONE
 from millrace.operators.batching import count_or_time, null_safe_join
 from millrace.operators.deal import split_outcomes
+from millrace.sinks.roll_files import read_rolls, write_rolls
 from millrace.sources.spool import list_files, route
 from millrace.staging import Staging
 
@@ -96,10 +98,15 @@ def roll_letters(letters: DataFrame, channel: Sequence[str], clock: str, order:
 def write_rolled_letters(letters: DataFrame, path: str, channel: Sequence[str], order: str) -> None:
     """One JSON file per channel and roll, lines in order; every column of a letter is kept.
 
-    A channel with a third of all letters is many rolls, which spread over the tasks.
+    A channel with a third of all letters is many rolls, which spread over the tasks.  The channel names the
+    folder of a file, the other columns and the roll are in its lines.
     """
-    group = [*channel, "roll"]
-    letters.repartition(*group).sortWithinPartitions(*group, order).write.mode("append").partitionBy(*group).json(path)
+    write_rolls(letters, path, channel, order)
+
+
+def read_rolled_letters(spark: SparkSession, path: str, schema: StructType, channel: Sequence[str]) -> DataFrame:
+    """The letters of all files that ``write_rolled_letters`` made."""
+    return read_rolls(spark, path, schema, channel)
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.records import RecordSchema
 from millrace.plans.channels import resolve
@@ -231,6 +232,25 @@ def test_rolls_count_from_the_last_roll(spark, tmp_path, staging):
     assert sorted((x["file_name"], x["line_num"], x["value"]) for file in lines for x in file) == sorted((r[3], r[1], r[4]) for r in rows)
 
 
+def test_a_roll_takes_a_file_and_no_folder(spark, tmp_path):
+    """Listing folders is what many rolls cost; calls append, and a call that fails leaves nothing."""
+    kinds = T.StructType.fromDDL("channel string, line_num int, value string, roll bigint")
+    rows = [(c, n, f"line {n} \u00e4\n%", n // 3) for c in ("a", "b/%c", "", None) for n in range(61)]
+    letters, path = spark.createDataFrame(rows, kinds), str(tmp_path / "letters")
+    outputs.write_rolled_letters(letters, path, ["channel"], "line_num")
+    assert len(list((tmp_path / "letters").rglob("*.json"))) == 4 * 21
+    assert len([p for p in (tmp_path / "letters").rglob("*") if p.is_dir()]) == 3  # the empty text and NULL share one
+    want = sorted([(c or None, *r) for c, *r in rows], key=str)
+    assert sorted(map(tuple, outputs.read_rolled_letters(spark, path, kinds, ["channel"]).collect()), key=str) == want
+    assert sorted(map(tuple, spark.read.schema(kinds).json(path).select(*kinds.names).collect()), key=str) == want
+    with pytest.raises(Exception, match="no letter"):
+        bad = F.when(F.col("line_num") == 60, F.raise_error(F.lit("no letter"))).otherwise(F.col("value"))
+        outputs.write_rolled_letters(letters.withColumn("value", bad), path, ["channel"], "line_num")
+    outputs.write_rolled_letters(letters.where("channel = 'a'"), path, ["channel"], "line_num")
+    assert outputs.read_rolled_letters(spark, path, kinds, ["channel"]).count() == 5 * 61
+    assert not [p for p in (tmp_path / "letters").iterdir() if p.name.startswith("_")]
+
+
 def test_database_rows_get_zone_and_wide_numbers(spark):
     rows = spark.sql("select timestamp_ntz'2024-07-01 12:00:00' t, 1.5bd d, 3 i, 'x' s")
     got = database.database_rows(rows, "Asia/Shanghai")
