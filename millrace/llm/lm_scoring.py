@@ -7,7 +7,7 @@ arc of ``h`` weighs ``mu / (c(h) + mu)``, the weights out of a state sum to one,
 is the add-one unigram.  A text is walked once from left to right, carrying its state: failure arcs
 until the state has an arc for the next word, then that arc, adding up their weights.
 
-The model is never gathered.  Documents are dealt to units of bounded size by row; each unit asks
+The model is never gathered.  Runs of documents are packed and dealt to units of bounded size; each unit asks
 for the n-grams it holds and tells how often its training documents have them, range by range of the
 hashed key space; a range adds up and answers every unit, which builds the states and arcs that its
 texts can reach.  An n-gram that every document holds is one entry per unit.  The ranges also tell
@@ -21,7 +21,7 @@ theirs, whatever the size of the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -37,9 +37,11 @@ from millrace.staging import Staging
 ORDER = 3
 PRIORS = (0.0, 0.0, 2000.0, 20.0)  # by order of the n-gram
 UNIT_BYTES = 4 << 20
+PACK_BYTES = 1 << 16  # of texts that are compressed together, one text at least
 KEY_BITS = 56  # of the hash of two words and more
 RUN = 1024  # words of a text that are walked in a row
 MODULUS, HELD_OUT = 7, 2
+_CODEC = "zstd"
 END = hashing._stream(97, 1)[0]
 
 _U = np.uint64
@@ -83,14 +85,42 @@ def _key_bits(k: int) -> int:
     return 64 if k == 1 else KEY_BITS
 
 
+_PACKED = pa.schema([("first", pa.int64()), ("rows", pa.binary()), ("train", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of documents as one row each, so that their texts are compressed together; NULL is packed as empty."""
+    for batch in batches:
+        out = []
+        for run in hashing.slices(batch, "text", PACK_BYTES):
+            data, offsets = hashing.column_bytes(run.column("text"))
+            rows = run.column(ROW).to_numpy(zero_copy_only=False)
+            train = run.column("train").to_numpy(zero_copy_only=False)
+            out.append((int(rows[0]), hashing.pack_sorted(rows.astype(_U)), hashing.pack_numbers(train),
+                        hashing.pack_numbers(np.diff(offsets)), pa.compress(data, codec=_CODEC, asbytes=True)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PACKED)], schema=_PACKED)
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``(rows, train, texts)`` of the runs of documents of a unit."""
+    rows, train, lengths = (
+        np.concatenate([unpack(b) for b in table.column(c).to_pylist()])
+        for c, unpack in (("rows", hashing.unpack_sorted), ("train", hashing.unpack_numbers), ("lengths", hashing.unpack_numbers)))
+    sizes = [int(hashing.unpack_numbers(b).sum()) for b in table.column("lengths").to_pylist()]
+    texts = b"".join(pa.decompress(t, n, codec=_CODEC, asbytes=True) for t, n in zip(table.column("texts").to_pylist(), sizes))
+    offsets = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(texts)])
+    return rows.astype(np.int64), train.astype(bool), column
+
+
 def _request(order: int, bits: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         out = {"unit": [], "part": [], "k": [], "keys": [], "counts": []}
         unit = table.column("unit")[0].as_py()
-        column = table.column("text").chunk(0)
-        grams = Grams(column, order)
-        train = np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(grams.bounds))
+        _, train, texts = _unpack(table)
+        grams = Grams(texts, order)
+        train = np.repeat(train, np.diff(grams.bounds))
         for k in range(1, order + 1):
             ok = grams.at[k] >= 0
             counts = np.bincount(grams.at[k][ok], train[ok], len(grams.keys[k])).astype("<u8")
@@ -227,8 +257,8 @@ class Automaton:
 
 def _score(order: int, priors) -> Callable:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
-        grams = Grams(docs.column("text").chunk(0), order)
+        rows, _, texts = _unpack(docs)
+        grams = Grams(texts, order)
         told = sorted(zip(*(answers.column(c).to_pylist() for c in ("k", "part", "counts"))), key=lambda r: r[:2])
         counts = {k: np.concatenate([hashing.unpack_numbers(c) for o, _, c in told if o == k] or [np.zeros(0, "<u8")]).astype(np.int64)
                   for k in range(1, order + 1)}
@@ -238,8 +268,8 @@ def _score(order: int, priors) -> Callable:
         words = grams.at[1]
         sums = lambda x: np.add.reduceat(x, grams.bounds[:-1])  # noqa: E731  every text has its end token
         return pa.table({
-            ROW: docs.column(ROW), "n_tokens": np.diff(grams.bounds), "n_known": sums((counts[1] > 0).astype(np.int64)[words]),
-            "train_tokens": np.full(docs.num_rows, total), "base_score": sums(automaton.base[words]), "score": automaton.walk(words, grams.bounds)})
+            ROW: rows, "n_tokens": np.diff(grams.bounds), "n_known": sums((counts[1] > 0).astype(np.int64)[words]),
+            "train_tokens": np.full(len(rows), total), "base_score": sums(automaton.base[words]), "score": automaton.walk(words, grams.bounds)})
 
     return run
 
@@ -256,8 +286,9 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     units = max(1, ceil(size / UNIT_BYTES))
     bits = key_counts.range_bits(size)
-    dealt = docs.select(
-        ROW, F.pmod(F.xxhash64(ROW), F.lit(units)).alias("unit"), (~F.col("held_out")).alias("train"), "text")
+    packed = docs.select(ROW, (~F.col("held_out")).alias("train"), "text").mapInArrow(
+        _pack, "first bigint, rows binary, train binary, lengths binary, texts binary")
+    dealt = packed.select(F.pmod(F.xxhash64("first"), F.lit(units)).alias("unit"), "rows", "train", "lengths", "texts")
     requests = dealt.groupBy("unit").applyInArrow(
         _request(order, bits), "unit bigint, part int, k int, keys binary, counts binary")
     answers = requests.groupBy("part", "k").applyInArrow(

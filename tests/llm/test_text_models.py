@@ -125,6 +125,30 @@ def test_language_model(spark, staging, texts):
     assert sorted(g[2] for g in got) == pytest.approx(sorted(w[2] for w in want))
 
 
+def test_texts_are_packed_for_their_units():
+    """Runs of texts come back whole, and take less than half of their bytes on the way."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 10, 800)]
+    texts = [" ".join(words[w] for w in rng.integers(0, 800, n)).encode() for n in rng.integers(0, 400, 300)]
+    texts += [None, b"", b"\xff\x00\n", (words[0] + " ").encode() * 30000, texts[7]]
+    rows, train = [n * 7 + (n % 3 << 40) for n in range(len(texts))], [n % 4 > 0 for n in range(len(texts))]
+    kinds = pa.schema([(lm_scoring.ROW, pa.int64()), ("train", pa.bool_()), ("text", pa.binary())])
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(train), pa.array(texts, pa.binary())], schema=kinds)
+    empty = pa.RecordBatch.from_arrays([pa.array([9, 8]), pa.array([True, False]), pa.array([None, b""], pa.binary())], schema=kinds)
+    packed = pa.Table.from_batches(list(lm_scoring._pack(iter([batch.slice(0, 100), batch.slice(100), empty, batch.slice(0, 0)]))))
+    assert packed.num_rows > 4 and packed.nbytes * 2 < sum(len(t or b"") for t in texts)
+    got = lm_scoring._unpack(packed)
+    assert got[0].tolist() == [*rows, 9, 8] and got[1].tolist() == [*train, True, False]
+    assert got[2].to_pylist() == [t or b"" for t in [*texts, None, b""]]
+    assert lm_scoring._unpack(packed.slice(packed.num_rows - 1))[2].to_pylist() == [b"", b""]
+
+
+def test_scores_of_empty_texts_alone(spark, staging):
+    df = spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string")
+    got = lm_scoring.score_texts(df, staging=staging).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 1] and len({r["base_score"] for r in got}) == 1
+
+
 @pytest.mark.parametrize("priors", [(0, 0), (0, 0, 3.0), (0, 0, 9.0, 5.0, 2.0, 1.0)])
 def test_language_model_of_other_orders(spark, staging, priors):
     words = "a b c a b d a b c e".split()
