@@ -122,7 +122,8 @@ class _RollReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         files, root = _file_system(self.path)
         found = [f for f in files.get_file_info(fs.FileSelector(root, recursive=True))
-                 if f.type == fs.FileType.File and f.path.endswith(".json") and "/_rolls-" not in f.path.removeprefix(root)]
+                 if f.type == fs.FileType.File and f.path.endswith(".json")
+                 and not any(part.startswith("_rolls-") for part in f.path.removeprefix(root).split("/"))]
         parts, held = [[]], 0
         for file in sorted(found, key=lambda f: f.path):
             if parts[-1] and (len(parts[-1]) == TASK_FILES or held + file.size > TASK_BYTES):

@@ -247,8 +247,9 @@ def test_a_roll_takes_a_file_and_no_folder(spark, tmp_path):
         bad = F.when(F.col("line_num") == 60, F.raise_error(F.lit("no letter"))).otherwise(F.col("value"))
         outputs.write_rolled_letters(letters.withColumn("value", bad), path, ["channel"], "line_num")
     outputs.write_rolled_letters(letters.where("channel = 'a'"), path, ["channel"], "line_num")
-    assert outputs.read_rolled_letters(spark, path, kinds, ["channel"]).count() == 5 * 61
-    assert not [p for p in (tmp_path / "letters").iterdir() if p.name.startswith("_")]
+    write(path, "_rolls-of-an-open-call/channel=a/roll-000000000000-0-0.json", "{}\n")
+    assert outputs.read_rolled_letters(spark, path + "/", kinds, ["channel"]).count() == 5 * 61
+    assert [p.name for p in (tmp_path / "letters").iterdir() if p.name.startswith("_")] == ["_rolls-of-an-open-call"]
 
 
 def test_database_rows_get_zone_and_wide_numbers(spark):
